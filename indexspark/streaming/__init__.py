@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The scored workload is batch only: layers are static tables per scenario, scores are recomputed per scenario, and
+nothing in it has event time, late data, watermarks or per-key state. No streaming operator is claimed.
+"""
