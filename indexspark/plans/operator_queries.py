@@ -410,3 +410,707 @@ def q_goal_mean(spark, sf):
     tr = g.agg(S.trend_slope(F.col("o_totalprice") / 100000.0, "year").alias("score")).withColumn("dimension", F.lit("trend"))
     s = st.unionByName(tr)
     return s.groupBy("region_id", "dimension").agg(r6(F.avg("score")).alias("score"))
+
+
+# ---------------------------------------------------------------- windows (W*) and grids
+
+
+_SPARSE_SQL = """f AS (
+  SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_extendedprice) AS revenue
+  FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09 GROUP BY 1, 2)"""
+
+
+def _sparse_part_year(t):
+    li = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09))
+    return li.groupBy("l_partkey", year_of("l_shipdate").alias("year")).agg(F.sum("l_extendedprice").alias("revenue"))
+
+
+_GRID_SQL = f"""{_SPARSE_SQL},
+g AS (SELECT k.l_partkey, y.year, f.revenue
+      FROM (SELECT DISTINCT l_partkey FROM f) k CROSS JOIN (SELECT DISTINCT year FROM f) y
+      LEFT JOIN f ON f.l_partkey = k.l_partkey AND f.year = y.year)"""
+
+
+@register("series_complete", f"WITH {_GRID_SQL} SELECT l_partkey, year, round(revenue, 2) AS revenue FROM g")
+def q_series_complete(spark, sf):
+    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year")
+    return g.select("l_partkey", "year", F.round("revenue", 2).alias("revenue"))
+
+
+@register("grid_fill", f"WITH {_GRID_SQL} SELECT l_partkey, year, round(coalesce(revenue, 0), 2) AS revenue FROM g")
+def q_grid_fill(spark, sf):
+    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year")
+    return g.select("l_partkey", "year", F.round(F.coalesce("revenue", F.lit(0.0)), 2).alias("revenue"))
+
+
+@register(
+    "cumsum",
+    f"""WITH {_GRID_SQL}
+SELECT l_partkey, year, round(sum(coalesce(revenue, 0)) OVER (PARTITION BY l_partkey ORDER BY year
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS revenue_cumsum FROM g""",
+)
+def q_cumsum(spark, sf):
+    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year")
+    g = g.withColumn("revenue", F.coalesce("revenue", F.lit(0.0)))
+    return g.select("l_partkey", "year", F.round(W.cumsum("revenue", "l_partkey", "year"), 2).alias("revenue_cumsum"))
+
+
+_MONTH_SQL = """m AS (
+  SELECT c_nationkey AS rgn_id, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS ym, sum(o_totalprice) AS revenue
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+
+
+@register(
+    "rolling_mean_centred",
+    f"""WITH {_MONTH_SQL}
+SELECT rgn_id, ym, round(avg(revenue) OVER (PARTITION BY rgn_id ORDER BY ym ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING), 6) AS sm_revenue
+FROM m""",
+)
+def q_rolling_mean_centred(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    m = of.groupBy(
+        F.col("c_nationkey").alias("rgn_id"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int").alias("ym")
+    ).agg(F.sum("o_totalprice").alias("revenue"))
+    return m.select("rgn_id", "ym", r6(W.rolling_mean_centred("revenue", "rgn_id", "ym", 4)).alias("sm_revenue"))
+
+
+_BN_SQL = f"""{LF_SQL}, bn AS (
+  SELECT s_nationkey AS rgn_id, p_brand, sum(l_extendedprice * (1 - l_discount)) / 10000 AS revenue
+  FROM lf JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+
+
+def _brand_nation(t, sparse=False):
+    li = line_facts(t)
+    if sparse:
+        li = li.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48))
+    j = li.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return j.groupBy(F.col("s_nationkey").alias("rgn_id"), "p_brand").agg(
+        (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 10000).alias("revenue")
+    )
+
+
+@register(
+    "share_of_total",
+    f"WITH {_BN_SQL} SELECT rgn_id, p_brand, round(revenue / sum(revenue) OVER (PARTITION BY rgn_id), 6) AS share FROM bn",
+)
+def q_share_of_total(spark, sf):
+    bn = _brand_nation(Tables(spark, sf))
+    return bn.select("rgn_id", "p_brand", r6(W.share_of_total("revenue", "rgn_id")).alias("share"))
+
+
+@register(
+    "peak_reference",
+    f"WITH {_BN_SQL} SELECT rgn_id, p_brand, round(0.65 * max(revenue) OVER (PARTITION BY p_brand), 6) AS peak FROM bn",
+)
+def q_peak_reference(spark, sf):
+    bn = _brand_nation(Tables(spark, sf))
+    return bn.select("rgn_id", "p_brand", r6(W.peak_reference("revenue", "p_brand", 0.65)).alias("peak"))
+
+
+@register(
+    "log_rescale",
+    f"""WITH {_BN_SQL}, p AS (SELECT *, 0.65 * max(revenue) OVER (PARTITION BY p_brand) AS peak FROM bn)
+SELECT rgn_id, p_brand, round(least(1.0, ln(revenue + 1) / ln(peak + 1)), 6) AS exposure FROM p""",
+)
+def q_log_rescale(spark, sf):
+    bn = _brand_nation(Tables(spark, sf)).withColumn("peak", W.peak_reference("revenue", "p_brand", 0.65))
+    return bn.select("rgn_id", "p_brand", r6(S.log_rescale("revenue", "peak")).alias("exposure"))
+
+
+_GAP_SQL = f"""{LF_SQL}, bn AS (
+  SELECT s_nationkey AS rgn_id, p_brand, sum(l_extendedprice * (1 - l_discount)) / 10000 AS revenue
+  FROM lf JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY 1, 2),
+g AS (SELECT k.rgn_id, b.p_brand, bn.revenue
+      FROM (SELECT DISTINCT rgn_id FROM bn) k CROSS JOIN (SELECT DISTINCT p_brand FROM bn) b
+      LEFT JOIN bn ON bn.rgn_id = k.rgn_id AND bn.p_brand = b.p_brand)"""
+
+
+def _gap_grid(t):
+    bn = _brand_nation(t, sparse=True)
+    return R.complete_series(bn, ["rgn_id"], "p_brand")
+
+
+@register(
+    "mean_gapfill",
+    f"""WITH {_GAP_SQL}
+SELECT rgn_id, p_brand, round(coalesce(revenue, avg(revenue) OVER (PARTITION BY p_brand)), 6) AS revenue FROM g""",
+)
+def q_mean_gapfill(spark, sf):
+    g = W.mean_gapfill(_gap_grid(Tables(spark, sf)), "revenue", "p_brand")
+    return g.select("rgn_id", "p_brand", r6("revenue").alias("revenue"))
+
+
+@register(
+    "gapfill_flags",
+    f"""WITH {_GAP_SQL}
+SELECT rgn_id, p_brand, CASE WHEN revenue IS NULL THEN 'prod_average' ELSE '0' END AS gap_fill FROM g""",
+)
+def q_gapfill_flags(spark, sf):
+    g = W.mean_gapfill(_gap_grid(Tables(spark, sf)), "revenue", "p_brand", flag="gap_fill", flag_value="prod_average")
+    return g.select("rgn_id", "p_brand", "gap_fill")
+
+
+@register(
+    "top_n_ties",
+    f"""WITH {OF_SQL}
+SELECT o_custkey, year, o_orderkey FROM (
+  SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY year DESC) AS rk FROM of) WHERE rk <= 2""",
+)
+def q_top_n_ties(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    return of.withColumn("keep", W.top_n_ties("year", "o_custkey", 2)).where("keep").select("o_custkey", "year", "o_orderkey")
+
+
+# ---------------------------------------------------------------- filters (F*)
+
+
+@register(
+    "year_window",
+    f"WITH {NY_SQL} SELECT rgn_id, year, round(revenue, 2) AS revenue FROM ny WHERE year <= 2000 AND year > 2000 - 5",
+)
+def q_year_window(spark, sf):
+    ny = nation_year_revenue(Tables(spark, sf))
+    return ny.where(FL.year_window("year", 2000, 5)).select("rgn_id", "year", F.round("revenue", 2).alias("revenue"))
+
+
+@register(
+    "regex_filter",
+    """SELECT p_partkey, p_type, round(sum(l_quantity), 2) AS qty
+FROM part JOIN lineitem ON l_partkey = p_partkey
+WHERE regexp_matches(p_type, '^(SMALL|LARGE)') AND regexp_matches(p_name, '(gear|bolt)$') GROUP BY 1, 2""",
+)
+def q_regex_filter(spark, sf):
+    t = Tables(spark, sf)
+    p = t.part.where(F.col("p_type").rlike("^(SMALL|LARGE)") & F.col("p_name").rlike("(gear|bolt)$"))
+    j = p.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
+    return j.groupBy("p_partkey", "p_type").agg(F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@register(
+    "na_omit",
+    """SELECT * FROM (SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS status, NULLIF(o_orderpriority, '5-LOW') AS priority FROM orders)
+WHERE status IS NOT NULL AND priority IS NOT NULL""",
+)
+def q_na_omit(spark, sf):
+    o = Tables(spark, sf).orders.select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority")
+    )
+    return o.na.drop(how="any")
+
+
+@register(
+    "not_in_null_safe",
+    """SELECT o_orderkey, status FROM (SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS status FROM orders)
+WHERE NOT coalesce(status IN ('F'), false)""",
+)
+def q_not_in_null_safe(spark, sf):
+    o = Tables(spark, sf).orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+    return o.where(S.not_in_safe("status", ["F"]))
+
+
+@register(
+    "restrict_regions",
+    f"""WITH {NY_SQL}
+SELECT rgn_id, year, round(revenue, 2) AS revenue FROM ny
+WHERE rgn_id IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AFRICA', 'ASIA')) OR rgn_id = 0""",
+)
+def q_restrict_regions(spark, sf):
+    t = Tables(spark, sf)
+    keep = (
+        t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .where(F.col("r_name").isin("AFRICA", "ASIA"))
+        .select(F.col("n_nationkey").alias("rgn_id"))
+        .unionByName(t.spark.range(1).select(F.lit(0).alias("rgn_id")))
+        .distinct()
+    )
+    ny = nation_year_revenue(t)
+    return ny.join(F.broadcast(keep), "rgn_id", "left_semi").select("rgn_id", "year", F.round("revenue", 2).alias("revenue"))
+
+
+_DM_SQL = f"""{OF_SQL}, a AS (SELECT year, o_custkey FROM of WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 499000)"""
+
+
+@register(
+    "double_membership",
+    f"""WITH {_DM_SQL}
+SELECT o_orderkey, o_custkey, year FROM of
+WHERE NOT (year IN (SELECT year FROM a) AND o_custkey IN (SELECT o_custkey FROM a))""",
+)
+def q_double_membership(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    a = of.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 499000))
+    out = FL.double_membership_exclude(of, a, [("year", "year"), ("o_custkey", "o_custkey")])
+    return out.select("o_orderkey", "o_custkey", "year")
+
+
+@register(
+    "any_zero_keys",
+    f"""WITH {OF_SQL}, s AS (SELECT o_custkey, year, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n FROM of GROUP BY 1, 2)
+SELECT DISTINCT o_custkey FROM s WHERE n = 0""",
+)
+def q_any_zero_keys(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    s = of.groupBy("o_custkey", "year").agg(F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("n"))
+    return FL.any_member_keys(s, "o_custkey", F.col("n") == 0)
+
+
+# ---------------------------------------------------------------- joins (J*) and set operations (U*)
+
+
+_URG_SQL = """u AS (SELECT c_nationkey AS rgn_id, sum(o_totalprice) AS urgent_revenue
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 495000 GROUP BY 1)"""
+
+
+def _urgent_by_nation(t):
+    of = order_facts(t).where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 495000))
+    return of.groupBy(F.col("c_nationkey").alias("rgn_id")).agg(F.sum("o_totalprice").alias("urgent_revenue"))
+
+
+@register(
+    "left_join",
+    f"""WITH {_URG_SQL}
+SELECT n_nationkey AS rgn_id, n_name, round(urgent_revenue, 2) AS urgent_revenue FROM nation LEFT JOIN u ON n_nationkey = u.rgn_id""",
+)
+def q_left_join(spark, sf):
+    t = Tables(spark, sf)
+    n = t.nation.select(F.col("n_nationkey").alias("rgn_id"), "n_name")
+    return n.join(_urgent_by_nation(t), "rgn_id", "left").select("rgn_id", "n_name", F.round("urgent_revenue", 2).alias("urgent_revenue"))
+
+
+_LJM_SQL = f"""{NY_SQL}, {LF_SQL}, s AS (SELECT s_nationkey AS rgn_id, year, sum(l_quantity) AS qty FROM lf WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+
+
+def _ship_qty(t, flag="R"):
+    lf = line_facts(t).where(F.col("l_returnflag") == flag)
+    return lf.groupBy(F.col("s_nationkey").alias("rgn_id"), "year").agg(F.sum("l_quantity").alias("qty"))
+
+
+@register(
+    "left_join_multi",
+    f"""WITH {_LJM_SQL}
+SELECT ny.rgn_id, ny.year, round(revenue, 2) AS revenue, round(qty, 2) AS qty FROM ny LEFT JOIN s ON ny.rgn_id = s.rgn_id AND ny.year = s.year""",
+)
+def q_left_join_multi(spark, sf):
+    t = Tables(spark, sf)
+    j = nation_year_revenue(t).join(_ship_qty(t), ["rgn_id", "year"], "left")
+    return j.select("rgn_id", "year", F.round("revenue", 2).alias("revenue"), F.round("qty", 2).alias("qty"))
+
+
+@register(
+    "inner_join_multi",
+    f"""WITH {LF_SQL},
+a AS (SELECT s_nationkey, year, l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lf GROUP BY 1, 2, 3, 4),
+b AS (SELECT s_nationkey, year, l_returnflag, l_linestatus, avg(l_discount) AS disc FROM lf WHERE l_discount > 0.08 GROUP BY 1, 2, 3, 4)
+SELECT a.s_nationkey, a.year, a.l_returnflag, a.l_linestatus, round(qty, 2) AS qty, round(disc, 6) AS disc
+FROM a JOIN b ON a.s_nationkey = b.s_nationkey AND a.year = b.year AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus""",
+)
+def q_inner_join_multi(spark, sf):
+    lf = line_facts(Tables(spark, sf))
+    keys = ["s_nationkey", "year", "l_returnflag", "l_linestatus"]
+    a = lf.groupBy(*keys).agg(F.sum("l_quantity").alias("qty"))
+    b = lf.where(F.col("l_discount") > 0.08).groupBy(*keys).agg(F.avg("l_discount").alias("disc"))
+    return a.join(b, keys, "inner").select(*keys, F.round("qty", 2).alias("qty"), r6("disc").alias("disc"))
+
+
+_AREA_SQL = f"""{LF_SQL},
+st AS (SELECT l_suppkey AS saup_id, year, avg(1 - l_discount) AS status_saup FROM lf GROUP BY 1, 2),
+pa AS (SELECT s_suppkey AS saup_id, s_nationkey AS rgn_id,
+              (s_acctbal + 1000) / sum(s_acctbal + 1000) OVER (PARTITION BY s_nationkey) AS prop_area FROM supplier)"""
+
+
+@register(
+    "area_share",
+    f"""WITH {_AREA_SQL}
+SELECT rgn_id, year, round(sum(status_saup * prop_area), 6) AS status FROM st JOIN pa USING (saup_id) GROUP BY 1, 2""",
+)
+def q_area_share(spark, sf):
+    t = Tables(spark, sf)
+    st = line_facts(t).groupBy(F.col("l_suppkey").alias("saup_id"), "year").agg(F.avg(1 - F.col("l_discount")).alias("status_saup"))
+    pa = t.supplier.select(
+        F.col("s_suppkey").alias("saup_id"),
+        F.col("s_nationkey").alias("rgn_id"),
+        W.share_of_total(F.col("s_acctbal") + 1000, "s_nationkey").alias("prop_area"),
+    )
+    j = st.join(pa, "saup_id", "inner")
+    return j.groupBy("rgn_id", "year").agg(r6(S.sum_strict(F.col("status_saup") * F.col("prop_area"))).alias("status"))
+
+
+_FJ_SQL = f"""{OF_SQL}, {LF_SQL},
+a AS (SELECT c_nationkey AS rgn_id, year, sum(o_totalprice) AS a FROM of WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1, 2),
+b AS (SELECT s_nationkey AS rgn_id, year, sum(l_quantity) AS b FROM lf WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_discount = 0 GROUP BY 1, 2),
+c AS (SELECT c_nationkey AS rgn_id, year, CAST(count(*) AS DOUBLE) AS c FROM of WHERE o_orderstatus = 'P' AND o_totalprice > 400000 GROUP BY 1, 2)"""
+
+
+def _fj_frames(t):
+    of, lf = order_facts(t), line_facts(t)
+    a = (
+        of.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
+        .groupBy(F.col("c_nationkey").alias("rgn_id"), "year")
+        .agg(F.sum("o_totalprice").alias("a"))
+    )
+    b = (
+        lf.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50) & (F.col("l_discount") == 0))
+        .groupBy(F.col("s_nationkey").alias("rgn_id"), "year")
+        .agg(F.sum("l_quantity").alias("b"))
+    )
+    c = (
+        of.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000))
+        .groupBy(F.col("c_nationkey").alias("rgn_id"), "year")
+        .agg(F.count(F.lit(1)).cast("double").alias("c"))
+    )
+    return a, b, c
+
+
+@register(
+    "full_join_chain",
+    f"""WITH {_FJ_SQL}
+SELECT rgn_id, year, round(a, 2) AS a, round(b, 2) AS b, c FROM a FULL JOIN b USING (rgn_id, year) FULL JOIN c USING (rgn_id, year)""",
+)
+def q_full_join_chain(spark, sf):
+    a, b, c = _fj_frames(Tables(spark, sf))
+    j = J.full_join_chain([a, b, c], ["rgn_id", "year"])
+    return j.select("rgn_id", "year", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "c")
+
+
+@register(
+    "full_merge",
+    f"""WITH {_FJ_SQL},
+a2 AS (SELECT rgn_id, NULLIF(year, 1995) AS year, a FROM a),
+c2 AS (SELECT rgn_id, NULLIF(year, 1995) AS year, c FROM c)
+SELECT coalesce(a2.rgn_id, c2.rgn_id) AS rgn_id, coalesce(a2.year, c2.year) AS year, round(a, 2) AS a, c
+FROM a2 FULL JOIN c2 ON a2.rgn_id = c2.rgn_id AND a2.year IS NOT DISTINCT FROM c2.year""",
+)
+def q_full_merge(spark, sf):
+    a, _, c = _fj_frames(Tables(spark, sf))
+    a2 = a.withColumn("year", F.nullif("year", F.lit(1995)))
+    c2 = c.withColumn("year", F.nullif("year", F.lit(1995)))
+    return J.full_merge(a2, c2).select("rgn_id", "year", F.round("a", 2).alias("a"), "c")
+
+
+# fixed values: priority weights used by the lookup and multiplier queries (one priority deliberately absent)
+PRIORITY_WEIGHTS = [("1-URGENT", 1.0), ("2-HIGH", 0.8), ("3-MEDIUM", 0.6), ("4-NOT SPECIFIED", 0.4)]
+PRIORITY_VALUES_SQL = "(VALUES ('1-URGENT', 1.0), ('2-HIGH', 0.8), ('3-MEDIUM', 0.6), ('4-NOT SPECIFIED', 0.4)) AS pw(o_orderpriority, weight)"
+
+
+@register(
+    "lookup_join",
+    f"""WITH {OF_SQL}
+SELECT c_nationkey AS rgn_id, round(avg(weight), 6) AS score, count(weight) AS n_weighted
+FROM of LEFT JOIN {PRIORITY_VALUES_SQL} USING (o_orderpriority) GROUP BY 1""",
+)
+def q_lookup_join(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    pw = J.lookup_table(spark, PRIORITY_WEIGHTS, "o_orderpriority string, weight double")
+    j = of.join(pw, "o_orderpriority", "left")
+    return j.groupBy(F.col("c_nationkey").alias("rgn_id")).agg(r6(F.avg("weight")).alias("score"), F.count("weight").alias("n_weighted"))
+
+
+@register(
+    "optional_multiplier",
+    f"""WITH {OF_SQL}
+SELECT c_nationkey AS rgn_id, o_orderpriority, round(sum(o_totalprice * coalesce(weight, 1.0)), 2) AS xtr
+FROM of LEFT JOIN {PRIORITY_VALUES_SQL} USING (o_orderpriority) GROUP BY 1, 2""",
+)
+def q_optional_multiplier(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    pw = J.lookup_table(spark, PRIORITY_WEIGHTS, "o_orderpriority string, weight double")
+    j = of.join(pw, "o_orderpriority", "left")
+    return j.groupBy(F.col("c_nationkey").alias("rgn_id"), "o_orderpriority").agg(
+        F.round(F.sum(F.col("o_totalprice") * F.coalesce("weight", F.lit(1.0))), 2).alias("xtr")
+    )
+
+
+@register("semi_join", "SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def q_semi_join(spark, sf):
+    t = Tables(spark, sf)
+    k = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
+    return J.semi_join(t.customer.select("c_custkey", "c_nationkey"), k, "c_custkey")
+
+
+@register("anti_join", "SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45)")
+def q_anti_join(spark, sf):
+    t = Tables(spark, sf)
+    k = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)).select(F.col("l_partkey").alias("p_partkey"))
+    return J.anti_join(t.part.select("p_partkey", "p_brand"), k, "p_partkey")
+
+
+@register(
+    "unmatched_keys",
+    "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
+)
+def q_unmatched_keys(spark, sf):
+    t = Tables(spark, sf)
+    look = t.supplier.where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("l_suppkey"))
+    return J.unmatched_keys(t.lineitem, look, ["l_suppkey"])
+
+
+@register(
+    "key_union",
+    """SELECT o_custkey AS c_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000
+UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0""",
+)
+def q_key_union(spark, sf):
+    t = Tables(spark, sf)
+    a = t.orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 450000)).select(F.col("o_custkey").alias("c_custkey"))
+    b = t.customer.where(F.col("c_acctbal") < 0).select("c_custkey")
+    return a.unionByName(b).distinct()
+
+
+# fixed values: display-name multipliers; two names match no nation (the reference's travel-warning case)
+NAME_MULTIPLIERS = [("NATION_3", 0.25), ("NATION_7", 0.5), ("NATION_11", 0.75), ("Nepal", 0.5), ("Republic of South Sudan", 0.25)]
+NAME_VALUES_SQL = "(VALUES ('NATION_3', 0.25), ('NATION_7', 0.5), ('NATION_11', 0.75), ('Nepal', 0.5), ('Republic of South Sudan', 0.25)) AS tw(rgn_name, multiplier)"
+
+
+@register(
+    "name_join",
+    f"""WITH {NY_SQL}, m AS (SELECT n_nationkey AS rgn_id, multiplier FROM {NAME_VALUES_SQL} LEFT JOIN nation ON n_name = rgn_name WHERE n_nationkey IS NOT NULL)
+SELECT ny.rgn_id, year, round(CASE WHEN multiplier IS NOT NULL THEN multiplier * revenue ELSE revenue END, 2) AS xtr
+FROM ny LEFT JOIN m ON ny.rgn_id = m.rgn_id""",
+)
+def q_name_join(spark, sf):
+    t = Tables(spark, sf)
+    tw = J.lookup_table(spark, NAME_MULTIPLIERS, "rgn_name string, multiplier double")
+    m = tw.join(t.nation, F.col("n_name") == F.col("rgn_name"), "left").where(F.col("n_nationkey").isNotNull())
+    m = m.select(F.col("n_nationkey").alias("rgn_id"), "multiplier")
+    j = nation_year_revenue(t).join(F.broadcast(m), "rgn_id", "left")
+    return j.select("rgn_id", "year", F.round(F.coalesce(F.col("multiplier") * F.col("revenue"), F.col("revenue")), 2).alias("xtr"))
+
+
+@register(
+    "union_all",
+    f"""WITH {NY_SQL}
+SELECT rgn_id AS region_id, 'status' AS dimension, round(revenue / n_orders / 1000, 6) AS score FROM ny WHERE year = 2000
+UNION ALL
+SELECT rgn_id, 'trend', round(regr_slope(revenue / n_orders / 1000.0, year) * 5, 6) FROM ny GROUP BY rgn_id""",
+)
+def q_union_all(spark, sf):
+    ny = nation_year_revenue(Tables(spark, sf))
+    st = ny.where(F.col("year") == 2000).select(
+        F.col("rgn_id").alias("region_id"), F.lit("status").alias("dimension"), r6(F.col("revenue") / F.col("n_orders") / 1000).alias("score")
+    )
+    tr = ny.groupBy(F.col("rgn_id").alias("region_id")).agg(
+        F.lit("trend").alias("dimension"), r6(S.trend_slope(F.col("revenue") / F.col("n_orders") / 1000.0, "year")).alias("score")
+    )
+    return st.unionByName(tr)
+
+
+# ---------------------------------------------------------------- reshape (R*)
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+YEARS = list(range(1995, 2002))
+
+
+@register(
+    "pivot",
+    f"""WITH {OF_SQL}
+SELECT c_mktsegment, {", ".join(f"round(sum(o_totalprice) FILTER (WHERE year = {y}), 2) AS y{y}" for y in YEARS)}
+FROM of GROUP BY 1""",
+)
+def q_pivot(spark, sf):
+    of = order_facts(Tables(spark, sf)).withColumn("yl", F.concat(F.lit("y"), F.col("year").cast("string")))
+    p = R.pivot(of, ["c_mktsegment"], "yl", [f"y{y}" for y in YEARS], "o_totalprice", agg="sum")
+    return p.select("c_mktsegment", *[F.round(f"y{y}", 2).alias(f"y{y}") for y in YEARS])
+
+
+@register(
+    "unpivot",
+    f"""WITH {OF_SQL}, p AS (
+  SELECT c_mktsegment, {", ".join(f"sum(o_totalprice) FILTER (WHERE year = {y}) AS y{y}" for y in YEARS)} FROM of GROUP BY 1)
+SELECT c_mktsegment, year_label, round(revenue, 2) AS revenue FROM p UNPIVOT INCLUDE NULLS (revenue FOR year_label IN ({", ".join(f"y{y}" for y in YEARS)}))""",
+)
+def q_unpivot(spark, sf):
+    of = order_facts(Tables(spark, sf)).withColumn("yl", F.concat(F.lit("y"), F.col("year").cast("string")))
+    p = R.pivot(of, ["c_mktsegment"], "yl", [f"y{y}" for y in YEARS], "o_totalprice", agg="sum")
+    u = R.unpivot(p, ["c_mktsegment"], [f"y{y}" for y in YEARS], "year_label", "revenue")
+    return u.select("c_mktsegment", "year_label", F.round("revenue", 2).alias("revenue"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register(
+    "pivot_multi_key",
+    f"""WITH {OF_SQL}
+SELECT c_nationkey, c_mktsegment, {", ".join(f"count(*) FILTER (WHERE o_orderpriority = '{p}' AND o_orderstatus = 'P') AS p{i + 1}" for i, p in enumerate(PRIORITIES))}
+FROM of GROUP BY 1, 2""",
+)
+def q_pivot_multi_key(spark, sf):
+    of = order_facts(Tables(spark, sf)).withColumn(
+        "pk", F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)))
+    )
+    p = of.groupBy("c_nationkey", "c_mktsegment").pivot("pk", [f"p{i + 1}" for i in range(5)]).agg(F.count(F.lit(1)))
+    return p.select("c_nationkey", "c_mktsegment", *[F.coalesce(f"p{i + 1}", F.lit(0)).alias(f"p{i + 1}") for i in range(5)])
+
+
+@register(
+    "split_columns",
+    """SELECT p_partkey, split_part(p_brand, '#', 1) AS brand_prefix, CAST(split_part(p_brand, '#', 2) AS INTEGER) AS brand_no,
+       split_part(p_name, ' ', 1) AS adjective, split_part(p_name, ' ', 2) AS noun, sum(l_quantity) AS qty
+FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL""",
+)
+def q_split_columns(spark, sf):
+    t = Tables(spark, sf)
+    p = R.split_columns(t.part, "p_brand", ["brand_prefix", "brand_no"], "#")
+    p = R.split_columns(p, "p_name", ["adjective", "noun"], " ").withColumn("brand_no", F.col("brand_no").cast("int"))
+    j = p.join(t.lineitem, F.col("l_partkey") == F.col("p_partkey"))
+    return j.groupBy("p_partkey", "brand_prefix", "brand_no", "adjective", "noun").agg(F.sum("l_quantity").alias("qty"))
+
+
+@register(
+    "risk_table",
+    f"""WITH {OF_SQL},
+k AS (SELECT DISTINCT c_nationkey AS rgn_id FROM of),
+orn AS (SELECT DISTINCT c_nationkey AS rgn_id, 1.0 AS ornamentals FROM of WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000),
+w AS (SELECT k.rgn_id, 1.0 AS corals, 0.0 AS sponges, 0.0 AS shells, coalesce(ornamentals, 0.0) AS ornamentals FROM k LEFT JOIN orn USING (rgn_id))
+SELECT rgn_id, product, risk FROM w UNPIVOT (risk FOR product IN (corals, sponges, shells, ornamentals))""",
+)
+def q_risk_table(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    k = of.select(F.col("c_nationkey").alias("rgn_id")).distinct()
+    orn = (
+        of.where((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000))
+        .select(F.col("c_nationkey").alias("rgn_id"))
+        .distinct()
+        .withColumn("ornamentals", F.lit(1.0))
+    )
+    w = k.join(orn, "rgn_id", "left").select(
+        "rgn_id", F.lit(1.0).alias("corals"), F.lit(0.0).alias("sponges"), F.lit(0.0).alias("shells"),
+        F.coalesce("ornamentals", F.lit(0.0)).alias("ornamentals"),
+    )
+    return R.unpivot(w, ["rgn_id"], ["corals", "sponges", "shells", "ornamentals"], "product", "risk")
+
+
+# ---------------------------------------------------------------- projection and derivation (P*)
+
+
+_SEG_SQL = f"""{OF_SQL}, p AS (
+  SELECT c_nationkey AS rgn_id, {", ".join(f"avg(o_totalprice) FILTER (WHERE c_mktsegment = '{s}' AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') / 1000 AS {s.lower()}" for s in SEGMENTS)}
+  FROM of GROUP BY 1)"""
+
+
+def _seg_pivot(t):
+    of = order_facts(t).withColumn(
+        "seg", F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"), F.lower("c_mktsegment"))
+    )
+    p = of.groupBy(F.col("c_nationkey").alias("rgn_id")).pivot("seg", [s.lower() for s in SEGMENTS]).agg(F.avg("o_totalprice") / 1000)
+    return p
+
+
+@register(
+    "row_mean",
+    f"""WITH {_SEG_SQL}
+SELECT rgn_id, round(({" + ".join(f"coalesce({s.lower()}, 0)" for s in SEGMENTS)}) / NULLIF({" + ".join(f"CASE WHEN {s.lower()} IS NULL THEN 0 ELSE 1 END" for s in SEGMENTS)}, 0), 6) AS score FROM p""",
+)
+def q_row_mean(spark, sf):
+    p = _seg_pivot(Tables(spark, sf))
+    return p.select("rgn_id", r6(S.row_mean(*[s.lower() for s in SEGMENTS])).alias("score"))
+
+
+@register(
+    "row_sum",
+    f"""WITH {_SEG_SQL}
+SELECT rgn_id, round({" + ".join(f"coalesce({s.lower()}, 0)" for s in SEGMENTS)}, 6) AS score FROM p""",
+)
+def q_row_sum(spark, sf):
+    p = _seg_pivot(Tables(spark, sf))
+    return p.select("rgn_id", r6(S.row_sum(*[s.lower() for s in SEGMENTS])).alias("score"))
+
+
+@register(
+    "piecewise_score",
+    """WITH r AS (SELECT l_partkey, avg(l_quantity) / 25.0 AS ratio FROM lineitem GROUP BY 1)
+SELECT l_partkey, round(ratio, 6) AS ratio,
+       round(CASE WHEN ratio < 0.95 THEN ratio WHEN ratio > 1.05 THEN
+             CASE WHEN 1 - 0.5 * (ratio - 1.05) > 0.25 THEN 1 - 0.5 * (ratio - 1.05) ELSE 0.25 END ELSE 1.0 END, 6) AS score
+FROM r""",
+)
+def q_piecewise_score(spark, sf):
+    r = Tables(spark, sf).lineitem.groupBy("l_partkey").agg((F.avg("l_quantity") / 25.0).alias("ratio"))
+    return r.select("l_partkey", r6("ratio").alias("ratio"), r6(S.piecewise_score("ratio")).alias("score"))
+
+
+@register(
+    "rescale",
+    f"""WITH {LF_SQL} SELECT s_nationkey AS rgn_id, round((avg(l_tax * 75 + 1) - 1) / (7 - 1), 6) AS s FROM lf GROUP BY 1""",
+)
+def q_rescale(spark, sf):
+    lf = line_facts(Tables(spark, sf))
+    return lf.groupBy(F.col("s_nationkey").alias("rgn_id")).agg(r6(S.rescale(F.avg(F.col("l_tax") * 75 + 1), 1, 7)).alias("s"))
+
+
+# fixed values: segment recode (unmapped segments pass through)
+SEGMENT_RECODE = {"AUTOMOBILE": "AUTO", "HOUSEHOLD": "HOME"}
+
+
+@register(
+    "recode",
+    """SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AUTO' WHEN 'HOUSEHOLD' THEN 'HOME' ELSE c_mktsegment END AS segment,
+       count(*) AS n_orders
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+)
+def q_recode(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    return of.groupBy(S.recode("c_mktsegment", SEGMENT_RECODE).alias("segment")).agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+@register(
+    "coalesce_formula",
+    f"""WITH {OF_SQL}, m AS (
+  SELECT c_nationkey AS rgn_id, year,
+         CASE WHEN year <= 1996 THEN count(*) FILTER (WHERE o_orderpriority = '1-URGENT') / count(*) END AS ep,
+         CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS DOUBLE) AS ed,
+         CAST(count(*) AS DOUBLE) AS l,
+         count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS u
+  FROM of GROUP BY 1, 2)
+SELECT rgn_id, year, round(coalesce(ep, ed / NULLIF(l - l * u, 0)), 6) AS e FROM m""",
+)
+def q_coalesce_formula(spark, sf):
+    of = order_facts(Tables(spark, sf))
+    n = F.count(F.lit(1))
+    urgent = F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1))
+    m = of.groupBy(F.col("c_nationkey").alias("rgn_id"), "year").agg(
+        F.when(F.col("year") <= 1996, urgent / n).alias("ep"),
+        urgent.cast("double").alias("ed"),
+        n.cast("double").alias("l"),
+        (F.count(F.when(F.col("o_orderstatus") == "F", 1)) / n).alias("u"),
+    )
+    e = F.coalesce(F.col("ep"), S.safe_div("ed", F.col("l") - F.col("l") * F.col("u")))
+    return m.select("rgn_id", "year", r6(e).alias("e"))
+
+
+@register(
+    "nullify_keys",
+    f"""WITH {NY_SQL}, k AS (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')
+SELECT rgn_id, year, CASE WHEN rgn_id IN (SELECT n_nationkey FROM k) THEN NULL ELSE round(revenue, 2) END AS revenue FROM ny""",
+)
+def q_nullify_keys(spark, sf):
+    t = Tables(spark, sf)
+    k = (
+        t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .where(F.col("r_name") == "ASIA")
+        .select(F.col("n_nationkey").alias("rgn_id"), F.lit(True).alias("hit"))
+    )
+    j = nation_year_revenue(t).join(F.broadcast(k), "rgn_id", "left")
+    return j.select("rgn_id", "year", F.when(F.col("hit"), None).otherwise(F.round("revenue", 2)).alias("revenue"))
+
+
+@register(
+    "string_scalars",
+    """SELECT p_partkey, concat_ws('_', p_brand, p_type) AS stock_id, substring(p_brand, 7, 1) AS brand_digit,
+       regexp_replace(p_name, '^(\\w+) (\\w+)$', '\\2-\\1') AS swapped, lower(p_type) AS type_lc,
+       length(regexp_replace(p_name, '[^ ]', '', 'g')) AS n_spaces, printf('%.1f %s (%s)', p_size / 10.0, p_type, p_brand) AS label,
+       p_type LIKE 'S%' AS starts_s
+FROM part""",
+)
+def q_string_scalars(spark, sf):
+    p = Tables(spark, sf).part
+    return p.select(
+        "p_partkey",
+        F.concat_ws("_", "p_brand", "p_type").alias("stock_id"),
+        F.substring("p_brand", 7, 1).alias("brand_digit"),
+        F.regexp_replace("p_name", r"^(\w+) (\w+)$", "$2-$1").alias("swapped"),
+        F.lower("p_type").alias("type_lc"),
+        F.regexp_count("p_name", F.lit(" ")).cast("bigint").alias("n_spaces"),
+        F.format_string("%.1f %s (%s)", F.col("p_size") / 10.0, "p_type", "p_brand").alias("label"),
+        F.col("p_type").startswith("S").alias("starts_s"),
+    )
