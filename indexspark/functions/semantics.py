@@ -12,7 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_D = F.lit(None).cast("double")
+
+def _null_d() -> Column:
+    return F.lit(None).cast("double")
 
 
 def _c(x) -> Column:
@@ -36,7 +38,7 @@ def clamp(x, lo=None, hi=None) -> Column:
         y = F.greatest(y, F.lit(lo) if not isinstance(lo, Column) else lo)
     if hi is not None:
         y = F.least(y, F.lit(hi) if not isinstance(hi, Column) else hi)
-    return F.when(x.isNull(), NULL_D).otherwise(y)
+    return F.when(x.isNull(), _null_d()).otherwise(y)
 
 
 def isin_safe(x, values: Iterable) -> Column:
@@ -51,7 +53,7 @@ def not_in_safe(x, values: Iterable) -> Column:
 
 def nan_to_null(x) -> Column:
     """R treats NaN as NA; Spark's NaN would poison sums and win max/percentile."""
-    return F.nanvl(_c(x), NULL_D)
+    return F.nanvl(_c(x), _null_d())
 
 
 def safe_div(a, b) -> Column:
@@ -69,7 +71,7 @@ def row_mean(*cols) -> Column:
     cs = [_c(c) for c in cols]
     total = sum((F.coalesce(c, F.lit(0.0)) for c in cs), F.lit(0.0))
     n = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in cs), F.lit(0))
-    return F.when(n > 0, total / n).otherwise(NULL_D)
+    return F.when(n > 0, total / n).otherwise(_null_d())
 
 
 def row_sum(*cols) -> Column:
@@ -82,7 +84,7 @@ def piecewise_score(x, lower=0.95, upper=1.05, alpha=0.5, beta=0.25) -> Column:
     x = _c(x)
     over = F.lit(1.0) - F.lit(alpha) * (x - F.lit(upper))
     return (
-        F.when(x.isNull(), NULL_D)
+        F.when(x.isNull(), _null_d())
         .when(x < lower, x)
         .when(x > upper, F.when(over > beta, over).otherwise(F.lit(beta)))
         .otherwise(F.lit(1.0))
@@ -136,7 +138,7 @@ def weighted_mean(x, w, na_rm: bool = True) -> Column:
     bad_x = F.lit(False) if na_rm else F.sum(F.when(x.isNull() & (F.coalesce(w, F.lit(1.0)) != 0), 1).otherwise(0)) > 0
     num = F.sum(F.when(keep & (w != 0), x * w))
     den = F.sum(F.when(keep, w))
-    return F.when(bad_w | bad_x, NULL_D).otherwise(safe_div(F.coalesce(num, F.lit(0.0)), den))
+    return F.when(bad_w | bad_x, _null_d()).otherwise(safe_div(F.coalesce(num, F.lit(0.0)), den))
 
 
 def wmean_fallback(x, w) -> Column:
@@ -152,7 +154,7 @@ def geo_mean(x) -> Column:
     x = _c(x)
     n_zero = F.sum(F.when(x == 0, 1).otherwise(0))
     n_neg = F.sum(F.when(x < 0, 1).otherwise(0))
-    return F.when(n_neg > 0, NULL_D).when(n_zero > 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(x))))
+    return F.when(n_neg > 0, _null_d()).when(n_zero > 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(x))))
 
 
 def geo_wmean(s, w) -> Column:
