@@ -64,3 +64,28 @@ def dense_order(part, *order) -> Column:
     """``row_number`` in a given order; use only on bounded dimensions (ids, paths), never on facts."""
     w = Window.orderBy(*order) if part is None else _w(part).orderBy(*order)
     return F.row_number().over(w)
+
+
+def global_row_number(df: DataFrame, order: Sequence[str], name: str = "rn", partitions: int | None = None) -> DataFrame:
+    """A 1-based row number over the whole frame in ``order`` without a single-partition window.
+
+    Rows are range partitioned on the order keys, numbered within their partition, and shifted by the row counts of
+    all earlier partitions (a table with one row per partition). The partitioned frame is checkpointed first so the
+    sampled range bounds are fixed between the count and the numbering.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = (
+        df.repartitionByRange(n, *order)
+        .withColumn("__pid", F.spark_partition_id())
+        .withColumn("__lr", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
+        .checkpoint(eager=True)
+    )
+    counts = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(
+        "__pid", (F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))).alias("__off")
+    )
+    return (
+        local.join(F.broadcast(offsets), "__pid")
+        .withColumn(name, (F.coalesce("__off", F.lit(0)) + F.col("__lr")).cast("long"))
+        .drop("__pid", "__lr", "__off")
+    )
