@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import goal_queries, hierarchy_queries, operator_queries  # noqa: F401
+    from . import extension_queries, goal_queries, hierarchy_queries, operator_queries, store_queries  # noqa: F401
