@@ -47,7 +47,7 @@ def _values_sql(rows, cols: str) -> str:
 
 def _inputs(spark, sf):
     store = proxy_store(Tables(spark, sf), sorted(set(VALUE_LAYERS + ["rgn_area"]) | {x for g in EXT_GOALS for x in _goal_layers(g)}))
-    store = type(store)(store.df.checkpoint(eager=True))
+    store = store.materialize()
     leaf = rounded(run_leaf_goals(store, M.PROXY_PARAMS, only=set(EXT_GOALS)).scores)
     vals = store.select_many(VALUE_LAYERS).select(F.col("id_num").alias("region_id"), "layer", F.col("val_num").alias("value"))
     pm = spark.createDataFrame(PRESSURE_MATRIX, "goal string, layer string, weight double")

@@ -13,7 +13,6 @@ from . import composite as C
 from . import goals as G
 from . import metadata as M
 from . import proxy_sql as Q
-from .liveco import liv_eco
 from .registry import register
 from .scenario import LEAF_JOBS, run_leaf_goals, run_scenario
 
@@ -47,7 +46,7 @@ def store_for(spark, sf: str, goals, materialize: bool = True) -> LayerStore:
     goal plan read stored layers instead of re-running the family aggregations."""
     wanted = sorted({lyr for g in goals for lyr in GOAL_LAYERS.get(g, [])})
     store = proxy_store(Tables(spark, sf), wanted)
-    return LayerStore(store.df.checkpoint(eager=True)) if materialize else store
+    return store.materialize() if materialize else store
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -294,7 +293,7 @@ def composite_query(goal: str, leaves: list[str]):
     def run(spark, sf):
         store = store_for(spark, sf, leaves)
         res = run_leaf_goals(store, M.PROXY_PARAMS, only=set(leaves))
-        s = res.scores
+        s = rounded(res.scores)  # composites read the published (6 dp) leaf scores
         if goal == "FP":
             s = C.fp(proxy_store(Tables(spark, sf), ["fp_wildcaught_weight"]), s)[0]
         elif goal == "SP":
@@ -315,8 +314,7 @@ register("goal_le")(composite_query("LE", ["LIV", "ECO"]))
 
 
 def _scenario(spark, sf):
-    store = proxy_store(Tables(spark, sf))
-    store = LayerStore(store.df.checkpoint(eager=True))
+    store = proxy_store(Tables(spark, sf)).materialize()
     return store, run_scenario(store, M.PROXY_PARAMS)
 
 

@@ -88,12 +88,13 @@ def leaf_paths(all_nodes: DataFrame) -> DataFrame:
     return _leaf_paths(all_nodes, "path", "-", 2)
 
 
-def apportion_weights(paths: DataFrame, goals: DataFrame) -> DataFrame:
+def apportion_weights(paths: DataFrame, goals: DataFrame, materialize: bool = True) -> DataFrame:
     """H6: split goal weights over leaf layers.
 
     Branch 1 (root without own layers): ``layer_weight = path2_weight / n(path2)``. Branch 2 (root with subgoals and
     own ``root-root-layer`` leaves): ``share = path1_weight / n(path1)`` over all leaves of the root; own leaves get
-    ``share``; subgoal leaves get ``(path2_weight - share) / n(path2)``.
+    ``share``; subgoal leaves get ``(path2_weight - share) / n(path2)``. The path table is checkpointed (it is
+    metadata-sized and read by both branches) so the plan does not repeat the hierarchy build per branch.
     """
     p = paths.withColumns(
         {
@@ -107,6 +108,9 @@ def apportion_weights(paths: DataFrame, goals: DataFrame) -> DataFrame:
     with_sub = goals.where(F.col("parent").isNotNull()).select(F.col("parent").alias("path2")).distinct()
     own = p.join(F.broadcast(with_sub), "path2", "left_semi").select("path1").distinct().withColumn("__own", F.lit(True))
     p = p.join(F.broadcast(own), "path1", "left").withColumn("__own", F.coalesce("__own", F.lit(False)))
+    if materialize:  # one row per leaf path (metadata-sized); read four times below
+        p = p.checkpoint(eager=True)
+        own = p.where("__own").select("path1").distinct()
     b1 = p.where(~F.col("__own")).withColumn("layer_weight", F.col("path2_weight") / count_in(["path2", "path2_weight"]))
     b2 = p.where(F.col("__own")).withColumn("layers_weight", F.col("path1_weight") / count_in(["path1", "path1_weight"]))
     own_codes = own.select(F.col("path1").alias("__code")).withColumn("__is_own", F.lit(True))

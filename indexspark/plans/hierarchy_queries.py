@@ -73,7 +73,9 @@ def _all_nodes(t: Tables) -> DataFrame:
     goals = proxy_goals(t)
     cat = proxy_catalog(t)
     nodes = H.goal_nodes(goals)
-    return H.layer_nodes(nodes, H.target_bridge(cat), goals, proxy_pressures(t), proxy_resilience(t), cat)
+    all_nodes = H.layer_nodes(nodes, H.target_bridge(cat), goals, proxy_pressures(t), proxy_resilience(t), cat)
+    # the node table is metadata-sized and is read several times by the leaf filter and weights: materialise it once
+    return all_nodes.checkpoint(eager=True)
 
 
 # ---------------------------------------------------------------- SQL fragments

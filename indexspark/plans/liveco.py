@@ -163,17 +163,18 @@ def _to_regions(country: DataFrame, lookup: DataFrame, weights: DataFrame) -> Da
     )
 
 
-def liv_eco(
+def liv_eco_pair(
     layers: LayerStore,
-    subgoal: str,
     liv_workforcesize_year: int,
     eco_rev_adj_min_year: int,
     fixes: CountryFixes | None = None,
     region_labels: str = "rgn_labels",
     gapfill: bool = True,
-) -> GoalResult:
+    materialize: bool = True,
+) -> dict[str, GoalResult]:
+    """LIV and ECO together: the country status/trend and the country-to-region aggregation are computed once for
+    both components (region-sized tables, checkpointed when ``materialize``), then each sub-goal is gap filled."""
     spark = layers.df.sparkSession
-    component = COMPONENT[subgoal]
     lookup = country_region_lookup(layers, fixes, region_labels)
     weights = _weights(layers, liv_workforcesize_year, eco_rev_adj_min_year)
     landlocked = list(fixes.landlocked) if fixes else []
@@ -186,8 +187,10 @@ def liv_eco(
     )
     s_r = _to_regions(st, lookup, weights)
     g_r = _to_regions(tr, lookup, weights).where(F.col("rgn_id").isNotNull())
+    if materialize:
+        s_r, g_r = s_r.checkpoint(eager=True), g_r.checkpoint(eager=True)
 
-    def finish(df: DataFrame, dimension: str, scale: float) -> tuple[DataFrame, DataFrame]:
+    def finish(df: DataFrame, component: str, subgoal: str, dimension: str, scale: float) -> tuple[DataFrame, DataFrame]:
         data = df.where(F.col("component") == component).select("rgn_id", "score", "w_sum")
         if gapfill:
             filled = gapfill_georegions(data, georegions, "rgn_id", "score", "w_sum", r0_to_na=True)
@@ -196,11 +199,27 @@ def liv_eco(
             filled, out = data, data.select("rgn_id", "score")
         return scores_frame(out.withColumn("score", F.col("score") * scale), subgoal, dimension, "rgn_id"), filled
 
-    status, st_attr = finish(s_r, "status", 100.0)
-    trend, tr_attr = finish(g_r, "trend", 1.0)
-    return GoalResult(
-        status.unionByName(trend),
-        refpoint(spark, subgoal, "country-level relative change, aggregated to regions"),
-        {"country_region_unmatched": unmatched, "status_regions": s_r, "trend_regions": g_r,
-         "status_gapfill": st_attr, "trend_gapfill": tr_attr},
-    )
+    results = {}
+    for subgoal, component in COMPONENT.items():
+        status, st_attr = finish(s_r, component, subgoal, "status", 100.0)
+        trend, tr_attr = finish(g_r, component, subgoal, "trend", 1.0)
+        results[subgoal] = GoalResult(
+            status.unionByName(trend),
+            refpoint(spark, subgoal, "country-level relative change, aggregated to regions"),
+            {"country_region_unmatched": unmatched, "status_regions": s_r, "trend_regions": g_r,
+             f"{subgoal.lower()}_status_gapfill": st_attr, f"{subgoal.lower()}_trend_gapfill": tr_attr},
+        )
+    return results
+
+
+def liv_eco(
+    layers: LayerStore,
+    subgoal: str,
+    liv_workforcesize_year: int,
+    eco_rev_adj_min_year: int,
+    fixes: CountryFixes | None = None,
+    region_labels: str = "rgn_labels",
+    gapfill: bool = True,
+) -> GoalResult:
+    """One sub-goal (``'LIV'`` or ``'ECO'``), the reference's calling convention."""
+    return liv_eco_pair(layers, liv_workforcesize_year, eco_rev_adj_min_year, fixes, region_labels, gapfill)[subgoal]

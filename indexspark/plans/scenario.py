@@ -17,7 +17,7 @@ from ..sources.layers import LayerStore
 from . import composite as C
 from . import goals as G
 from . import metadata as M
-from .liveco import liv_eco
+from .liveco import liv_eco_pair
 
 LeafJob = Callable[[LayerStore, DataFrame, Mapping], G.GoalResult]
 
@@ -29,8 +29,8 @@ LEAF_JOBS: dict[str, LeafJob] = {
     "CS": lambda L, s, p: G.cs(L),
     "CP": lambda L, s, p: G.cp(L),
     "TR": lambda L, s, p: G.tr(L, p["status_year"], p.get("pct_ref", 90)),
-    "LIV": lambda L, s, p: liv_eco(L, "LIV", p["liv_workforcesize_year"], p["eco_rev_adj_min_year"], p.get("fixes")),
-    "ECO": lambda L, s, p: liv_eco(L, "ECO", p["liv_workforcesize_year"], p["eco_rev_adj_min_year"], p.get("fixes")),
+    "LIV": lambda L, s, p: _pair(L, p)["LIV"],
+    "ECO": lambda L, s, p: _pair(L, p)["ECO"],
     "ICO": lambda L, s, p: G.ico(L),
     "LSP": lambda L, s, p: G.lsp(L, p["status_year"], p.get("ref_pct_cmpa", 30), p.get("ref_pct_cp", 30)),
     "CW": lambda L, s, p: G.cw(L),
@@ -40,6 +40,17 @@ LEAF_JOBS: dict[str, LeafJob] = {
 
 COMPOSITES = ("FP", "LE", "SP", "BD")
 
+_PAIRS: dict[tuple, dict] = {}
+
+
+def _pair(layers: LayerStore, p: Mapping) -> dict[str, G.GoalResult]:
+    """LIV and ECO share one computation per (store, parameters)."""
+    key = (id(layers), p["liv_workforcesize_year"], p["eco_rev_adj_min_year"], id(p.get("fixes")))
+    if key not in _PAIRS:
+        _PAIRS.clear()
+        _PAIRS[key] = liv_eco_pair(layers, p["liv_workforcesize_year"], p["eco_rev_adj_min_year"], p.get("fixes"))
+    return _PAIRS[key]
+
 
 def empty_scores(spark) -> DataFrame:
     return spark.createDataFrame([], G.SCORES_SCHEMA)

@@ -12,6 +12,7 @@ shapes by name, instead of one plan branch per file.
 from __future__ import annotations
 
 import os
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -95,6 +96,18 @@ class LayerStore:
     def read(spark: SparkSession, path: str) -> LayerStore:
         return LayerStore(spark.read.schema(LONG_SCHEMA).parquet(path))
 
+    def materialize(self, path: str | None = None) -> LayerStore:
+        """Write the store as Parquet partitioned by ``layer`` (default: a fresh folder under the session's checkpoint
+        directory, which is shared storage on a cluster) and return the store read back, so that every later layer
+        selection is a partition-pruned scan and the lineage to the source tables is cut."""
+        spark = self.df.sparkSession
+        if path is None:
+            from ..session import ensure_checkpoint_dir
+
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layer-store-{uuid.uuid4().hex}"
+        self.write(path)
+        return LayerStore.read(spark, path)
+
     @staticmethod
     def snapshot(spark: SparkSession, path: str, build) -> LayerStore:
         """Reuse a written store when present, else build it (a callable returning a LayerStore) and write it."""
