@@ -808,7 +808,7 @@ def q_lookup_join(spark, sf):
 @register(
     "optional_multiplier",
     f"""WITH {OF_SQL}
-SELECT c_nationkey AS rgn_id, o_orderpriority, round(sum(o_totalprice * coalesce(weight, 1.0)), 2) AS xtr
+SELECT c_nationkey AS rgn_id, o_orderpriority, round(sum(o_totalprice * coalesce(weight, 1.0)), 4) AS xtr
 FROM of LEFT JOIN {PRIORITY_VALUES_SQL} USING (o_orderpriority) GROUP BY 1, 2""",
 )
 def q_optional_multiplier(spark, sf):
@@ -816,7 +816,7 @@ def q_optional_multiplier(spark, sf):
     pw = J.lookup_table(spark, PRIORITY_WEIGHTS, "o_orderpriority string, weight double")
     j = of.join(pw, "o_orderpriority", "left")
     return j.groupBy(F.col("c_nationkey").alias("rgn_id"), "o_orderpriority").agg(
-        F.round(F.sum(F.col("o_totalprice") * F.coalesce("weight", F.lit(1.0))), 2).alias("xtr")
+        F.round(F.sum(F.col("o_totalprice") * F.coalesce("weight", F.lit(1.0))), 4).alias("xtr")
     )
 
 
@@ -864,7 +864,7 @@ NAME_VALUES_SQL = "(VALUES ('NATION_3', 0.25), ('NATION_7', 0.5), ('NATION_11',
 @register(
     "name_join",
     f"""WITH {NY_SQL}, m AS (SELECT n_nationkey AS rgn_id, multiplier FROM {NAME_VALUES_SQL} LEFT JOIN nation ON n_name = rgn_name WHERE n_nationkey IS NOT NULL)
-SELECT ny.rgn_id, year, round(CASE WHEN multiplier IS NOT NULL THEN multiplier * revenue ELSE revenue END, 2) AS xtr
+SELECT ny.rgn_id, year, round(CASE WHEN multiplier IS NOT NULL THEN multiplier * revenue ELSE revenue END, 4) AS xtr
 FROM ny LEFT JOIN m ON ny.rgn_id = m.rgn_id""",
 )
 def q_name_join(spark, sf):
@@ -873,7 +873,7 @@ def q_name_join(spark, sf):
     m = tw.join(t.nation, F.col("n_name") == F.col("rgn_name"), "left").where(F.col("n_nationkey").isNotNull())
     m = m.select(F.col("n_nationkey").alias("rgn_id"), "multiplier")
     j = nation_year_revenue(t).join(F.broadcast(m), "rgn_id", "left")
-    return j.select("rgn_id", "year", F.round(F.coalesce(F.col("multiplier") * F.col("revenue"), F.col("revenue")), 2).alias("xtr"))
+    return j.select("rgn_id", "year", F.round(F.coalesce(F.col("multiplier") * F.col("revenue"), F.col("revenue")), 4).alias("xtr"))
 
 
 @register(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import recode, safe_div
 from ..operators.windows import share_of_total
 from .layers import LONG_COLUMNS, LayerStore, to_long
-from .tables import Tables, line_facts, order_facts
+from .tables import Tables, year_of
 
 # fixed values: p_type -> habitat (HAB, CS, CP, NP exposure) and p_type -> natural product (NP)
 TYPE_HABITAT = {
@@ -58,45 +58,123 @@ def _wide_to_long(df: DataFrame, layer_cols: dict[str, str], **keys) -> DataFram
     return to_long(stacked, F.col("__s.__layer"), val_num=F.col("__s.__v"), **keys)
 
 
-def _avg_if(cond: Column, x: Column) -> Column:
-    return F.avg(F.when(cond, x))
+def _ratio(num: Column, den: Column) -> Column:
+    """Mean recomposed from partial sums: ``sum(x) / count(x)``; NULL when there is no row."""
+    return safe_div(num, den)
+
+
+def _sum_if(cond: Column, x: str | Column) -> Column:
+    return F.sum(F.when(cond, F.col(x) if isinstance(x, str) else x))
+
+
+# ---------------------------------------------------------------- shared fact pre-aggregates
+#
+# Each fact table is partially aggregated once on its dimension join keys plus the low-cardinality columns the layers
+# test (flags, year). Map-side combine collapses hot keys before the shuffle, the join to the (possibly large)
+# dimension tables then sees at most one row per key combination, and every family below reads the same
+# pre-aggregate, so one plan that builds many layers shuffles each fact table once (identical subtrees are reused).
+
+
+def _shared(t: Tables, key: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+    """Build a shared pre-aggregate once per ``Tables`` and materialise it (reliable checkpoint in the session's
+    checkpoint directory). Column pruning would otherwise give every family its own copy of the aggregate, and the
+    fact table would be scanned and shuffled once per family instead of once per store."""
+    cache = t.__dict__.setdefault("_shared", {})
+    if key not in cache:
+        cache[key] = build(t).checkpoint(eager=True) if t.materialize_shared else build(t)
+    return cache[key]
+
+
+def line_pre(t: Tables) -> DataFrame:
+    """lineitem -> (l_suppkey, l_partkey, year, l_returnflag, l_linestatus) partial sums and counts."""
+    return _shared(t, "line_pre", _line_pre)
+
+
+def order_pre(t: Tables) -> DataFrame:
+    """orders -> (o_custkey, year, o_orderpriority, o_orderstatus) partial sums and counts."""
+    return _shared(t, "order_pre", _order_pre)
+
+
+def _line_pre(t: Tables) -> DataFrame:
+    d, q, tax = F.col("l_discount"), F.col("l_quantity"), F.col("l_tax")
+    return t.lineitem.groupBy("l_suppkey", "l_partkey", year_of("l_shipdate").alias("year"), "l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(q).alias("q"),
+        F.sum(d).alias("d"),
+        F.sum(tax).alias("tax"),
+        F.sum("l_extendedprice").alias("rev"),
+        F.sum(F.round(d * 100).cast("int")).alias("d_c"),
+        F.sum(F.round(tax * 100).cast("int")).alias("tax_c"),
+        F.sum(F.when(q > 48, q).otherwise(0.0)).alias("q_gt48"),
+        F.sum(F.when(d >= 0.08, q)).alias("q_d08"),
+        F.count(F.when(d >= 0.08, 1)).alias("n_d08"),
+        F.count(F.when(d == 0, 1)).alias("n_d0"),
+        F.count(F.when(d >= 0.1, 1)).alias("n_d10"),
+    )
+
+
+def _order_pre(t: Tables) -> DataFrame:
+    return t.orders.groupBy("o_custkey", year_of("o_orderdate").alias("year"), "o_orderpriority", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("o_totalprice").alias("price"),
+        F.count(F.when(F.col("o_totalprice") > 400000, 1)).alias("n_gt400k"),
+    )
+
+
+def _line_supp(t: Tables) -> DataFrame:
+    return line_pre(t).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def _line_part(t: Tables) -> DataFrame:
+    p = t.part.select("p_partkey", "p_type", "p_brand", "p_name")
+    return _line_supp(t).join(p, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _order_cust(t: Tables) -> DataFrame:
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = t.nation.select("n_nationkey", "n_name")
+    return order_pre(t).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 # ---------------------------------------------------------------- families
 
 
 def fam_line_nation(t: Tables) -> DataFrame:
-    lf = line_facts(t)
-    d, tax, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
+    lf = _line_supp(t)
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
-    rev = F.col("l_extendedprice")
+    n = F.col("n")
+
+    def mean_if(cond: Column, x: str) -> Column:
+        return _ratio(_sum_if(cond, x), _sum_if(cond, n))
+
     g = lf.groupBy(rgn("s_nationkey").alias("rgn_id")).agg(
-        (_avg_if(rf == "R", d) * 10).alias("po_pathogens"),
-        (F.avg(tax) * 12.5).alias("po_nutrients_3nm"),
-        (_avg_if(ls == "F", d) * 10).alias("po_chemicals_3nm"),
-        (_avg_if(rf == "A", q) / 50).alias("po_trash"),
-        ((_avg_if(rf == "N", d) - 0.05) * 10).alias("cw_pesticide_trend"),
-        ((_avg_if(rf == "A", tax) - 0.04) * 12.5).alias("cw_fertilizer_trend"),
-        ((_avg_if(ls == "O", q) - 25.5) / 25.5).alias("cw_coastalpopn_trend"),
-        ((_avg_if(ls == "F", d) - 0.05) * 10).alias("cw_pathogen_trend"),
-        (F.lit(1.0) + F.avg(d) * 60).alias("tr_sustainability"),
-        safe_div(F.sum(F.when(rf == "N", rev).otherwise(0.0)), F.sum(rev)).alias("fp_wildcaught_weight"),
-        (F.avg(F.when((d == 0) & (rf == "R"), 1.0).otherwise(0.0)) * 10).alias("np_blast"),
-        (F.avg(F.when((d >= 0.1) & (rf == "N"), 1.0).otherwise(0.0)) * 10).alias("np_cyanide"),
+        (mean_if(rf == "R", "d") * 10).alias("po_pathogens"),
+        (_ratio(F.sum("tax"), F.sum(n)) * 12.5).alias("po_nutrients_3nm"),
+        (mean_if(ls == "F", "d") * 10).alias("po_chemicals_3nm"),
+        (mean_if(rf == "A", "q") / 50).alias("po_trash"),
+        ((mean_if(rf == "N", "d") - 0.05) * 10).alias("cw_pesticide_trend"),
+        ((mean_if(rf == "A", "tax") - 0.04) * 12.5).alias("cw_fertilizer_trend"),
+        ((mean_if(ls == "O", "q") - 25.5) / 25.5).alias("cw_coastalpopn_trend"),
+        ((mean_if(ls == "F", "d") - 0.05) * 10).alias("cw_pathogen_trend"),
+        (F.lit(1.0) + _ratio(F.sum("d"), F.sum(n)) * 60).alias("tr_sustainability"),
+        safe_div(F.sum(F.when(rf == "N", F.col("rev")).otherwise(0.0)), F.sum("rev")).alias("fp_wildcaught_weight"),
+        (_ratio(_sum_if(rf == "R", "n_d0"), F.sum(n)) * 10).alias("np_blast"),
+        (_ratio(_sum_if(rf == "N", "n_d10"), F.sum(n)) * 10).alias("np_cyanide"),
     )
     cols = [c for c in g.columns if c != "rgn_id"]
     return _wide_to_long(g, {c: c for c in cols}, id_num="rgn_id")
 
 
 def fam_order_nation(t: Tables) -> DataFrame:
-    of = order_facts(t)
-    n = F.count(F.lit(1))
+    of = _order_cust(t)
+    n = F.col("n")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
     g = of.groupBy(rgn("c_nationkey").alias("rgn_id")).agg(
-        (F.avg("o_totalprice") / 500000).alias("spp_status"),
-        (F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0)) - 0.2).alias("spp_trend"),
-        F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("ao_access"),
-        n.cast("double").alias("rgn_area_inland1km"),
-        (n * 0.5).alias("rgn_area_offshore3nm"),
+        (_ratio(F.sum("price"), F.sum(n)) / 500000).alias("spp_status"),
+        (_ratio(_sum_if(urgent, n), F.sum(n)) - 0.2).alias("spp_trend"),
+        _ratio(_sum_if(F.col("o_orderstatus") == "F", n), F.sum(n)).alias("ao_access"),
+        F.sum(n).cast("double").alias("rgn_area_inland1km"),
+        (F.sum(n) * 0.5).alias("rgn_area_offshore3nm"),
         F.count_distinct("o_custkey").cast("double").alias("rgn_area"),
     )
     cols = [c for c in g.columns if c != "rgn_id"]
@@ -104,25 +182,26 @@ def fam_order_nation(t: Tables) -> DataFrame:
 
 
 def fam_order_nation_year(t: Tables) -> DataFrame:
-    of = order_facts(t).join(t.nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    of = _order_cust(t)
     urgent = F.col("o_orderpriority") == "1-URGENT"
     st = F.col("o_orderstatus")
-    n = F.count(F.lit(1))
+    n = F.col("n")
+    tot = F.sum(n)
     g = of.groupBy(rgn("c_nationkey").alias("rgn_id"), F.col("n_name").alias("cntry_key"), "year").agg(
-        (F.avg(F.when(urgent, 1.0).otherwise(0.0)) * 2).alias("ao_need"),
-        F.count(F.when(urgent, 1)).cast("double").alias("tr_jobs_tourism"),
-        F.when(F.col("year") <= 1996, F.avg(F.when(urgent, 1.0).otherwise(0.0))).alias("tr_jobs_pct_tourism"),
-        F.avg(F.when(st == "F", 1.0).otherwise(0.0)).alias("tr_unemployment"),
-        n.cast("double").alias("tr_jobs_total"),
-        F.count(F.when(urgent & (F.col("o_totalprice") > 400000), 1)).cast("double").alias("le_popn"),
+        (_ratio(_sum_if(urgent, n), tot) * 2).alias("ao_need"),
+        F.coalesce(_sum_if(urgent, n), F.lit(0)).cast("double").alias("tr_jobs_tourism"),
+        F.when(F.col("year") <= 1996, _ratio(F.coalesce(_sum_if(urgent, n), F.lit(0)), tot)).alias("tr_jobs_pct_tourism"),
+        _ratio(F.coalesce(_sum_if(st == "F", n), F.lit(0)), tot).alias("tr_unemployment"),
+        tot.cast("double").alias("tr_jobs_total"),
+        F.coalesce(_sum_if(urgent, "n_gt400k"), F.lit(0)).cast("double").alias("le_popn"),
         F.count_distinct("o_custkey").cast("double").alias("mar_coastalpopn_inland25mi"),
-        F.count(F.when((st == "F") & urgent, 1)).cast("double").alias("lsp_prot_area_inland1km"),
-        F.count(F.when((st == "F") & (F.col("o_orderpriority") == "2-HIGH"), 1)).cast("double").alias("lsp_prot_area_offshore3nm"),
-        (F.avg("o_totalprice") / 1000).alias("le_gdp_pc_ppp"),
+        F.coalesce(_sum_if((st == "F") & urgent, n), F.lit(0)).cast("double").alias("lsp_prot_area_inland1km"),
+        F.coalesce(_sum_if((st == "F") & (F.col("o_orderpriority") == "2-HIGH"), n), F.lit(0)).cast("double").alias("lsp_prot_area_offshore3nm"),
+        (_ratio(F.sum("price"), tot) / 1000).alias("le_gdp_pc_ppp"),
         F.count_distinct("o_custkey").cast("double").alias("le_workforcesize_adj"),
-        F.sum("o_totalprice").alias("le_revenue_adj"),
-        (F.avg(F.when(st == "F", 1.0).otherwise(0.0)) * 100).alias("le_unemployment"),
-        F.sum("o_totalprice").alias("le_gdp"),
+        F.sum("price").alias("le_revenue_adj"),
+        (_ratio(F.coalesce(_sum_if(st == "F", n), F.lit(0)), tot) * 100).alias("le_unemployment"),
+        F.sum("price").alias("le_gdp"),
     )
     by_rgn = ["ao_need", "tr_jobs_tourism", "tr_jobs_pct_tourism", "tr_unemployment", "tr_jobs_total", "le_popn",
               "mar_coastalpopn_inland25mi", "lsp_prot_area_inland1km", "lsp_prot_area_offshore3nm"]
@@ -133,24 +212,24 @@ def fam_order_nation_year(t: Tables) -> DataFrame:
 
 
 def fam_order_nation_sector(t: Tables) -> DataFrame:
-    of = order_facts(t).join(t.nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
-    y, p = F.col("year"), F.col("o_totalprice")
+    of = _order_cust(t)
+    y = F.col("year")
     urgent = F.col("o_orderpriority") == "1-URGENT"
     aggs = []
     for period, yr in (("cur", 2000), ("ref", 1996)):
         for kind, cond in (("base", F.lit(True)), ("adj", urgent)):
             sel = (y == yr) & cond
             aggs += [
-                F.count(F.when(sel, 1)).cast("double").alias(f"le_jobs_{period}_{kind}_value"),
-                F.coalesce(F.sum(F.when(sel, p)), F.lit(0.0)).alias(f"le_rev_{period}_{kind}_value"),
-                F.avg(F.when(sel, p)).alias(f"le_wage_{period}_{kind}_value"),
+                F.coalesce(_sum_if(sel, "n"), F.lit(0)).cast("double").alias(f"le_jobs_{period}_{kind}_value"),
+                F.coalesce(_sum_if(sel, "price"), F.lit(0.0)).alias(f"le_rev_{period}_{kind}_value"),
+                _ratio(_sum_if(sel, "price"), _sum_if(sel, "n")).alias(f"le_wage_{period}_{kind}_value"),
             ]
     g = of.groupBy(F.col("n_name").alias("cntry_key"), F.col("c_mktsegment").alias("sector")).agg(*aggs)
     cols = [c for c in g.columns if c.startswith("le_")]
     sy = of.groupBy(F.col("n_name").alias("cntry_key"), F.col("c_mktsegment").alias("sector"), "year").agg(
-        F.count(F.lit(1)).cast("double").alias("le_jobs_sector_year"),
-        F.sum(p).alias("le_rev_sector_year"),
-        F.avg(p).alias("le_wage_sector_year"),
+        F.sum("n").cast("double").alias("le_jobs_sector_year"),
+        F.sum("price").alias("le_rev_sector_year"),
+        _ratio(F.sum("price"), F.sum("n")).alias("le_wage_sector_year"),
     )
     a = _wide_to_long(g, {c: c for c in cols}, id_chr="cntry_key", category="sector")
     b = _wide_to_long(sy, {c: c for c in ("le_jobs_sector_year", "le_rev_sector_year", "le_wage_sector_year")},
@@ -158,23 +237,19 @@ def fam_order_nation_sector(t: Tables) -> DataFrame:
     return a.unionByName(b)
 
 
-def _line_part(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", "p_type", "p_brand", "p_name")
-    return line_facts(t).join(p, F.col("l_partkey") == F.col("p_partkey"))
-
-
 def fam_line_nation_type(t: Tables) -> DataFrame:
     lp = _line_part(t).withColumn("habitat", recode("p_type", TYPE_HABITAT)).withColumn("product", recode("p_type", TYPE_PRODUCT))
-    ext_x = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48), F.col("l_quantity")).otherwise(0.0)
+    is_n = F.col("l_returnflag") == "N"
     g = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "habitat", "product", "l_linestatus").agg(
-        F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_discount"))).alias("dn"),
-        F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("nn"),
-        F.sum(ext_x).alias("ext"), F.sum("l_extendedprice").alias("rev"),
+        F.sum("q").alias("q"), F.sum("n").alias("n"),
+        _sum_if(is_n, "d").alias("dn"),
+        F.coalesce(_sum_if(is_n, "n"), F.lit(0)).alias("nn"),
+        F.sum(F.when(F.col("l_returnflag") == "R", F.col("q_gt48")).otherwise(0.0)).alias("ext"),
+        F.sum("rev").alias("rev"),
     )
     h = g.groupBy("rgn_id", "habitat", "product").agg(
         (F.sum("q") / F.sum("n") / 26).alias("hab_health"),
-        ((F.sum("dn") / F.sum("nn")) - 0.05).alias("hab_trend_raw"),
+        (safe_div(F.sum("dn"), F.sum("nn")) - 0.05).alias("hab_trend_raw"),
         F.sum("ext").alias("hab_extent"),
         F.sum("rev").alias("rev"),
     ).withColumn("hab_trend", F.col("hab_trend_raw") * 10)
@@ -196,7 +271,7 @@ def fam_np_harvest(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     lp = _line_part(t).where(F.col("l_returnflag") == "A").withColumn("product", recode("p_type", TYPE_PRODUCT))
-    g = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "product", "year").agg(F.sum("l_quantity").alias("tonnes"))
+    g = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "product", "year").agg(F.sum("q").alias("tonnes"))
     peak = F.max("tonnes").over(Window.partitionBy("rgn_id", "product")) * 0.65
     g = g.withColumn("tonnes_rel", F.least(F.lit(1.0), safe_div("tonnes", peak)))
     return _wide_to_long(g, {"np_harvest_tonnes": "tonnes", "np_harvest_tonnes_relative": "tonnes_rel"},
@@ -209,9 +284,9 @@ def _brand_no(col: str = "p_brand") -> Column:
 
 def fam_mar(t: Tables) -> DataFrame:
     lp = _line_part(t).withColumn("species_code", _brand_no())
-    sparse = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08)
-    tonnes = lp.where(sparse).groupBy(rgn("s_nationkey").alias("rgn_id"), "species_code", "year").agg(F.sum("l_quantity").alias("v"))
-    sust = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "species_code").agg((1 - F.avg("l_discount") * 5).alias("v"))
+    sparse = (F.col("l_returnflag") == "R") & (F.col("n_d08") > 0)
+    tonnes = lp.where(sparse).groupBy(rgn("s_nationkey").alias("rgn_id"), "species_code", "year").agg(F.sum("q_d08").alias("v"))
+    sust = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "species_code").agg((1 - _ratio(F.sum("d"), F.sum("n")) * 5).alias("v"))
     species = t.part.select(_brand_no().alias("species_code"), F.col("p_brand").alias("species")).distinct()
     return (
         to_long(tonnes, "mar_harvest_tonnes", id_num="rgn_id", category="species_code", year="year", val_num="v")
@@ -231,8 +306,10 @@ def fam_fis(t: Tables) -> DataFrame:
         F.concat_ws("_", F.col("fao_id").cast("string"), F.col("l_suppkey").cast("string")).alias("fao_saup_id"),
         F.concat_ws("_", "taxon_name", F.col("taxon_key").cast("string")).alias("taxon"),
         "year",
-    ).agg(F.sum("l_quantity").alias("v"))
-    bmsy = lp.where(F.col("l_returnflag") == "R").groupBy("fao_id", "taxon_name", "year").agg((F.avg("l_discount") * 20 + 0.5).alias("v"))
+    ).agg(F.sum("q").alias("v"))
+    bmsy = lp.where(F.col("l_returnflag") == "R").groupBy("fao_id", "taxon_name", "year").agg(
+        (_ratio(F.sum("d"), F.sum("n")) * 20 + 0.5).alias("v")
+    )
     prop = t.supplier.select(
         F.col("s_suppkey").alias("saup_id"),
         rgn("s_nationkey").cast("string").alias("rgn_id"),
@@ -248,13 +325,13 @@ def fam_fis(t: Tables) -> DataFrame:
 def fam_ico(t: Tables) -> DataFrame:
     lp = _line_part(t)
     # integer cents keep the category boundaries exact whatever the summation order
-    d = F.floor(F.sum(F.round(F.col("l_discount") * 100).cast("int")) / F.count(F.lit(1))).cast("int")
+    d = F.floor(F.sum("d_c") / F.sum("n")).cast("int")
     cats = F.create_map(*[F.lit(x) for kv in {2: "LC", 3: "NT", 4: "VU", 5: "EN", 6: "CR", 7: "EX"}.items() for x in kv])
     st = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), F.col("p_name").alias("sciname"), "l_returnflag").agg(
         F.coalesce(F.element_at(cats, d), F.lit("DD")).alias("cat")
     )
-    tax2 = F.sum(F.round(F.col("l_tax") * 100).cast("int")) * 2
-    n = F.count(F.lit(1))
+    tax2 = F.sum("tax_c") * 2
+    n = F.sum("n")
     tr = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), F.col("p_name").alias("sciname")).agg(
         F.when(tax2 < n * 7, "decreasing").when(tax2 < n * 9, "stable").otherwise("increasing").alias("cat")
     )
