@@ -89,3 +89,27 @@ def test_to_long_nan_becomes_null(spark):
     r = to_long(df, "x", id_num="rgn_id", val_num="v").collect()[0]
     assert r.val_num is None and r.layer == "x"
     assert F is not None
+
+
+def test_catalog_rule_and_csv_scoring(spark):
+    from indexspark.plans.scenario import score_csv_layers
+    from indexspark.sources.catalog import entry_from_header
+
+    e = entry_from_header("hab_health", "hab_health.csv", ["rgn_id", "habitat", "health"])
+    assert (e["fld_id_num"], e["fld_category"], e["fld_val_num"], e["targets"]) == ("rgn_id", "habitat", "health", "CS CP HAB")
+    e = entry_from_header("le_wage_sector_year", "x.csv", ["cntry_key", "sector", "year", "value"])
+    assert (e["fld_id_chr"], e["fld_category"], e["fld_year"], e["fld_val_num"]) == ("cntry_key", "sector", "year", "value")
+    e = entry_from_header("fis_proparea_saup2rgn", "x.csv", ["saup_id", "rgn_id", "prop_area"])
+    assert (e["fld_id_num"], e["fld_category"]) == ("saup_id", "rgn_id")
+    d = tempfile.mkdtemp(prefix="indexspark-csv-scenario-")
+    for lyr in ("po_pathogens", "po_nutrients_3nm", "po_chemicals_3nm", "po_trash"):
+        _write(d, f"{lyr}.csv", b'"rgn_id","pressure_score"\n1,0.5\n2,NA\n')
+    for lyr in ("cw_pesticide_trend", "cw_fertilizer_trend", "cw_coastalpopn_trend", "cw_pathogen_trend"):
+        _write(d, f"{lyr}.csv", b'"rgn_id","trend"\r\n1,0.2\r\n2,-0.4\r\n')
+    _write(d, "spp_status.csv", b'"rgn_id","score"\n1,0.81\n')
+    _write(d, "spp_trend.csv", b'"rgn_id","score"\n1,0.01\n')
+    res = score_csv_layers(spark, d, goals={"CW", "SPP"})
+    got = {(r.goal, r.region_id, r.dimension): r.score for r in res.scores.collect()}
+    assert abs(got[("CW", 1, "status")] - 50.0) < 1e-9 and got[("CW", 2, "status")] is None
+    assert abs(got[("CW", 1, "trend")] + 0.2) < 1e-12 and abs(got[("CW", 2, "trend")] - 0.4) < 1e-12
+    assert abs(got[("SPP", 1, "status")] - 81.0) < 1e-9
