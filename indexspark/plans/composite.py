@@ -100,7 +100,8 @@ def pre_global(layers: LayerStore, scores: DataFrame, region_labels: str = "rgn_
 
 
 def finalize(layers: LayerStore, scores: DataFrame, goals: Sequence[str] | None = None, region_labels: str = "rgn_global") -> DataFrame:
-    """Complete grid region x dimension x (goals + Index) minus the two exclusions, full merge, round 2 dp."""
+    """Complete grid region x dimension x (goals + Index) minus the two exclusions, full merge, round 2 dp
+    half-even."""
     goal_codes = list(goals) if goals is not None else [g[3] for g in M.GOALS]
     rg = layers.narrow(region_labels, id_num="region_id").select(F.col("region_id").cast("int"))
     regions = rg.unionByName(rg.sparkSession.range(1).select(F.lit(0).cast("int").alias("region_id"))).distinct()
@@ -111,4 +112,5 @@ def finalize(layers: LayerStore, scores: DataFrame, goals: Sequence[str] | None
     )
     keys = ["goal", "dimension", "region_id"]
     merged = scores.select(*keys, "score").join(grid.select(*keys), on=keys, how="full")
-    return merged.select("goal", "dimension", "region_id", S.r_round("score", 2).alias("score"))
+    # half-even at 2 dp after removing floating noise below 1e-9, so exact decimal ties round as exact arithmetic would
+    return merged.select("goal", "dimension", "region_id", S.r_round(F.round("score", 9), 2).alias("score"))

@@ -160,7 +160,7 @@ UNION ALL
 SELECT region_id, 'LSP', 'trend', round(least(1.0, greatest(0.0, CASE WHEN count(DISTINCT year) > 1 THEN regr_slope(prop, year) * 5 END)), 6)
 FROM pp WHERE year BETWEEN 1996 AND 2000 GROUP BY 1"""
 
-MAR_SQL = f"""WITH {Q.LP}, {Q.MAR}, {Q.OF}, {Q.ONY},
+MAR_CTES = f"""{Q.LP}, {Q.MAR}, {Q.OF}, {Q.ONY},
 rky AS (SELECT t.rgn_id, t.species_code, t.year, t.tonnes, sp.species, s.sust_coeff
         FROM tonx t LEFT JOIN spx sp USING (species_code) LEFT JOIN susx s USING (rgn_id, species_code)),
 k AS (SELECT DISTINCT rgn_id, species, species_code, sust_coeff FROM rky),
@@ -172,7 +172,9 @@ m AS (SELECT *, avg(tonnes) OVER (PARTITION BY rgn_id, species, species_code, su
 ry AS (SELECT rgn_id, year, coalesce(sum(sust_coeff * sm), 0) AS sts FROM m GROUP BY 1, 2),
 ry2 AS (SELECT ry.rgn_id, ry.year, sts / NULLIF(o.popsum, 0) AS mar_pop FROM ry LEFT JOIN ony o ON o.rgn_id = ry.rgn_id AND o.year = ry.year),
 ref AS (SELECT quantile_cont(mar_pop, 0.95) AS r FROM ry2 WHERE year <= 2000),
-st AS (SELECT rgn_id, year, CASE WHEN mar_pop / r IS NULL THEN NULL ELSE least(1.0, mar_pop / r) END AS status FROM ry2, ref),
+st AS (SELECT rgn_id, year, CASE WHEN mar_pop / r IS NULL THEN NULL ELSE least(1.0, mar_pop / r) END AS status FROM ry2, ref)"""
+
+MAR_SQL = f"""WITH {MAR_CTES},
 tr AS (SELECT rgn_id, CASE WHEN count(DISTINCT year) FILTER (WHERE status IS NOT NULL) > 1 THEN regr_slope(status, year) * 5 END AS sl
        FROM st WHERE year BETWEEN 1996 AND 2000 GROUP BY 1)
 SELECT rgn_id AS region_id, 'MAR' AS goal, 'status' AS dimension, round(round_even(status * 100, 2), 6) AS score FROM st WHERE year = 2000
@@ -181,7 +183,7 @@ SELECT rgn_id, 'MAR', 'trend', round(round_even(CASE WHEN sl IS NULL THEN NULL E
 
 TW_VALUES = "(VALUES ('NATION_3', 0.25), ('NATION_7', 0.5), ('NATION_11', 0.75), ('Nepal', 0.5), ('Republic of South Sudan', 0.25)) t(rgn_name, multiplier)"
 
-TR_SQL = f"""WITH {Q.OF}, {Q.ONY}, {Q.LN},
+TR_CTES = f"""{Q.OF}, {Q.ONY}, {Q.LN},
 names AS (SELECT n_nationkey + 1 AS rgn_id, n_name AS rgn_name FROM nation),
 d AS (SELECT o.rgn_id, o.year, Ed, Ep, U, L, ln.tr_sustainability AS S_score FROM ony o LEFT JOIN ln ON ln.rgn_id = o.rgn_id
       WHERE o.year <= 2000 AND o.year > 1995),
@@ -192,7 +194,9 @@ m AS (SELECT rgn_id, year, CASE WHEN multiplier IS NOT NULL THEN multiplier * x0
 q AS (SELECT year, quantile_cont(Xtr, 0.9) AS Xtr_q FROM m GROUP BY 1),
 r AS (SELECT m.rgn_id, m.year, CASE WHEN Xtr / NULLIF(Xtr_q, 0) IS NULL THEN NULL ELSE least(1.0, Xtr / NULLIF(Xtr_q, 0)) END AS rq
       FROM m LEFT JOIN q ON q.year = m.year),
-unpop AS (SELECT DISTINCT rgn_id FROM ony WHERE popn = 0),
+unpop AS (SELECT DISTINCT rgn_id FROM ony WHERE popn = 0)"""
+
+TR_SQL = f"""WITH {TR_CTES},
 s AS (SELECT rgn_id, 'status' AS dimension, arg_max_null(rq, year) * 100 AS score FROM r GROUP BY 1
       UNION ALL
       SELECT rgn_id, 'trend', CASE WHEN count(DISTINCT year) > 1 THEN greatest(-1.0, least(1.0, regr_slope(rq, year) * 5)) END

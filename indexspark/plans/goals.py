@@ -291,7 +291,7 @@ def mar(layers: LayerStore, status_year: int) -> GoalResult:
     scores = scores_frame(status, "MAR", "status", "rgn_id").unionByName(scores_frame(trend, "MAR", "trend", "rgn_id"))
     rp = holder.select(
         F.lit("MAR").alias("goal"), F.lit("spatial 95th quantile").alias("method"),
-        F.format_string("region id: %s value: %s", F.col("rgn_id").cast("string"), F.col("ref").cast("string")).alias("reference_point"),
+        F.format_string("region id: %s value: %s", F.col("rgn_id").cast("string"), F.round("ref", 6).cast("string")).alias("reference_point"),
     )
     return GoalResult(scores, rp, {"mar_ref": holder})
 
@@ -328,7 +328,8 @@ def tr(layers: LayerStore, status_year: int, pct_ref: float = 90, region_labels:
         "Xtr_rq", S.clamp(S.safe_div("Xtr", "Xtr_q"), hi=1.0)
     )
     rp = q.where(F.col("year") == status_year).select(
-        F.lit("TR").alias("goal"), F.lit(f"spatial: {pct_ref:g}th quantile").alias("method"), F.col("Xtr_q").cast("string").alias("reference_point")
+        F.lit("TR").alias("goal"), F.lit(f"spatial: {pct_ref:g}th quantile").alias("method"),
+        F.round("Xtr_q", 6).cast("string").alias("reference_point"),
     )
     trend = model.where(F.col("Xtr_rq").isNotNull()).groupBy("rgn_id").agg(S.clamp(S.trend_slope("Xtr_rq", "year"), -1.0, 1.0).alias("score"))
     status = model.groupBy("rgn_id").agg((S.latest("Xtr_rq", "year") * 100).alias("score"))

@@ -83,9 +83,14 @@ def run_leaf_goals(layers: LayerStore, params: Mapping[str, Mapping] | None = No
 
 
 def run_scenario(layers: LayerStore, params: Mapping[str, Mapping] | None = None, checkpoint: bool = True,
-                 nullify_label: str = "Antarctica") -> ScenarioResult:
+                 nullify_label: str = "Antarctica", leaf_digits: int | None = 6) -> ScenarioResult:
+    """Leaf goals, composites, restriction, finalisation. Leaf scores are published at ``leaf_digits`` decimals
+    (removing floating noise) before the composites read them."""
     leaf = run_leaf_goals(layers, params)
-    scores = leaf.scores.checkpoint(eager=True) if checkpoint else leaf.scores
+    scores = leaf.scores
+    if leaf_digits is not None:
+        scores = scores.withColumn("score", F.round("score", leaf_digits))
+    scores = scores.checkpoint(eager=True) if checkpoint else scores
     scores, fp_checks = C.fp(layers, scores)
     scores = C.le(layers, scores)
     scores = C.sp(scores)
