@@ -87,12 +87,12 @@ def _shared(t: Tables, key: str, build: Callable[[Tables], DataFrame]) -> DataFr
 
 def line_pre(t: Tables) -> DataFrame:
     """lineitem -> (l_suppkey, l_partkey, year, l_returnflag, l_linestatus) partial sums and counts."""
-    return _shared(t, "line_pre", _line_pre)
+    return _line_pre(t)
 
 
 def order_pre(t: Tables) -> DataFrame:
     """orders -> (o_custkey, year, o_orderpriority, o_orderstatus) partial sums and counts."""
-    return _shared(t, "order_pre", _order_pre)
+    return _order_pre(t)
 
 
 def _line_pre(t: Tables) -> DataFrame:
@@ -121,21 +121,32 @@ def _order_pre(t: Tables) -> DataFrame:
     )
 
 
-def _line_supp(t: Tables) -> DataFrame:
-    return line_pre(t).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-
-
-def _line_part(t: Tables) -> DataFrame:
+def _build_line_part(t: Tables) -> DataFrame:
+    s = t.supplier.select("s_suppkey", "s_nationkey")
     p = t.part.select("p_partkey", "p_type", "p_brand", "p_name")
-    return _line_supp(t).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return line_pre(t).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
 
 
-def _order_cust(t: Tables) -> DataFrame:
+def _build_order_cust(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     n = t.nation.select("n_nationkey", "n_name")
     return order_pre(t).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
+def _line_part(t: Tables) -> DataFrame:
+    """The lineitem pre-aggregate with its supplier nation and part attributes, materialised once per store."""
+    return _shared(t, "line_part", _build_line_part)
+
+
+def _line_supp(t: Tables) -> DataFrame:
+    return _line_part(t)
+
+
+def _order_cust(t: Tables) -> DataFrame:
+    """The orders pre-aggregate with customer nation, segment and nation name, materialised once per store."""
+    return _shared(t, "order_cust", _build_order_cust)
+
+
 # ---------------------------------------------------------------- families
 
 
