@@ -18,6 +18,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -36,13 +37,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory, setting a local one only when the session names none.
+    """Return the session's checkpoint directory, setting one only when none is configured.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read, never overridden.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder; Spark applies it at start-up and it is read, never
+    overridden. ``setCheckpointDir`` appends a fresh sub-folder on every call, so it is called at most once.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="indexspark-ckpt-", dir=os.environ.get("INDEXSPARK_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(d)
-    return d
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        conf_dir = tempfile.mkdtemp(prefix="indexspark-ckpt-", dir=os.environ.get("INDEXSPARK_SCRATCH", "/tmp"))
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir() or conf_dir
