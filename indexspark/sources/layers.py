@@ -70,9 +70,15 @@ class LayerStore:
 
     # S5
     def by_target(self, target: str, bridge: DataFrame) -> DataFrame:
-        """Rows of every layer whose catalog targets include ``target`` (semi join to the layer-target bridge)."""
-        keys = bridge.where(F.col("target") == target).select("layer").distinct()
-        return self.df.join(F.broadcast(keys), "layer", "left_semi")
+        """Rows of every layer whose catalog targets include ``target``.
+
+        The layer names come from the catalog bridge (metadata, fetched with a size guard), so the selection is a
+        static ``layer IN (...)`` filter: partition pruning on the stored layer store, no join.
+        """
+        from ..operators.reshape import bounded_values
+
+        names = [v for v in bounded_values(bridge.where(F.col("target") == target), "layer") if v is not None]
+        return self.select_many(names)
 
     # S6
     def alias(self, mapping: Mapping[str, str]) -> DataFrame:
