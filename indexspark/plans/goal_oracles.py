@@ -166,7 +166,7 @@ FROM x JOIN rg ON rg.region_id = x.region_id"""
 REFPOINTS_SQL = f"""WITH
 mar AS (WITH {GQ.MAR_CTES}
         SELECT 'MAR' AS goal, 'spatial 95th quantile' AS method,
-               'region id: ' || CAST(arg_min(rgn_id, (mar_pop, year, rgn_id)) AS VARCHAR) || ' value: ' || CAST(round(min(r), 6) AS VARCHAR) AS reference_point
+               'region id: ' || CAST(arg_min(rgn_id, (mar_pop, rgn_id, year)) AS VARCHAR) || ' value: ' || CAST(round(min(r), 6) AS VARCHAR) AS reference_point
         FROM ry2, ref WHERE year <= 2000 AND mar_pop >= r),
 tr AS (WITH {GQ.TR_CTES}
        SELECT 'TR' AS goal, 'spatial: 90th quantile' AS method, CAST(round(Xtr_q, 6) AS VARCHAR) AS reference_point FROM q WHERE year = 2000)

@@ -279,7 +279,8 @@ def mar(layers: LayerStore, status_year: int) -> GoalResult:
     holder = (
         base.withColumn("ref", ref)
         .where(F.col("mar_pop") >= F.col("ref"))
-        .agg(F.min_by("rgn_id", F.struct("mar_pop", "year", "rgn_id")).alias("rgn_id"), F.first("ref").alias("ref"))
+        # first row of a stable sort by mar_pop over rows ordered by (rgn_id, year): ties break by region, then year
+        .agg(F.min_by("rgn_id", F.struct("mar_pop", "rgn_id", "year")).alias("rgn_id"), F.first("ref").alias("ref"))
     )
     ry = ry.withColumn("status", S.clamp(S.safe_div("mar_pop", ref), hi=1.0))
     status = ry.where(F.col("year") == status_year).select("rgn_id", S.r_round(F.col("status") * 100, 2).alias("score"))
