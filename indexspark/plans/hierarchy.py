@@ -150,3 +150,17 @@ def one_hop(nodes: DataFrame, edges: DataFrame, selected: str) -> tuple[DataFram
     e = edges.where((F.col("from") == selected) | (F.col("to") == selected)).select("from", "to")
     ends = e.select(F.col("from").alias("id")).unionByName(e.select(F.col("to").alias("id"))).distinct()
     return nodes.join(ends, "id", "left_semi"), e
+
+
+def sunburst_weights(goals: DataFrame, catalog: DataFrame, pressures_long: DataFrame, resilience_long: DataFrame) -> DataFrame:
+    """E3 end to end: goal tree + layer catalog + long matrices -> leaf ``(path, category, layer_weight)``.
+
+    The node table is checkpointed (metadata-sized, read by the leaf filter and both weight branches).
+    """
+    bridge = target_bridge(catalog.select("layer", "targets", "name", "description"))
+    nodes = goal_nodes(goals)
+    all_nodes = layer_nodes(
+        nodes, bridge, goals, pressures_long.select("goal", "layer"), resilience_long.select("goal", "layer"),
+        catalog.select("layer", "name", "description"),
+    ).checkpoint(eager=True)
+    return apportion_weights(leaf_paths(all_nodes), goals).select("path", "category", "layer_weight")
