@@ -960,8 +960,9 @@ def q_split_columns(spark, sf):
     "risk_table",
     f"""WITH {OF_SQL},
 k AS (SELECT DISTINCT c_nationkey AS rgn_id FROM of),
-orn AS (SELECT DISTINCT c_nationkey AS rgn_id, 1.0 AS ornamentals FROM of WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000),
-w AS (SELECT k.rgn_id, 1.0 AS corals, 0.0 AS sponges, 0.0 AS shells, coalesce(ornamentals, 0.0) AS ornamentals FROM k LEFT JOIN orn USING (rgn_id))
+orn AS (SELECT DISTINCT c_nationkey AS rgn_id, CAST(1.0 AS DOUBLE) AS ornamentals FROM of WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000),
+w AS (SELECT k.rgn_id, CAST(1.0 AS DOUBLE) AS corals, CAST(0.0 AS DOUBLE) AS sponges, CAST(0.0 AS DOUBLE) AS shells,
+             coalesce(ornamentals, CAST(0.0 AS DOUBLE)) AS ornamentals FROM k LEFT JOIN orn USING (rgn_id))
 SELECT rgn_id, product, risk FROM w UNPIVOT (risk FOR product IN (corals, sponges, shells, ornamentals))""",
 )
 def q_risk_table(spark, sf):
