@@ -26,3 +26,14 @@ def test_column_pruning_and_pushdown(spark):
     )
     plan = QUERIES["anti_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(l_returnflag,R)" in plan
+
+
+def test_pre_aggregation_before_dimension_join(spark):
+    from indexspark.sources.tables import Tables, nation_year_revenue
+
+    plan = _plan(nation_year_revenue(Tables(spark, SF)))
+    # orders are partially aggregated per (customer, year) below the customer join, so a hot customer collapses
+    # to one row per task and year before any shuffle
+    assert "keys=[o_custkey" in plan and "partial_sum(o_totalprice" in plan
+    join_at = plan.find("Join")
+    assert join_at != -1 and plan.find("keys=[o_custkey") > join_at
