@@ -33,11 +33,16 @@ def with_dimension(df: DataFrame, name: str, values: Sequence, cast: str | None
     return df.withColumn(name, F.explode(literal_array(values, cast)))
 
 
-def complete_series(df: DataFrame, keys: Sequence[str], over: str, values: Sequence | None = None) -> DataFrame:
+def complete_series(df: DataFrame, keys: Sequence[str], over: str, values: Sequence | None = None,
+                    materialize: bool = False) -> DataFrame:
     """Every distinct key tuple x every value of ``over`` (default: the values present), facts left joined.
 
-    Equivalent to tidyr ``spread`` + ``gather`` / ``expand.grid`` + ``left_join``.
+    Equivalent to tidyr ``spread`` + ``gather`` / ``expand.grid`` + ``left_join``. The input is read three times
+    (dimension values, key grid, facts); with ``materialize`` it is checkpointed first, so an aggregate of a large
+    table is computed once instead of re-planned from its scan three times.
     """
+    if materialize:
+        df = df.checkpoint(eager=True)
     if values is None:
         values = [v for v in bounded_values(df, over) if v is not None]
     dtype = dict(df.dtypes)[over]

@@ -433,13 +433,13 @@ g AS (SELECT k.l_partkey, y.year, f.revenue
 
 @register("series_complete", f"WITH {_GRID_SQL} SELECT l_partkey, year, round(revenue, 2) AS revenue FROM g")
 def q_series_complete(spark, sf):
-    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year")
+    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year", materialize=True)
     return g.select("l_partkey", "year", F.round("revenue", 2).alias("revenue"))
 
 
 @register("grid_fill", f"WITH {_GRID_SQL} SELECT l_partkey, year, round(coalesce(revenue, 0), 2) AS revenue FROM g")
 def q_grid_fill(spark, sf):
-    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year")
+    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year", materialize=True)
     return g.select("l_partkey", "year", F.round(F.coalesce("revenue", F.lit(0.0)), 2).alias("revenue"))
 
 
@@ -450,7 +450,7 @@ SELECT l_partkey, year, round(sum(coalesce(revenue, 0)) OVER (PARTITION BY l_par
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS revenue_cumsum FROM g""",
 )
 def q_cumsum(spark, sf):
-    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year")
+    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year", materialize=True)
     g = g.withColumn("revenue", F.coalesce("revenue", F.lit(0.0)))
     return g.select("l_partkey", "year", F.round(W.cumsum("revenue", "l_partkey", "year"), 2).alias("revenue_cumsum"))
 
@@ -527,7 +527,7 @@ g AS (SELECT k.rgn_id, b.p_brand, bn.revenue
 
 def _gap_grid(t):
     bn = _brand_nation(t, sparse=True)
-    return R.complete_series(bn, ["rgn_id"], "p_brand")
+    return R.complete_series(bn, ["rgn_id"], "p_brand", materialize=True)
 
 
 @register(
