@@ -73,6 +73,21 @@ def assert_no_rows(df: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {[tuple(r) for r in bad]}")
 
 
-def self_agg_join(df: DataFrame, keys: Sequence[str], *aggs) -> DataFrame:
-    """Join a group aggregate back onto its own rows (equi join: AQE may broadcast the small side)."""
+def self_agg_join(df: DataFrame, keys: Sequence[str], *aggs, materialize: bool = False) -> DataFrame:
+    """Join a group aggregate back onto its own rows (equi join: AQE may broadcast the small side).
+
+    ``df`` is read twice; with ``materialize`` it is checkpointed first (for a small derived aggregate whose two
+    copies Catalyst would otherwise plan differently, defeating exchange reuse).
+    """
+    if materialize:
+        df = df.checkpoint(eager=True)
     return df.join(df.groupBy(*keys).agg(*aggs), on=list(keys), how="left")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Materialise a small derived frame that a plan reads more than once.
+
+    Filters inferred from each use make the copies differ, so Spark would re-plan (re-scan and re-shuffle) the source
+    per use instead of reusing one exchange; a reliable checkpoint computes it once and cuts the lineage.
+    """
+    return df.checkpoint(eager=True)

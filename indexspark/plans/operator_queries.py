@@ -248,7 +248,7 @@ SELECT rgn_id, year, round(least(1.0, revenue / q90), 6) AS status FROM ny JOIN
 )
 def q_self_agg_join(spark, sf):
     ny = nation_year_revenue(Tables(spark, sf))
-    j = J.self_agg_join(ny, ["year"], S.quantile("revenue", 0.9).alias("q90"))
+    j = J.self_agg_join(ny, ["year"], S.quantile("revenue", 0.9).alias("q90"), materialize=True)
     return j.select("rgn_id", "year", r6(S.clamp(S.safe_div("revenue", "q90"), hi=1.0)).alias("status"))
 
 
@@ -261,7 +261,7 @@ _REF_SQL = f"""{NY_SQL}, r AS (SELECT quantile_cont(revenue / n_orders, 0.95) AS
 SELECT rgn_id, year, round(least(1.0, revenue / n_orders / ref), 6) AS status, round(ref, 4) AS ref FROM ny, r""",
 )
 def q_global_quantile_ref(spark, sf):
-    ny = nation_year_revenue(Tables(spark, sf)).withColumn("mar_pop", F.col("revenue") / F.col("n_orders"))
+    ny = J.once(nation_year_revenue(Tables(spark, sf)).withColumn("mar_pop", F.col("revenue") / F.col("n_orders")))
     ref = ny.where(F.col("year") <= 2000).agg(S.quantile("mar_pop", 0.95))
     return ny.withColumn("ref", ref.scalar()).select(
         "rgn_id", "year", r6(S.clamp(S.safe_div("mar_pop", "ref"), hi=1.0)).alias("status"), F.round("ref", 4).alias("ref")
@@ -276,7 +276,7 @@ FROM ny, r WHERE year <= 2000 AND revenue / n_orders >= ref
 ORDER BY revenue / n_orders, year, rgn_id LIMIT 1""",
 )
 def q_ref_holder(spark, sf):
-    ny = nation_year_revenue(Tables(spark, sf)).withColumn("mar_pop", F.col("revenue") / F.col("n_orders"))
+    ny = J.once(nation_year_revenue(Tables(spark, sf)).withColumn("mar_pop", F.col("revenue") / F.col("n_orders")))
     base = ny.where(F.col("year") <= 2000)
     ref = base.agg(S.quantile("mar_pop", 0.95).alias("ref"))
     hit = base.withColumn("ref", ref.scalar()).where(F.col("mar_pop") >= F.col("ref"))
@@ -294,7 +294,7 @@ SELECT rgn_id, round(score / (SELECT max(score) FROM c), 6) AS score FROM c""",
 )
 def q_max_normalise(spark, sf):
     ny = nation_year_revenue(Tables(spark, sf))
-    c = ny.groupBy("rgn_id").agg((F.sum("revenue") / F.sum("n_orders")).alias("score"))
+    c = J.once(ny.groupBy("rgn_id").agg((F.sum("revenue") / F.sum("n_orders")).alias("score")))
     return c.select("rgn_id", r6(S.safe_div("score", c.agg(F.max("score")).scalar())).alias("score"))
 
 
@@ -638,7 +638,7 @@ WHERE NOT (year IN (SELECT year FROM a) AND o_custkey IN (SELECT o_custkey FROM
 )
 def q_double_membership(spark, sf):
     of = order_facts(Tables(spark, sf))
-    a = of.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 499000))
+    a = J.once(of.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 499000)).select("year", "o_custkey"))
     out = FL.double_membership_exclude(of, a, [("year", "year"), ("o_custkey", "o_custkey")])
     return out.select("o_orderkey", "o_custkey", "year")
 
@@ -884,7 +884,7 @@ UNION ALL
 SELECT rgn_id, 'trend', round(regr_slope(revenue / n_orders / 1000.0, year) * 5, 6) FROM ny GROUP BY rgn_id""",
 )
 def q_union_all(spark, sf):
-    ny = nation_year_revenue(Tables(spark, sf))
+    ny = J.once(nation_year_revenue(Tables(spark, sf)))
     st = ny.where(F.col("year") == 2000).select(
         F.col("rgn_id").alias("region_id"), F.lit("status").alias("dimension"), r6(F.col("revenue") / F.col("n_orders") / 1000).alias("score")
     )
