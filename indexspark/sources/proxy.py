@@ -67,6 +67,11 @@ def _sum_if(cond: Column, x: str | Column) -> Column:
     return F.sum(F.when(cond, F.col(x) if isinstance(x, str) else x))
 
 
+def _count_if(cond: Column, n: str | Column) -> Column:
+    """Re-aggregated count of the rows meeting ``cond``: 0 (not NULL) when there are none, like ``avg(indicator)``."""
+    return F.coalesce(_sum_if(cond, n), F.lit(0))
+
+
 # ---------------------------------------------------------------- shared fact pre-aggregates
 #
 # Each fact table is partially aggregated once on its dimension join keys plus the low-cardinality columns the layers
@@ -169,8 +174,8 @@ def fam_line_nation(t: Tables) -> DataFrame:
         ((mean_if(ls == "F", "d") - 0.05) * 10).alias("cw_pathogen_trend"),
         (F.lit(1.0) + _ratio(F.sum("d"), F.sum(n)) * 60).alias("tr_sustainability"),
         safe_div(F.sum(F.when(rf == "N", F.col("rev")).otherwise(0.0)), F.sum("rev")).alias("fp_wildcaught_weight"),
-        (_ratio(_sum_if(rf == "R", "n_d0"), F.sum(n)) * 10).alias("np_blast"),
-        (_ratio(_sum_if(rf == "N", "n_d10"), F.sum(n)) * 10).alias("np_cyanide"),
+        (_ratio(_count_if(rf == "R", "n_d0"), F.sum(n)) * 10).alias("np_blast"),
+        (_ratio(_count_if(rf == "N", "n_d10"), F.sum(n)) * 10).alias("np_cyanide"),
     )
     cols = [c for c in g.columns if c != "rgn_id"]
     return _wide_to_long(g, {c: c for c in cols}, id_num="rgn_id")
@@ -182,8 +187,8 @@ def fam_order_nation(t: Tables) -> DataFrame:
     urgent = F.col("o_orderpriority") == "1-URGENT"
     g = of.groupBy(rgn("c_nationkey").alias("rgn_id")).agg(
         (_ratio(F.sum("price"), F.sum(n)) / 500000).alias("spp_status"),
-        (_ratio(_sum_if(urgent, n), F.sum(n)) - 0.2).alias("spp_trend"),
-        _ratio(_sum_if(F.col("o_orderstatus") == "F", n), F.sum(n)).alias("ao_access"),
+        (_ratio(_count_if(urgent, n), F.sum(n)) - 0.2).alias("spp_trend"),
+        _ratio(_count_if(F.col("o_orderstatus") == "F", n), F.sum(n)).alias("ao_access"),
         F.sum(n).cast("double").alias("rgn_area_inland1km"),
         (F.sum(n) * 0.5).alias("rgn_area_offshore3nm"),
         F.count_distinct("o_custkey").cast("double").alias("rgn_area"),
@@ -199,7 +204,7 @@ def fam_order_nation_year(t: Tables) -> DataFrame:
     n = F.col("n")
     tot = F.sum(n)
     g = of.groupBy(rgn("c_nationkey").alias("rgn_id"), F.col("n_name").alias("cntry_key"), "year").agg(
-        (_ratio(_sum_if(urgent, n), tot) * 2).alias("ao_need"),
+        (_ratio(_count_if(urgent, n), tot) * 2).alias("ao_need"),
         F.coalesce(_sum_if(urgent, n), F.lit(0)).cast("double").alias("tr_jobs_tourism"),
         F.when(F.col("year") <= 1996, _ratio(F.coalesce(_sum_if(urgent, n), F.lit(0)), tot)).alias("tr_jobs_pct_tourism"),
         _ratio(F.coalesce(_sum_if(st == "F", n), F.lit(0)), tot).alias("tr_unemployment"),
