@@ -171,6 +171,7 @@ def liv_eco_pair(
     region_labels: str = "rgn_labels",
     gapfill: bool = True,
     materialize: bool = True,
+    fail_on_unmatched: bool = False,
 ) -> dict[str, GoalResult]:
     """LIV and ECO together: the country status/trend and the country-to-region aggregation are computed once for
     both components (region-sized tables, checkpointed when ``materialize``), then each sub-goal is gap filled."""
@@ -185,6 +186,8 @@ def liv_eco_pair(
     unmatched = J.unmatched_keys(st.select("cntry_key"), lookup, ["cntry_key"]).withColumn("part", F.lit("status")).unionByName(
         J.unmatched_keys(tr.select("cntry_key"), lookup, ["cntry_key"]).withColumn("part", F.lit("trend"))
     )
+    if fail_on_unmatched:  # the reference stops when a country has no region
+        J.assert_no_rows(unmatched, "LIV/ECO country keys missing from the country-to-region lookup")
     s_r = _to_regions(st, lookup, weights)
     g_r = _to_regions(tr, lookup, weights).where(F.col("rgn_id").isNotNull())
     if materialize:

@@ -18,6 +18,7 @@ from . import composite as C
 from . import goals as G
 from . import metadata as M
 from .liveco import liv_eco_pair
+from .quality import scores_report
 
 LeafJob = Callable[[LayerStore, DataFrame, Mapping], G.GoalResult]
 
@@ -98,6 +99,7 @@ def run_scenario(layers: LayerStore, params: Mapping[str, Mapping] | None = None
     scores = C.pre_global(layers, scores, nullify_label=nullify_label)
     final = C.finalize(layers, scores)
     leaf.diagnostics["fp_checks"] = fp_checks
+    leaf.diagnostics.update({f"quality_{k}": v for k, v in scores_report(final).items()})
     return ScenarioResult(final, leaf.reference_points, leaf.diagnostics)
 
 

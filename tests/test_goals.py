@@ -129,3 +129,17 @@ def test_goal_table():
     roots = [g for g in M.GOALS if g[4] is None]
     assert len(M.GOALS) == 18 and len(roots) == 10 and sum(g[6] for g in roots) == 10.0
     assert F is not None
+
+
+def test_quality_reports(spark):
+    from indexspark.plans.quality import dimension_range_violations, duplicate_keys, fail_if_any, unknown_dimensions
+
+    s = _scores_df(spark, [(1, "CW", "status", 101.0), (1, "CW", "trend", -0.5), (2, "CW", "trend", 1.5),
+                           (2, "CW", "status", None), (2, "CW", "status", 3.0), (3, "CW", "bogus", 1.0)])
+    assert {(r.region_id, r.dimension) for r in dimension_range_violations(s).collect()} == {(1, "status"), (2, "trend")}
+    assert unknown_dimensions(s).count() == 1 and duplicate_keys(s).count() == 1
+    try:
+        fail_if_any(dimension_range_violations(s), "out of range")
+        raise AssertionError("expected a failure")
+    except ValueError as e:
+        assert "out of range" in str(e)
