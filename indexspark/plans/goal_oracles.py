@@ -192,21 +192,17 @@ def _rowmean(a: str, b: str) -> str:
     return f"(coalesce({a}, 0) + coalesce({b}, 0)) / NULLIF(CAST({a} IS NOT NULL AS INTEGER) + CAST({b} IS NOT NULL AS INTEGER), 0)"
 
 
-def _finalize_sql() -> str:
+def _finalize_parts() -> dict[str, str]:
     from . import metadata as M
 
     leaves = {
         "fis": GQ.FIS_SQL, "mar": GQ.MAR_SQL, "ao": GQ.AO_SQL, "np": NP_SQL, "cs": GQ.CS_SQL, "cp": GQ.CP_SQL, "tr": GQ.TR_SQL,
         "liv": LIV_SQL, "eco": ECO_SQL, "ico": GQ.ICO_SQL, "lsp": GQ.LSP_SQL, "cw": GQ.CW_SQL, "hab": GQ.HAB_SQL, "spp": GQ.SPP_SQL,
     }
-    ctes = ",\n".join(f"s_{k} AS ({v})" for k, v in leaves.items())
-    union = " UNION ALL ".join(f"SELECT * FROM s_{k}" for k in leaves)
     goals = ", ".join(f"('{g[3]}')" for g in M.GOALS) + ", ('Index')"
     dims = ", ".join(f"('{d}')" for d in M.DIMENSIONS)
     not_pr = "dimension NOT IN ('pressures', 'resilience')"
-    return f"""WITH {ctes},
-leaf AS ({union}),
-lnw AS (WITH {Q.LN} SELECT rgn_id AS region_id, fp_wildcaught_weight AS w_fis FROM ln),
+    composites = f"""lnw AS (WITH {Q.LN} SELECT rgn_id AS region_id, fp_wildcaught_weight AS w_fis FROM ln),
 fp_in AS (SELECT x.*, CASE WHEN x.goal = 'FIS' THEN w.w_fis ELSE 1 - w.w_fis END AS weight
           FROM leaf x LEFT JOIN lnw w ON w.region_id = x.region_id WHERE x.goal IN ('FIS', 'MAR') AND x.{not_pr}),
 fp AS (SELECT region_id, 'FP' AS goal, dimension,
@@ -226,8 +222,8 @@ spw AS (SELECT region_id, dimension, max(score) FILTER (WHERE goal = 'ICO') AS i
         FROM s3 WHERE goal IN ('ICO', 'LSP') AND {not_pr} GROUP BY 1, 2),
 s4 AS (SELECT * FROM s3 UNION ALL SELECT region_id, 'SP', dimension, {_rowmean('ico', 'lsp')} FROM spw),
 s5 AS (SELECT * FROM s4 UNION ALL
-       SELECT region_id, 'BD', dimension, avg(score) FROM s4 WHERE goal IN ('HAB', 'SPP') AND {not_pr} GROUP BY region_id, dimension),
-rg AS (SELECT n_nationkey + 1 AS region_id FROM nation UNION SELECT 0),
+       SELECT region_id, 'BD', dimension, avg(score) FROM s4 WHERE goal IN ('HAB', 'SPP') AND {not_pr} GROUP BY region_id, dimension)"""
+    restrict_and_grid = f"""rg AS (SELECT n_nationkey + 1 AS region_id FROM nation UNION SELECT 0),
 s6 AS (SELECT * FROM s5 WHERE region_id IN (SELECT region_id FROM rg)),
 grid AS (SELECT rg.region_id, d.dimension, g.goal FROM rg CROSS JOIN (VALUES {dims}) d(dimension) CROSS JOIN (VALUES {goals}) g(goal)
          WHERE NOT (d.dimension IN ('pressures', 'resilience', 'trend') AND rg.region_id = 0)
@@ -235,6 +231,23 @@ grid AS (SELECT rg.region_id, d.dimension, g.goal FROM rg CROSS JOIN (VALUES {di
 SELECT coalesce(s6.goal, grid.goal) AS goal, coalesce(s6.dimension, grid.dimension) AS dimension,
        coalesce(s6.region_id, grid.region_id) AS region_id, round_even(round(s6.score, 9), 2) AS score
 FROM s6 FULL JOIN grid ON s6.goal = grid.goal AND s6.dimension = grid.dimension AND s6.region_id = grid.region_id"""
+    return {
+        "leaf_ctes": ",\n".join(f"s_{k} AS ({v})" for k, v in leaves.items()),
+        "leaf_union": " UNION ALL ".join(f"SELECT * FROM s_{k}" for k in leaves),
+        "composites": composites,
+        "restrict_and_grid": restrict_and_grid,
+    }
+
+
+ORACLES_FINALIZE_PARTS = _finalize_parts()
+
+
+def _finalize_sql() -> str:
+    b = ORACLES_FINALIZE_PARTS
+    return f"""WITH {b['leaf_ctes']},
+leaf AS ({b['leaf_union']}),
+{b['composites']},
+{b['restrict_and_grid']}"""
 
 
 ORACLES["finalize"] = _finalize_sql().strip()

@@ -30,4 +30,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import extension_queries, goal_oracles, goal_queries, hierarchy_queries, operator_queries, store_queries  # noqa: F401
+    from . import (  # noqa: F401
+        extended_queries, extension_queries, goal_oracles, goal_queries, hierarchy_queries, operator_queries, store_queries,
+    )

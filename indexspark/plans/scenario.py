@@ -83,19 +83,56 @@ def run_leaf_goals(layers: LayerStore, params: Mapping[str, Mapping] | None = No
     return ScenarioResult(scores, rp, diags)
 
 
+@dataclass
+class ExtensionInputs:
+    """Inputs of the reconstructed post-model steps (pressures, resilience, future, score, Index, global region)."""
+
+    pressures_matrix: DataFrame  # goal, layer, weight
+    pressure_categories: DataFrame  # layer, category, subcategory
+    resilience_matrix: DataFrame  # goal, layer
+    resilience_categories: DataFrame  # layer, category_type, weight
+    layer_values: DataFrame  # region_id, layer, value
+    areas: DataFrame  # region_id, area
+    goals: DataFrame  # the goal table (roots and weights for the Index)
+
+
+def _round(df: DataFrame, digits: int | None) -> DataFrame:
+    return df if digits is None else df.withColumn("score", F.round("score", digits))
+
+
 def run_scenario(layers: LayerStore, params: Mapping[str, Mapping] | None = None, checkpoint: bool = True,
-                 nullify_label: str = "Antarctica", leaf_digits: int | None = 6) -> ScenarioResult:
+                 nullify_label: str = "Antarctica", leaf_digits: int | None = 6,
+                 extensions: ExtensionInputs | None = None) -> ScenarioResult:
     """Leaf goals, composites, restriction, finalisation. Leaf scores are published at ``leaf_digits`` decimals
-    (removing floating noise) before the composites read them."""
+    (removing floating noise) before the composites read them.
+
+    With ``extensions`` the reconstructed steps run in the published order: pressures and resilience per goal,
+    likely future and score for every goal with a status, the composites over all four goal dimensions, the Index
+    over the root goals and the area-weighted global region 0, each published at ``leaf_digits``.
+    """
+    from . import extensions as X
+
     leaf = run_leaf_goals(layers, params)
-    scores = leaf.scores
-    if leaf_digits is not None:
-        scores = scores.withColumn("score", F.round("score", leaf_digits))
+    scores = _round(leaf.scores, leaf_digits)
+    if extensions is not None:
+        goals = list(LEAF_JOBS)
+        e = extensions
+        p = _round(X.pressures(goals, e.pressures_matrix, e.pressure_categories, e.layer_values), leaf_digits)
+        r = _round(X.resilience(goals, e.resilience_matrix, e.resilience_categories, e.layer_values), leaf_digits)
+        scores = scores.unionByName(G.scores_frame(p, F.col("goal"), F.col("dimension")))
+        scores = scores.unionByName(G.scores_frame(r, F.col("goal"), F.col("dimension")))
+        fs = _round(X.likely_future_and_score(scores), leaf_digits)
+        scores = scores.unionByName(G.scores_frame(fs, F.col("goal"), F.col("dimension")))
     scores = scores.checkpoint(eager=True) if checkpoint else scores
     scores, fp_checks = C.fp(layers, scores)
     scores = C.le(layers, scores)
     scores = C.sp(scores)
     scores = C.bd(scores)
+    if extensions is not None:
+        idx = _round(X.index_score(scores, extensions.goals), leaf_digits)
+        scores = scores.unionByName(G.scores_frame(idx, F.col("goal"), F.col("dimension")))
+        glob = _round(X.area_weighted_global(scores, extensions.areas), leaf_digits)
+        scores = scores.unionByName(G.scores_frame(glob, F.col("goal"), F.col("dimension")))
     scores = C.pre_global(layers, scores, nullify_label=nullify_label)
     final = C.finalize(layers, scores)
     leaf.diagnostics["fp_checks"] = fp_checks
