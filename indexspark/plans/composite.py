@@ -93,10 +93,11 @@ def bd(scores: DataFrame) -> DataFrame:
 def pre_global(layers: LayerStore, scores: DataFrame, region_labels: str = "rgn_global", nullify_label: str = "Antarctica") -> DataFrame:
     """Keep listed regions and the global region 0; the region labelled ``nullify_label`` gets NA scores."""
     rg = layers.narrow(region_labels, id_num="region_id", val_chr="label")
-    keep = rg.select("region_id").unionByName(rg.sparkSession.range(1).select(F.lit(0).cast("int").alias("region_id"))).distinct()
-    ant = rg.where(F.col("label") == nullify_label).select("region_id").withColumn("__ant", F.lit(True))
-    s = scores.join(keep, "region_id", "left_semi").join(ant, "region_id", "left")
-    return s.withColumn("score", F.when(F.col("__ant"), None).otherwise(F.col("score"))).drop("__ant")
+    # the region list is bounded metadata: resolve it (size-guarded) and filter, instead of joining every score row
+    keep = [v for v in R.bounded_values(rg, "region_id") if v is not None] + [0]
+    ant = [v for v in R.bounded_values(rg.where(F.col("label") == nullify_label), "region_id") if v is not None]
+    s = scores.where(F.col("region_id").isin(keep))
+    return s.withColumn("score", F.when(F.col("region_id").isin(ant), None).otherwise(F.col("score"))) if ant else s
 
 
 def finalize(layers: LayerStore, scores: DataFrame, goals: Sequence[str] | None = None, region_labels: str = "rgn_global") -> DataFrame:
