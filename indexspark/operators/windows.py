@@ -1,4 +1,4 @@
-"""Window operators.
+"""Window operators (W1-W7; W8 id order is ``global_row_number``).
 
 Every window is partitioned by a key whose partitions hold *already aggregated* rows (a region's years, a product's
 regions), so a hot key cannot put an unbounded number of raw rows into one task. No global (unpartitioned) window
@@ -60,12 +60,6 @@ def top_n_ties(order: str, part, n: int) -> Column:
     return F.rank().over(_w(part).orderBy(F.col(order).desc())) <= n
 
 
-def dense_order(part, *order) -> Column:
-    """``row_number`` in a given order; use only on bounded dimensions (ids, paths), never on facts."""
-    w = Window.orderBy(*order) if part is None else _w(part).orderBy(*order)
-    return F.row_number().over(w)
-
-
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "rn", partitions: int | None = None) -> DataFrame:
     """A 1-based row number over the whole frame in ``order`` without a single-partition window.
 

@@ -12,7 +12,7 @@ from . import composite as C
 from . import extensions as X
 from . import metadata as M
 from . import proxy_sql as Q
-from .goal_queries import CW_SQL, HAB_SQL, SPP_SQL, rounded, store_for
+from .goal_queries import CW_SQL, GOAL_LAYERS, HAB_SQL, SPP_SQL, rounded
 from .registry import register
 from .scenario import run_leaf_goals
 
@@ -46,7 +46,7 @@ def _values_sql(rows, cols: str) -> str:
 
 
 def _inputs(spark, sf):
-    store = proxy_store(Tables(spark, sf), sorted(set(VALUE_LAYERS + ["rgn_area"]) | {x for g in EXT_GOALS for x in _goal_layers(g)}))
+    store = proxy_store(Tables(spark, sf), sorted(set(VALUE_LAYERS + ["rgn_area"]) | {x for g in EXT_GOALS for x in GOAL_LAYERS[g]}))
     store = store.materialize()
     leaf = rounded(run_leaf_goals(store, M.PROXY_PARAMS, only=set(EXT_GOALS)).scores)
     vals = store.select_many(VALUE_LAYERS).select(F.col("id_num").alias("region_id"), "layer", F.col("val_num").alias("value"))
@@ -59,12 +59,6 @@ def _inputs(spark, sf):
     return store, leaf, p, r
 
 
-def _goal_layers(goal):
-    from .goal_queries import GOAL_LAYERS
-
-    return GOAL_LAYERS[goal]
-
-
 VALS_SQL = f"""{Q.LN}, {Q.OF}, {Q.ON},
 vals AS (SELECT rgn_id AS region_id, layer, v AS value FROM
            (SELECT rgn_id, po_pathogens, po_nutrients_3nm, po_chemicals_3nm, po_trash, fp_wildcaught_weight FROM ln)

@@ -39,12 +39,9 @@ def scores_frame(df: DataFrame, goal: str | Column, dimension: str | Column, reg
     )
 
 
-def refpoint(spark: SparkSession, goal: str, method: str, value: str | Column | None = None, source: DataFrame | None = None) -> DataFrame:
-    """One reference-point row; ``value`` may be a column of the 1-row ``source`` frame."""
-    if source is None:
-        return spark.createDataFrame([(goal, method, value)], REFPOINT_SCHEMA)
-    return source.select(F.lit(goal).alias("goal"), F.lit(method).alias("method"), F.col("__rp").cast("string").alias("reference_point")) \
-        if value is None else source.select(F.lit(goal).alias("goal"), F.lit(method).alias("method"), value.cast("string").alias("reference_point"))
+def refpoint(spark: SparkSession, goal: str, method: str, value: str | None = None) -> DataFrame:
+    """One reference-point row (``goal, method, reference_point``)."""
+    return spark.createDataFrame([(goal, method, value)], REFPOINT_SCHEMA)
 
 
 def _spark(layers: LayerStore) -> SparkSession:

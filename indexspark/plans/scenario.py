@@ -140,10 +140,6 @@ def run_scenario(layers: LayerStore, params: Mapping[str, Mapping] | None = None
     return ScenarioResult(final, leaf.reference_points, leaf.diagnostics)
 
 
-def scores_of(result: ScenarioResult, goal: str) -> DataFrame:
-    return result.scores.where(F.col("goal") == goal)
-
-
 # fixed values: model parameters of the global scenario's goal table
 GLOBAL_PARAMS = {
     "FIS": {"status_year": 2011},
