@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, simhash, toxicity
+from . import decontaminate, exact_dedup, mixing, pii, secret_scan, simhash, toxicity
 from .common import read_table
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, sf_dir: secret_scan.report(read_table(spark, sf_dir, "documents")),
     "op2_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")),
+    "op4_pii": lambda spark, sf_dir: pii.report(read_table(spark, sf_dir, "documents")),
     "op5_toxicity": lambda spark, sf_dir: toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
     "op7_mixing": lambda spark, sf_dir: mixing.mix(read_table(spark, sf_dir, "documents")),
     "op9_simhash": lambda spark, sf_dir: simhash.report(read_table(spark, sf_dir, "documents")),

@@ -6,8 +6,9 @@ are read as the letters they stand for, and single letters set apart from each o
 (the ends of a segment count as characters) with up to one skipped character between neighbours, the products of their
 weights; each skipped character costs a factor. Inserted and gapped characters so lower the kernel but keep it high.
 
-The labels mark documents, not segments. Witness segments (significantly more frequent in toxic training documents)
-and segments of other training documents form the training sentences of a multiple-instance SVM; landmarks are the
+The labels mark documents, not segments. Witness segments (significantly more frequent in toxic training documents, and
+needed to explain some that no other witness explains, so that copies of one document bring in none of their ordinary
+words) and segments of other training documents form the training sentences of a multiple-instance SVM; landmarks are the
 witnesses and the segments most like them; Nyström features of the landmarks carry a linear SVM, retrained once with
 its hardest negatives. As the kernel has an explicit feature space, the machine is one weight per subsequence, and a
 text's score is the largest segment score, calibrated by a logistic fit on training documents.
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bounds of the training sample: documents of each class, distinct segments of its other documents, witnesses, landmarks.
-TRAIN_DOCS, TRAIN_SEGMENTS, WITNESSES, LANDMARKS = 3000, 150_000, 400, 160
+#: Bounds of the training sample: documents of each class, distinct segments of other documents, landmarks.
+TRAIN_DOCS, TRAIN_SEGMENTS, LANDMARKS = 3000, 150_000, 160
 HARD_NEGATIVES = 3000
+CANDIDATES, COVERED = 3000, 3
 SKIP = np.float32(0.6)
 #: Twice the log-likelihood ratio from which a segment's excess in toxic documents counts.
-SIGNIFICANT = 25.0
+SIGNIFICANT = 15.0
 LOWEST = -2.0
 _SIZE = 28
 _STEPS = ((1, 2, 0), (1, 3, 1), (2, 3, 1), (2, 4, 2))
@@ -192,7 +194,7 @@ def _calibrated(machine: Machine, x: np.ndarray, labels: np.ndarray) -> Machine:
     """Logistic fit of the labels on the margins, with smoothed targets."""
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(labels > 0, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
+    weight = 1.0 / max(len(x), 1)
     p = np.zeros(2)
     x1 = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
@@ -212,6 +214,22 @@ def _distinct(text: bytes) -> list[bytes]:
     return sorted(s for s in found if s and len(s) <= 64)  # longer runs are no training sentences
 
 
+def _cover(left: list[dict[bytes, float]]) -> list[bytes]:
+    """Witnesses, each the candidate that most documents without one hold; ``left``: the candidates of each document."""
+    out: list[bytes] = []
+    while left:
+        count: dict[bytes, tuple] = {}
+        for held in left:
+            for s, g in held.items():
+                count[s] = (count.get(s, (0,))[0] + 1, g, s)
+        n, _, s = max(count.values(), default=(0, 0, b""))
+        if n < COVERED:
+            break
+        out.append(s)
+        left = [held for held in left if s not in held]
+    return out
+
+
 def _margin_udf(machine: Machine):
     @F.arrow_udf("double")
     def margin(texts: pa.Array) -> pa.Array:
@@ -232,18 +250,24 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Machine
     def segments(texts: pa.Array) -> pa.Array:
         return pa.array([_distinct(t) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.binary()))
 
-    of_class = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = sample.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
+    distinct = C.materialize(sample.join(F.broadcast(found), ["doc_id", "toxic"], "left_semi"), "toxic-distinct")
+    of_class = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(of_class.get(1, 0)), float(of_class.get(0, 0))
     if not n1 or not n0:
         return None
-    counted = sample.select("toxic", F.explode(segments("text")).alias("s")).groupBy("s").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0"))
-    counted = C.materialize(counted, "toxic-segments")
+    each = C.materialize(distinct.select("doc_id", "toxic", F.explode(segments("text")).alias("s")), "toxic-segments")
+    counted = C.materialize(each.groupBy("s").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0")), "toxic-counts")
     k1, k0 = F.col("k1"), F.col("k0")
     all_ = (k1 + k0) / F.lit(n1 + n0)
     g = 2 * (k1 * F.log(k1 / (all_ * n1)) + F.coalesce(k0 * F.log(F.when(k0 > 0, k0 / (all_ * n0))), F.lit(0.0)))
-    found = counted.where("k1 > 0 and length(s) > 2").withColumn("g", g).where((F.col("g") >= SIGNIFICANT) & (k1 / n1 > 4 * k0 / n0))
-    witnesses = [bytes(r["s"]) for r in found.orderBy(F.desc("g"), "s").limit(WITNESSES).collect()]
-    others = [bytes(r["s"]) for r in counted.where("k0 > 0").where(~((k1 / n1 > 4 * k0 / n0) & (k1 >= 5))).orderBy(F.xxhash64("s"), "s").select("s").limit(TRAIN_SEGMENTS).collect()]
+    more = k1 / n1 > 4 * k0 / n0
+    likely = counted.where("k1 > 0 and length(s) > 2").withColumn("g", g).where((F.col("g") >= SIGNIFICANT) & more)
+    likely = C.materialize(likely.orderBy(F.desc("g"), "s").limit(CANDIDATES).select("s", "g"), "toxic-candidates")
+    held = each.where("toxic = 1").join(F.broadcast(likely), "s").groupBy("doc_id").agg(F.collect_set(F.struct("s", "g")).alias("held"))
+    witnesses = _cover([{bytes(x["s"]): x["g"] for x in r["held"]} for r in held.select("held").collect()])
+    ordinary = counted.where("k0 > 0").where(~(more & (k1 >= 5))).orderBy(F.xxhash64("s"), "s").select("s").limit(TRAIN_SEGMENTS)
+    others = [bytes(r["s"]) for r in ordinary.collect()]
     if not witnesses or not others:
         return None
     machine = _fit(witnesses, others)
