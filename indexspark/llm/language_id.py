@@ -7,7 +7,7 @@ best language wins, and the score returned is its share among all languages.
 
 The vocabulary is read from a file and never trained. The piece probabilities are: expectation-maximisation over the
 same segmentations, on the words of a bounded sample of labelled documents outside the held-out fold (LANG_DOCS of each
-language, those with the smallest hash of their ids; of their words the TRAIN_WORDS most frequent of each language).
+language or about so many, by a hash of their ids; of their words the TRAIN_WORDS most frequent of each language).
 
 Words are runs of letters with A-Z in lower case: all other ASCII characters separate them, and a run of more than
 WORD_BYTES bytes is cut into several. A character that no piece covers costs one fixed probability in every language.
@@ -35,7 +35,7 @@ WORD_BYTES = 48
 #: Probability of a byte that no piece covers, and the count every piece starts with.
 UNKNOWN, PRIOR = 1e-7, 0.02
 _LONGEST = 12
-_AT_ONCE = 4 << 20
+_AT_ONCE = 16 << 20
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -50,44 +50,42 @@ def pieces(path: str = VOCABULARY) -> list[bytes]:
 
 
 class Lookup:
-    """Piece numbers of byte runs: a table probed by a multiplicative hash of up to 12 bytes."""
+    """Piece numbers of byte runs: a table of all beginnings of pieces, probed by a 64-bit hash of the bytes."""
 
     BITS = 21
 
     def __init__(self, vocabulary: list[bytes]):
         self.size = len(vocabulary)
-        keys = np.array([self._key(np.frombuffer(p.ljust(_LONGEST, b"\0"), np.uint8)[None, :], len(p))[0] for p in vocabulary], np.uint64)
+        number = {p[:n]: self.size for p in vocabulary for n in range(1, len(p))} | {p: i for i, p in enumerate(vocabulary)}
+        runs = sorted(number)
+        rows = np.frombuffer(b"".join(r.ljust(_LONGEST, b"\0") for r in runs), np.uint8).reshape(-1, _LONGEST).astype(np.uint64)
+        length, keys = np.array([len(r) for r in runs]), np.zeros(len(runs), np.uint64)
+        for n in range(1, _LONGEST + 1):
+            longer = length >= n
+            keys[longer] = self.grow(keys[longer], rows[longer, n - 1])
         if len(np.unique(keys)) != len(keys):
-            raise ValueError("two pieces have one 64-bit hash")
+            raise ValueError("two runs have one 64-bit hash")
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], order.astype(np.int32)
+        self.keys, self.ids = keys[order], np.array([number[r] for r in runs], np.int32)[order]
         slot = (self.keys >> np.uint64(64 - self.BITS)).astype(np.int64)
         self.first = np.searchsorted(slot, np.arange((1 << self.BITS) + 1)).astype(np.int32)
         self.deep = int(np.diff(self.first).max(initial=0))
 
     @staticmethod
-    def _key(rows: np.ndarray, length: int) -> np.ndarray:
-        key = np.full(len(rows), length, np.uint64)
-        for j in range(length):
-            key = (key ^ rows[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        return key * np.uint64(0xD6E8FEB86659FD93)
-
-    def grow(self, key: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        key = (key ^ byte) * np.uint64(0x9E3779B97F4A7C15)
+    def grow(key: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        key = (key + byte + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         return key ^ (key >> np.uint64(29))
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        """Piece numbers of finished keys; the vocabulary's size where there is none."""
-        full = key * np.uint64(0xD6E8FEB86659FD93)
-        slot = (full >> np.uint64(64 - self.BITS)).astype(np.int64)
+        """Piece numbers; the vocabulary's size for mere beginnings of pieces, -1 for all else."""
+        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
         at, end = self.first[slot], self.first[slot + 1]
-        out = np.full(len(key), self.size, np.int32)
+        out = np.full(len(key), -1, np.int32)
         for _ in range(self.deep):
             open_ = np.flatnonzero(at < end)
             if not len(open_):
                 break
-            hit = self.keys[at[open_]] == full[open_]
+            hit = self.keys[at[open_]] == key[open_]
             out[open_[hit]] = self.ids[at[open_[hit]]]
             at[open_] += 1
         return out
@@ -118,23 +116,24 @@ def segments(words: pa.Array, lookup: Lookup) -> Segments:
     wide = rows.shape[1]
     by_end: list[list] = [[] for _ in range(wide + 1)]
     bytes64 = rows.astype(np.uint64)
-    for size in range(1, min(_LONGEST, wide) + 1):
-        for begin in range(wide - size + 1):
-            has = np.flatnonzero(length >= begin + size)
-            if not len(has):
-                break
-            key = np.full(len(has), size, np.uint64)
-            for j in range(begin, begin + size):
-                key = lookup.grow(key, bytes64[has, j])
+    for begin in range(wide):
+        row = np.flatnonzero(length > begin)
+        key = np.zeros(len(row), np.uint64)
+        for end in range(begin + 1, min(begin + _LONGEST, wide) + 1):
+            inside = length[row] >= end
+            row, key = row[inside], lookup.grow(key[inside], bytes64[row[inside], end - 1])
             piece = lookup.find(key)
-            known = piece < lookup.size
-            if known.any():
-                by_end[begin + size].append((has[known], begin, piece[known]))
+            known = piece >= 0  # no piece begins like the others
+            row, key, piece = row[known], key[known], piece[known]
+            if not len(row):
+                break
+            whole = piece < lookup.size
+            by_end[end].append((row[whole], begin, piece[whole]))
     return Segments(by_end, length)
 
 
 def forward(found: Segments, p: np.ndarray) -> np.ndarray:
-    """Probabilities of all beginnings: (words, ends, languages), scaled so that none vanishes; with log scales.
+    """Probabilities of all beginnings of the words: (words, ends, languages).
 
     ``p``: (pieces, languages). A byte that no piece covers is passed at the fixed probability.
     """

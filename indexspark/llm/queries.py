@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, pii, secret_scan, simhash, toxicity
+from . import decontaminate, exact_dedup, language_id, license_scan, mixing, pii, secret_scan, simhash, toxicity, warc
 from .common import read_table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secret_scan.report(read_table(spark, sf_dir, "documents")),
     "op2_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")),
+    "op3_warc": lambda spark, sf_dir: warc.report(read_table(spark, sf_dir, "pages")),
     "op4_pii": lambda spark, sf_dir: pii.report(read_table(spark, sf_dir, "documents")),
     "op5_toxicity": lambda spark, sf_dir: toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
+    "op6_license_scan": lambda spark, sf_dir: license_scan.report(read_table(spark, sf_dir, "documents")),
     "op7_mixing": lambda spark, sf_dir: mixing.mix(read_table(spark, sf_dir, "documents")),
+    "op8_language_id": lambda spark, sf_dir: language_id.report(read_table(spark, sf_dir, "documents")),
     "op9_simhash": lambda spark, sf_dir: simhash.report(read_table(spark, sf_dir, "documents")),
     "op10_decontamination": lambda spark, sf_dir: decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES = {
+    "op3_warc": """
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS digest,
+             max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+""",
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
