@@ -42,7 +42,7 @@ LOWEST = -2.0
 _SIZE = 28
 _STEPS = ((1, 2, 0), (1, 3, 1), (2, 3, 1), (2, 4, 2))
 _END = 29
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _DIGITS = {ord("0"): "o", ord("1"): "i", ord("3"): "e", ord("4"): "a", ord("5"): "s", ord("7"): "t"}
 
 
@@ -171,19 +171,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(self.margins(texts), LOWEST) + self.shift, -30, 30)))
 
 
+def _kernel(segments: list[bytes], marks: np.ndarray) -> np.ndarray:
+    """Kernel values of a bounded list of segments with the rows ``marks``, some feature rows at a time."""
+    return np.vstack([_features(segments[at : at + 256]) @ marks.T for at in range(0, len(segments), 256)])
+
+
 def _fit(witnesses: list[bytes], others: list[bytes]) -> Machine:
     """SVM on Nyström features; its hardest negatives among all ``others`` join the second fit."""
-    pos = _features(witnesses)
+    top = _features(witnesses[: LANDMARKS // 2])
     pick = others[:HARD_NEGATIVES]
     for _ in range(3):
-        neg = _features(pick)
-        like = np.argsort(-(neg @ pos.T).max(axis=1), kind="stable")[: LANDMARKS // 2]
-        marks = np.vstack([pos[: LANDMARKS // 2], neg[like]])
+        like = np.argsort(-_kernel(pick, top).max(axis=1), kind="stable")[: LANDMARKS // 2]
+        marks = np.vstack([top, _features([pick[i] for i in like])])
         value, vector = np.linalg.eigh(marks @ marks.T)
         good = value > 1e-3 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])
-        x = np.vstack([pos, neg]) @ marks.T @ root
-        w, offset = _svm(x.astype(np.float64), np.r_[np.ones(len(pos)), -np.ones(len(neg))])
+        x = _kernel([*witnesses, *pick], marks) @ root
+        w, offset = _svm(x.astype(np.float64), np.r_[np.ones(len(witnesses)), -np.ones(len(pick))])
         machine = Machine((marks.T @ (root @ w)).astype(np.float32), offset)
         hard = np.argsort(-machine.margins(others), kind="stable")[:HARD_NEGATIVES]
         pick = sorted({*pick[: HARD_NEGATIVES // 2], *(others[i] for i in hard)})
