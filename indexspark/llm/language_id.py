@@ -35,7 +35,7 @@ WORD_BYTES = 48
 #: Probability of a byte that no piece covers, and the count every piece starts with.
 UNKNOWN, PRIOR = 1e-7, 0.02
 _LONGEST = 12
-_AT_ONCE = 16 << 20
+_AT_ONCE = 8 << 20
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -235,9 +235,11 @@ class Model:
             if not len(words):
                 continue
             coded = words.dictionary_encode()
-            score = word_scores(coded.dictionary, lookup, self.p)[coded.indices.to_numpy(zero_copy_only=False)]
+            score, at = word_scores(coded.dictionary, lookup, self.p), coded.indices.to_numpy(zero_copy_only=False)
             full = np.flatnonzero(n)
-            out[i + full] = np.add.reduceat(score, np.r_[0, np.cumsum(n[full])[:-1]])
+            first = np.r_[0, np.cumsum(n[full])[:-1]]
+            for k in range(len(self.langs)):
+                out[i + full, k] = np.add.reduceat(score[at, k], first)
         return out
 
 
