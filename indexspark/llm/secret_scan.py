@@ -59,6 +59,7 @@ def labelled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ids = C.materialize(ids.distinct(), "secret-sample")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = C.materialize(texts, "secret-texts")  # else the optimizer moves the scan below the join, to all texts
     text = F.col("text")
     base = base_spans(text)
     secrets = F.concat(*[F.transform(base[k], lambda s: s["part"]) for k in base])
