@@ -23,20 +23,20 @@ def digests(docs: DataFrame) -> DataFrame:
     return C.materialize(docs.select("doc_id", F.sha2(C.text_or_empty(), 256).alias("text_sha256")), "digests")
 
 
-def groups(marked: DataFrame, share: float = C.HEAVY_SHARE) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``digests``' result."""
+def groups(marked: DataFrame, share: float = C.HEAVY_SHARE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 (and ``carry``) of every row of ``digests``' result."""
     key = "text_sha256"
     of_group = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     heavy = C.materialize(C.heavy_keys(marked, key, share).select(key), "heavy-digests")
     winners = C.materialize(marked.join(F.broadcast(heavy), key, "left_semi").groupBy(key).agg(*of_group), "winners")
     met = marked.join(F.broadcast(winners), key, "left")
-    rest = met.where("group_size is null").select("doc_id", key)
+    rest = met.where("group_size is null").select("doc_id", key, *carry)
     several = rest.groupBy(key).agg(*of_group).where("group_size > 1")
     alone = [F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")]
-    cold = rest.join(several, key, "left").select("doc_id", key, *alone)
-    both = met.where("group_size is not null").select("doc_id", key, "keep_id", "group_size").unionAll(cold)
+    cold = rest.join(several, key, "left").select("doc_id", key, *carry, *alone)
+    both = met.where("group_size is not null").select("doc_id", key, *carry, "keep_id", "group_size").unionAll(cold)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return both.select("doc_id", "keep_id", F.col("group_size").cast("long"), kept, key)
+    return both.select("doc_id", "keep_id", F.col("group_size").cast("long"), kept, key, *carry)
 
 
 def exact_dedup(docs: DataFrame, share: float = C.HEAVY_SHARE) -> DataFrame:
@@ -48,10 +48,8 @@ def dedup(docs: DataFrame, share: float = C.HEAVY_SHARE) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns as they are."""
     with_hash = docs.select("doc_id", F.sha2(C.text_or_empty(), 256).alias("text_sha256"), C.text_hash().alias("text_hash"))
     marked = C.materialize(with_hash, "digests")
-    judged = groups(marked.select("doc_id", "text_sha256"), share)
-    hashes = marked.select("text_sha256", "text_hash").distinct()
-    # only the texts that several rows have are named; each task sees them once per text, not once per row
-    gone = C.materialize(judged.where("not kept").join(hashes, "text_sha256").select("doc_id", "text_hash"), "copies")
+    judged = groups(marked, share, ("text_hash",))
+    gone = C.materialize(judged.where("not kept").select("doc_id", "text_hash"), "copies")
     left = C.keep_other_rows(docs, gone)
     again = marked.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = C.materialize(again.select("doc_id", "text_hash"), "repeated")
