@@ -5,7 +5,7 @@ Sub-packages:
   sources    -- layer store, catalog-driven CSV ingest, driver-table readers, proxy layers
   operators  -- reusable DataFrame operators (filters, joins, aggregates, windows, reshape)
   plans      -- goal jobs, composites, hierarchy, extensions, quality reports, query catalog
-  streaming  -- intentionally empty: the scored workload is batch only
+
 """
 
 __version__ = "0.1.0"

@@ -149,12 +149,12 @@ def wmean_fallback(x, w) -> Column:
 def geo_mean(x) -> Column:
     """``exp(mean(log(x), na.rm=TRUE))``.
 
-    A zero gives 0 (R: log(0) = -Inf); a negative value gives NULL (R: NaN); no values give NULL.
+    A zero gives 0 (R: log(0) = -Inf); a negative value is dropped (R: log is NaN, which na.rm drops); no values
+    give NULL.
     """
     x = _c(x)
     n_zero = F.sum(F.when(x == 0, 1).otherwise(0))
-    n_neg = F.sum(F.when(x < 0, 1).otherwise(0))
-    return F.when(n_neg > 0, _null_d()).when(n_zero > 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(x))))
+    return F.when(n_zero > 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.when(x > 0, F.ln(x)))))
 
 
 def geo_wmean(s, w) -> Column:
@@ -184,16 +184,9 @@ def sum_strict(x) -> Column:
     return strict(F.sum(_c(x)), x)
 
 
-def quantile(x, p: float, accuracy: int | None = None) -> Column:
-    """R type-7 quantile (``na.rm=TRUE``).
-
-    Exact ``percentile`` buffers the group's values; pass ``accuracy`` to switch to ``approx_percentile`` for groups
-    that are large at scale.
-    """
-    x = nan_to_null(x)
-    if accuracy:
-        return F.percentile_approx(x, p, accuracy)
-    return F.percentile(x, F.lit(p))
+def quantile(x, p: float) -> Column:
+    """R type-7 quantile (``na.rm=TRUE``), exact: it counts the group's distinct values."""
+    return F.percentile(nan_to_null(x), F.lit(p))
 
 
 def concat_members(key, cond=None, sep: str = ",") -> Column:

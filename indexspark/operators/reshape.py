@@ -1,8 +1,8 @@
 """Reshape operators (R1-R6) and grid completion.
 
-Grids are built from *bounded dimensions* only (distinct years, literal dimension lists): the dimension values are
-fetched with a size guard and attached with ``explode`` of a literal array, so no cross join of data is planned and
-nothing unbounded reaches the driver.
+Grids come from the distinct values of a dimension (years, products) or a literal list. The values present are one
+array from a scalar subquery, attached with ``explode``: no cross join of data is planned, nothing reaches the driver
+and no number of values is refused.
 """
 
 from __future__ import annotations
@@ -12,15 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DIMENSION_VALUES = 10_000
-
-
-def bounded_values(df: DataFrame, col: str, limit: int = MAX_DIMENSION_VALUES) -> list:
-    """Distinct values of a dimension column, refusing to fetch more than ``limit`` of them."""
-    vals = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"dimension {col!r} has more than {limit} distinct values; not a bounded dimension")
-    return sorted(v for v in vals if v is not None) + ([None] if None in vals else [])
+def present_values(df: DataFrame, col: str) -> Column:
+    """The distinct non-null values of a dimension column, ascending, as an array from a scalar subquery."""
+    return df.select(col).distinct().agg(F.sort_array(F.collect_set(col)).alias("values")).scalar()
 
 
 def literal_array(values: Sequence, cast: str | None = None) -> Column:
@@ -28,9 +22,9 @@ def literal_array(values: Sequence, cast: str | None = None) -> Column:
     return arr.cast(f"array<{cast}>") if cast else arr
 
 
-def with_dimension(df: DataFrame, name: str, values: Sequence, cast: str | None = None) -> DataFrame:
-    """Repeat every row once per value of a bounded dimension (``expand.grid`` column)."""
-    return df.withColumn(name, F.explode(literal_array(values, cast)))
+def with_dimension(df: DataFrame, name: str, values: Sequence | Column, cast: str | None = None) -> DataFrame:
+    """Repeat every row once per value of a dimension (``expand.grid`` column): a list, or an array column."""
+    return df.withColumn(name, F.explode(values if isinstance(values, Column) else literal_array(values, cast)))
 
 
 def complete_series(df: DataFrame, keys: Sequence[str], over: str, values: Sequence | None = None,
@@ -44,7 +38,7 @@ def complete_series(df: DataFrame, keys: Sequence[str], over: str, values: Seque
     if materialize:
         df = df.checkpoint(eager=True)
     if values is None:
-        values = [v for v in bounded_values(df, over) if v is not None]
+        values = present_values(df, over)
     dtype = dict(df.dtypes)[over]
     grid = with_dimension(df.select(*keys).distinct(), over, values, dtype)
     return grid.join(df, on=[*keys, over], how="left")
@@ -71,8 +65,8 @@ def split_columns(df: DataFrame, col: str, names: Sequence[str], sep: str) -> Da
     return out.drop(col) if col not in names else out
 
 
-def explode_targets(df: DataFrame, col: str, out: str, sep: str = " ", max_parts: int = 3) -> DataFrame:
-    """H1: space-separated multi-valued column to one row per value (first ``max_parts`` pieces, like the
-    reference's three target columns)."""
-    parts = F.slice(F.split(F.col(col), sep), 1, max_parts)
+def explode_targets(df: DataFrame, col: str, out: str, sep: str = " ", max_parts: int | None = None) -> DataFrame:
+    """H1: space-separated multi-valued column to one row per value: all of them, or the first ``max_parts``."""
+    parts = F.split(F.col(col), sep)
+    parts = parts if max_parts is None else F.slice(parts, 1, max_parts)
     return df.withColumn(out, F.explode(parts)).filter(F.col(out).isNotNull() & (F.col(out) != ""))

@@ -93,11 +93,11 @@ def bd(scores: DataFrame) -> DataFrame:
 def pre_global(layers: LayerStore, scores: DataFrame, region_labels: str = "rgn_global", nullify_label: str = "Antarctica") -> DataFrame:
     """Keep listed regions and the global region 0; the region labelled ``nullify_label`` gets NA scores."""
     rg = layers.narrow(region_labels, id_num="region_id", val_chr="label")
-    # the region list is bounded metadata: resolve it (size-guarded) and filter, instead of joining every score row
-    keep = [v for v in R.bounded_values(rg, "region_id") if v is not None] + [0]
-    ant = [v for v in R.bounded_values(rg.where(F.col("label") == nullify_label), "region_id") if v is not None]
-    s = scores.where(F.col("region_id").isin(keep))
-    return s.withColumn("score", F.when(F.col("region_id").isin(ant), None).otherwise(F.col("score"))) if ant else s
+    listed = rg.groupBy(F.col("region_id").cast("int").alias("region_id")).agg(F.max(F.col("label") == nullify_label).alias("__null"))
+    own = scores.where("region_id <> 0").join(listed, "region_id")
+    glob = scores.where("region_id = 0").join(listed.where("region_id = 0").select("region_id", "__null"), "region_id", "left")
+    score = F.when(F.coalesce("__null", F.lit(False)), None).otherwise(F.col("score")).alias("score")
+    return own.unionByName(glob).select(*[score if c == "score" else F.col(c) for c in scores.columns])
 
 
 def finalize(layers: LayerStore, scores: DataFrame, goals: Sequence[str] | None = None, region_labels: str = "rgn_global") -> DataFrame:

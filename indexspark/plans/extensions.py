@@ -78,7 +78,7 @@ def pressures(
     weighted mean of ``p_k`` by the subcategory's max weight; social: mean of social layer values weighted by matrix
     weight. ``p = gamma*E + (1-gamma)*S`` (whichever exists when only one does).
     """
-    m = matrix_long.where(F.col("goal").isin(list(scores_goals))).join(F.broadcast(categories), "layer", "inner")
+    m = matrix_long.where(F.col("goal").isin(list(scores_goals))).join(categories, "layer", "inner")
     j = m.join(layer_values, "layer", "inner")
     eco = (
         j.where(F.col("category") == "ecological")
@@ -114,7 +114,7 @@ def resilience(
     ``r = gamma*(Y_E+G)/2 + (1-gamma)*Y_S`` with missing parts dropped.
     """
     m = matrix_long.where(F.col("goal").isin(list(scores_goals))).select("goal", "layer").distinct()
-    j = m.join(F.broadcast(categories), "layer", "inner").join(layer_values, "layer", "inner")
+    j = m.join(categories, "layer", "inner").join(layer_values, "layer", "inner")
     part = j.groupBy("goal", "region_id", "category_type").agg(S.weighted_mean("value", "weight").alias("v"))
     wide = R.pivot(part, ["goal", "region_id"], "category_type", ["ecological", "regulatory", "social"], "v")
     eco = S.row_mean("ecological", "regulatory")
@@ -150,7 +150,7 @@ def likely_future_and_score(scores: DataFrame, beta: float = M.GOAL_BETA, discou
 def index_score(scores: DataFrame, goals: DataFrame, dimensions: Sequence[str] = ("score", "future")) -> DataFrame:
     """Index = weighted mean of the *root* goals' scores (weights from the goal table), per region and dimension."""
     roots = goals.where(F.col("parent").isNull()).select("goal", "weight")
-    s = scores.where(F.col("dimension").isin(list(dimensions))).join(F.broadcast(roots), "goal", "inner")
+    s = scores.where(F.col("dimension").isin(list(dimensions))).join(roots, "goal", "inner")
     return s.groupBy("region_id", "dimension").agg(S.weighted_mean("score", "weight").alias("score")).withColumn("goal", F.lit("Index"))
 
 

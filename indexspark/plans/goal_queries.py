@@ -68,8 +68,7 @@ CW_SQL = f"""WITH {Q.LN},
 p AS (SELECT rgn_id, 1 - v AS x FROM ln UNPIVOT (v FOR layer IN (po_pathogens, po_nutrients_3nm, po_chemicals_3nm, po_trash))),
 t AS (SELECT rgn_id, v FROM ln UNPIVOT (v FOR layer IN (cw_pesticide_trend, cw_fertilizer_trend, cw_coastalpopn_trend, cw_pathogen_trend)))
 SELECT rgn_id AS region_id, 'CW' AS goal, 'status' AS dimension,
-  round(CASE WHEN count(*) FILTER (WHERE x < 0) > 0 THEN NULL WHEN count(*) FILTER (WHERE x = 0) > 0 THEN 0.0
-        ELSE exp(avg(ln(x))) END * 100, 6) AS score
+  round(CASE WHEN count(*) FILTER (WHERE x = 0) > 0 THEN 0.0 ELSE exp(avg(ln(x)) FILTER (WHERE x > 0)) END * 100, 6) AS score
 FROM p GROUP BY 1
 UNION ALL
 SELECT rgn_id, 'CW', 'trend', round(avg(-v), 6) FROM t GROUP BY 1"""

@@ -296,8 +296,7 @@ def mar(layers: LayerStore, status_year: int) -> GoalResult:
 
 def _complete_null_safe(df: DataFrame, keys: Sequence[str], over: str) -> DataFrame:
     """Spread/gather completion where series keys may be NULL (dcast groups NA keys together)."""
-    values = [v for v in R.bounded_values(df, over) if v is not None]
-    grid = R.with_dimension(df.select(*keys).distinct(), over, values, dict(df.dtypes)[over])
+    grid = R.with_dimension(df.select(*keys).distinct(), over, R.present_values(df, over))
     return J.join_null_safe(grid, df, [*keys, over], how="left")
 
 
@@ -318,7 +317,7 @@ def tr(layers: LayerStore, status_year: int, pct_ref: float = 90, region_labels:
     model = d.withColumns({"E": E, "S": (F.col("S_score") - 1) / (7 - 1)}).withColumn("Xtr", F.col("E") * F.col("S"))
     model = model.where((F.col("year") <= status_year) & (F.col("year") > status_year - 5))
     tw = layers.narrow("tr_travelwarnings", id_chr="rgn_name", val_num="multiplier").join(names, "rgn_name", "left").where(F.col("rgn_id").isNotNull())
-    model = model.join(F.broadcast(tw.select("rgn_id", "multiplier")), "rgn_id", "left").withColumn(
+    model = model.join(tw.select("rgn_id", "multiplier"), "rgn_id", "left").withColumn(
         "Xtr", F.when(F.col("multiplier").isNotNull(), F.col("multiplier") * F.col("Xtr")).otherwise(F.col("Xtr"))
     )
     q = model.groupBy("year").agg(S.quantile("Xtr", pct_ref / 100).alias("Xtr_q"))

@@ -24,8 +24,8 @@ PSEUDO_TARGETS = [("pressures", 100.0, "pressures"), ("resilience", 101.0, "resi
 
 
 def target_bridge(catalog: DataFrame) -> DataFrame:
-    """H1: one row per (layer, target) from the space-separated ``targets`` (at most three), catalog columns kept."""
-    return explode_targets(catalog, "targets", "target", " ", 3).drop("targets")
+    """H1: one row per (layer, target) from the space-separated ``targets`` (all of them), catalog columns kept."""
+    return explode_targets(catalog, "targets", "target").drop("targets")
 
 
 def target_labels(bridge: DataFrame, goals: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def target_labels(bridge: DataFrame, goals: DataFrame) -> DataFrame:
     known = goals.select(F.col("goal").alias("target"), "order_hierarchy", "name").unionByName(
         spark.createDataFrame(PSEUDO_TARGETS, "target string, order_hierarchy double, name string")
     )
-    t = bridge.select("target").distinct().join(F.broadcast(known), "target", "left")
+    t = bridge.select("target").distinct().join(known, "target", "left")
     return t.select(
         "target", "order_hierarchy", "name",
         F.format_string("%s %s (%s)", format_g("order_hierarchy"), F.col("name"), F.col("target")).alias("target_label"),
@@ -103,18 +103,18 @@ def apportion_weights(paths: DataFrame, goals: DataFrame, materialize: bool = Tr
         }
     )
     gw = goals.select("goal", "weight")
-    p = p.join(F.broadcast(gw.withColumnsRenamed({"goal": "path2", "weight": "path2_weight"})), "path2", "left")
-    p = p.join(F.broadcast(gw.withColumnsRenamed({"goal": "path1", "weight": "path1_weight"})), "path1", "left")
+    p = p.join(gw.withColumnsRenamed({"goal": "path2", "weight": "path2_weight"}), "path2", "left")
+    p = p.join(gw.withColumnsRenamed({"goal": "path1", "weight": "path1_weight"}), "path1", "left")
     with_sub = goals.where(F.col("parent").isNotNull()).select(F.col("parent").alias("path2")).distinct()
-    own = p.join(F.broadcast(with_sub), "path2", "left_semi").select("path1").distinct().withColumn("__own", F.lit(True))
-    p = p.join(F.broadcast(own), "path1", "left").withColumn("__own", F.coalesce("__own", F.lit(False)))
+    own = p.join(with_sub, "path2", "left_semi").select("path1").distinct().withColumn("__own", F.lit(True))
+    p = p.join(own, "path1", "left").withColumn("__own", F.coalesce("__own", F.lit(False)))
     if materialize:  # one row per leaf path (metadata-sized); read four times below
         p = p.checkpoint(eager=True)
         own = p.where("__own").select("path1").distinct()
     b1 = p.where(~F.col("__own")).withColumn("layer_weight", F.col("path2_weight") / count_in(["path2", "path2_weight"]))
     b2 = p.where(F.col("__own")).withColumn("layers_weight", F.col("path1_weight") / count_in(["path1", "path1_weight"]))
     own_codes = own.select(F.col("path1").alias("__code")).withColumn("__is_own", F.lit(True))
-    b2 = b2.join(F.broadcast(own_codes), F.col("path2") == F.col("__code"), "left").withColumn(
+    b2 = b2.join(own_codes, F.col("path2") == F.col("__code"), "left").withColumn(
         "layer_weight",
         F.when(F.coalesce("__is_own", F.lit(False)), F.col("layers_weight")).otherwise(
             (F.col("path2_weight") - F.col("layers_weight")) / count_in(["path2", "path2_weight"])

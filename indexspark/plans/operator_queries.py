@@ -56,13 +56,13 @@ def q_trend_slope(spark, sf):
     "clamp",
     f"""WITH {OF_SQL}
 SELECT o_custkey AS c_custkey,
-       CASE WHEN count(DISTINCT year) > 1 THEN round(greatest(-1.0, least(1.0, regr_slope(o_totalprice / 100000.0, year) * 5)), 6) END AS trend
+       CASE WHEN count(DISTINCT year) > 1 THEN round(greatest(-1.0, least(1.0, regr_slope(o_totalprice / 100000.0, year) * 5)), 9) END AS trend
 FROM of GROUP BY o_custkey""",
 )
 def q_clamp(spark, sf):
     of = order_facts(Tables(spark, sf))
     return of.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        r6(S.clamp(S.trend_slope(F.col("o_totalprice") / 100000.0, "year"), -1.0, 1.0)).alias("trend")
+        F.round(S.clamp(S.trend_slope(F.col("o_totalprice") / 100000.0, "year"), -1.0, 1.0), 9).alias("trend")
     )
 
 
@@ -70,9 +70,8 @@ def q_clamp(spark, sf):
     "geo_mean",
     f"""WITH {LF_SQL}
 SELECT s_nationkey AS rgn_id, l_returnflag,
-       round(CASE WHEN sum(CASE WHEN 1 - l_discount < 0 THEN 1 ELSE 0 END) > 0 THEN NULL
-                  WHEN sum(CASE WHEN 1 - l_discount = 0 THEN 1 ELSE 0 END) > 0 THEN 0.0
-                  ELSE exp(avg(ln(1 - l_discount))) END * 100, 6) AS score
+       round(CASE WHEN sum(CASE WHEN 1 - l_discount = 0 THEN 1 ELSE 0 END) > 0 THEN 0.0
+                  ELSE exp(avg(CASE WHEN 1 - l_discount > 0 THEN ln(1 - l_discount) END)) END * 100, 6) AS score
 FROM lf GROUP BY 1, 2""",
 )
 def q_geo_mean(spark, sf):
@@ -624,7 +623,7 @@ def q_restrict_regions(spark, sf):
         .distinct()
     )
     ny = nation_year_revenue(t)
-    return ny.join(F.broadcast(keep), "rgn_id", "left_semi").select("rgn_id", "year", F.round("revenue", 2).alias("revenue"))
+    return ny.join(keep, "rgn_id", "left_semi").select("rgn_id", "year", F.round("revenue", 2).alias("revenue"))
 
 
 _DM_SQL = f"""{OF_SQL}, a AS (SELECT year, o_custkey FROM of WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 499000)"""
@@ -872,7 +871,7 @@ def q_name_join(spark, sf):
     tw = J.lookup_table(spark, NAME_MULTIPLIERS, "rgn_name string, multiplier double")
     m = tw.join(t.nation, F.col("n_name") == F.col("rgn_name"), "left").where(F.col("n_nationkey").isNotNull())
     m = m.select(F.col("n_nationkey").alias("rgn_id"), "multiplier")
-    j = nation_year_revenue(t).join(F.broadcast(m), "rgn_id", "left")
+    j = nation_year_revenue(t).join(m, "rgn_id", "left")
     return j.select("rgn_id", "year", F.round(F.coalesce(F.col("multiplier") * F.col("revenue"), F.col("revenue")), 4).alias("xtr"))
 
 
@@ -1091,7 +1090,7 @@ def q_nullify_keys(spark, sf):
         .where(F.col("r_name") == "ASIA")
         .select(F.col("n_nationkey").alias("rgn_id"), F.lit(True).alias("hit"))
     )
-    j = nation_year_revenue(t).join(F.broadcast(k), "rgn_id", "left")
+    j = nation_year_revenue(t).join(k, "rgn_id", "left")
     return j.select("rgn_id", "year", F.when(F.col("hit"), None).otherwise(F.round("revenue", 2)).alias("revenue"))
 
 

@@ -41,16 +41,14 @@ LEAF_JOBS: dict[str, LeafJob] = {
 
 COMPOSITES = ("FP", "LE", "SP", "BD")
 
-_PAIRS: dict[tuple, dict] = {}
-
-
 def _pair(layers: LayerStore, p: Mapping) -> dict[str, G.GoalResult]:
-    """LIV and ECO share one computation per (store, parameters)."""
-    key = (id(layers), p["liv_workforcesize_year"], p["eco_rev_adj_min_year"], id(p.get("fixes")))
-    if key not in _PAIRS:
-        _PAIRS.clear()
-        _PAIRS[key] = liv_eco_pair(layers, p["liv_workforcesize_year"], p["eco_rev_adj_min_year"], p.get("fixes"))
-    return _PAIRS[key]
+    """LIV and ECO share one computation per store and parameters, which the store itself keeps."""
+    args = (p["liv_workforcesize_year"], p["eco_rev_adj_min_year"], p.get("fixes"))
+    for known, pair in layers.pairs:
+        if known == args:
+            return pair
+    layers.pairs.append((args, liv_eco_pair(layers, *args)))
+    return layers.pairs[-1][1]
 
 
 def empty_scores(spark) -> DataFrame:

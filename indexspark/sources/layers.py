@@ -59,6 +59,7 @@ class LayerStore:
         if missing:
             raise ValueError(f"not a long layer frame, missing {missing}")
         self.df = df.select(*LONG_COLUMNS)
+        self.pairs: list[tuple] = []  # results that two goals share, by their parameters (plans/scenario.py)
 
     # S3
     def select(self, layer: str) -> DataFrame:
@@ -72,13 +73,10 @@ class LayerStore:
     def by_target(self, target: str, bridge: DataFrame) -> DataFrame:
         """Rows of every layer whose catalog targets include ``target``.
 
-        The layer names come from the catalog bridge (metadata, fetched with a size guard), so the selection is a
-        static ``layer IN (...)`` filter: partition pruning on the stored layer store, no join.
+        A semi join on the store's partition column: the few layer names prune the partitions at run time.
         """
-        from ..operators.reshape import bounded_values
-
-        names = [v for v in bounded_values(bridge.where(F.col("target") == target), "layer") if v is not None]
-        return self.select_many(names)
+        names = bridge.where(F.col("target") == target).select("layer").distinct()
+        return self.df.join(names, "layer", "left_semi").select(*LONG_COLUMNS)
 
     # S6
     def alias(self, mapping: Mapping[str, str]) -> DataFrame:
@@ -117,13 +115,18 @@ class LayerStore:
     @staticmethod
     def snapshot(spark: SparkSession, path: str, build) -> LayerStore:
         """Reuse a written store when present, else build it (a callable returning a LayerStore) and write it."""
-        if _exists(spark, path):
+        if _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):  # a half-written store has none and is written anew
             return LayerStore.read(spark, path)
         store = build()
         store.write(path)
         return LayerStore.read(spark, path)
 
 
+def _decoded(path: Column) -> Column:
+    """A file path as it was written: Spark's file metadata has it percent-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -174,7 +177,7 @@ def ingest_catalog(spark: SparkSession, catalog: DataFrame, layer_dir: str, head
         paths = [os.path.join(layer_dir, r["filename"]) for r in rows]
         raw = read_csv_layer(spark, paths)
         raw = raw.toDF(*[c.lower() for c in raw.columns]) if len(raw.columns) == len(header) else raw
-        raw = raw.withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        raw = raw.withColumn("__file", F.element_at(F.split(_decoded(F.col("_metadata.file_path")), "/"), -1))
         # fields differ per catalog row even within a shape, so pick each with a CASE over the file name
         spec = spark.createDataFrame(
             [(r["filename"], r["layer"]) for r in rows], "__file string, __layer string"

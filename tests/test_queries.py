@@ -11,8 +11,10 @@ import __spark_entry__ as E
 from indexspark.sources.tables import TABLE_NAMES
 
 SF = os.environ.get("INDEXSPARK_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from indexspark.plans import registry  # noqa: E402
+
+registry.load_all()
+QUERIES, ORACLES = dict(registry.QUERIES), dict(registry.ORACLES)  # the llm queries have tests of their own
 
 
 def _norm(v):
@@ -21,7 +23,7 @@ def _norm(v):
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
-        return None if (math.isnan(v) or math.isinf(v)) else round(v, 4)
+        return None if (math.isnan(v) or math.isinf(v)) else round(v, 6)
     return v
 
 

@@ -106,6 +106,8 @@ def test_n14_geometric_mean_with_zero(spark):
     assert agg(df, S.geo_mean("x")) == 0.0
     df2 = spark.createDataFrame([(1.0,), (4.0,), (None,)], "x double")
     assert abs(agg(df2, S.geo_mean("x")) - 2.0) < 1e-12
+    negative = df.sparkSession.createDataFrame([(0.8,), (0.5,), (-0.1,)], "x double")  # a pressure above 1
+    assert abs(agg(negative, S.geo_mean("x")) - 0.4**0.5) < 1e-12
     df3 = spark.createDataFrame([(0.0, 0.5), (2.0, 0.5)], "s double, w double")
     assert agg(df3, S.geo_wmean("s", "w")) == 0.0
 
