@@ -73,10 +73,11 @@ class LayerStore:
     def by_target(self, target: str, bridge: DataFrame) -> DataFrame:
         """Rows of every layer whose catalog targets include ``target``.
 
-        A semi join on the store's partition column: the few layer names prune the partitions at run time.
+        The layer names come from the catalog (one row per file and target, no cap), so the selection is a static
+        ``layer IN (...)`` filter: partition pruning on the stored layer store, no join.
         """
-        names = bridge.where(F.col("target") == target).select("layer").distinct()
-        return self.df.join(names, "layer", "left_semi").select(*LONG_COLUMNS)
+        names = bridge.where((F.col("target") == target) & F.col("layer").isNotNull()).select("layer").distinct()
+        return self.select_many(sorted(r[0] for r in names.collect()))
 
     # S6
     def alias(self, mapping: Mapping[str, str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as E
+from indexspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
+registry.load_all()
+QUERIES = dict(registry.QUERIES)
 
 
 def _plan(df) -> str:
