@@ -173,7 +173,7 @@ def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     machine = toxicity.train(docs, labels)
     test = docs.where(common.held_out()).join(labels, "doc_id").select("toxic", toxicity.score_column(machine).alias("s")).collect()
-    assert sum((r.s >= 0.5) == (r.toxic == 1) for r in test) >= 0.94 * len(test)
+    assert sum((r.s >= 0.5) == (r.toxic == 1) for r in test) >= 0.96 * len(test)
     rough = ["a l o s e r b", "you sc-um there", "the L0SER", "The only that of and thing is.", "", None]
     s = machine.scores([t if t is None else t.encode() for t in rough])
     assert (s[:3] >= 0.5).all() and (s[3:] < 0.5).all()
