@@ -18,20 +18,16 @@ def double_membership_exclude(df: DataFrame, ref: DataFrame, pairs: Sequence[tup
     """drop rows where *each* column is, independently, among the reference's values of its partner column
     (``!(a %in% R$a & b %in% R$b)``, not a composite key).
 
-    Each membership is a left join to the distinct key set of one column (bounded by that column's cardinality), so
-    the check is two equi joins, not a cross product.
+    The memberships are tested on the distinct value tuples of ``df``, and the tuples that meet all of them are
+    anti-joined on all columns: the rows themselves are never shuffled on one, perhaps low-cardinality, column. A NULL
+    is no member of anything.
     """
-    out = df
-    flags = []
-    for i, (col, ref_col) in enumerate(pairs):
-        flag = f"__in{i}"
-        keys = ref.select(F.col(ref_col).alias(col)).where(F.col(col).isNotNull()).distinct().withColumn(flag, F.lit(True))
-        out = out.join(keys, on=col, how="left")
-        flags.append(F.coalesce(F.col(flag), F.lit(False)))
-    both = flags[0]
-    for f in flags[1:]:
-        both = both & f
-    return out.filter(~both).drop(*[f"__in{i}" for i in range(len(pairs))])
+    cols = [c for c, _ in pairs]
+    hit = df.select(*cols).distinct()
+    for col, ref_col in reversed(pairs):
+        keys = ref.select(F.col(ref_col).alias(col)).where(F.col(col).isNotNull()).distinct()
+        hit = hit.join(keys, on=col, how="left_semi")
+    return df.join(hit, on=cols, how="left_anti")
 
 
 def leaf_paths(df: DataFrame, path: str = "path", sep: str = "-", min_sep: int = 2) -> DataFrame:

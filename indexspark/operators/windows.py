@@ -1,7 +1,7 @@
 """Window operators (W1-W7; W8 id order is ``global_row_number``).
 
-Every window is partitioned by a key whose partitions hold *already aggregated* rows (a region's years, a product's
-regions), so a hot key cannot put an unbounded number of raw rows into one task. No global (unpartitioned) window
+Windows are meant for partitions of *already aggregated* rows (a region's years, a product's regions); over raw rows
+``share_by_join`` and ``keep_top_n_ties`` aggregate first, so a hot key does not put its raw rows into one task. No global (unpartitioned) window
 over facts is used anywhere.
 """
 
@@ -25,6 +25,13 @@ def share_of_total(x: str | Column, part) -> Column:
     return safe_div(x, F.sum(x).over(_w(part)))
 
 
+def share_by_join(df: DataFrame, x: str, part: str, name: str) -> DataFrame:
+    """W1 over raw rows: the totals are aggregated (map-side first) and joined back, so that no task holds a whole
+    partition; the totals have one row per partition."""
+    totals = df.groupBy(part).agg(F.sum(x).alias("__total"))
+    return df.join(totals, part, "left").withColumn(name, safe_div(x, "__total")).drop("__total")
+
+
 def rolling_mean_centred(x: str, part, order: str, width: int = 4) -> Column:
     """Centred partial rolling mean ignoring NA; even width ``w`` spans ``-(w//2-1) .. w//2``."""
     before = (width - 1) // 2
@@ -60,6 +67,16 @@ def top_n_ties(order: str, part, n: int) -> Column:
     return F.rank().over(_w(part).orderBy(F.col(order).desc())) <= n
 
 
+def keep_top_n_ties(df: DataFrame, order: str, part: str, n: int) -> DataFrame:
+    """W7 over raw rows: the rows that ``top_n_ties`` keeps. Rows are counted per key and order value, the rank of a
+    value is one more than the rows above it, and the kept values select the rows, so the window sees counts only."""
+    above = _w(part).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(part, order).agg(F.count(F.lit(1)).alias("__n"))
+    kept = counts.withColumn("__above", F.coalesce(F.sum("__n").over(above), F.lit(0))).where(F.col("__above") < n)
+    kept = kept.select(F.col(part).alias("__part"), F.col(order).alias("__order"))
+    return df.join(kept, F.col(part).eqNullSafe(F.col("__part")) & F.col(order).eqNullSafe(F.col("__order")), "left_semi")
+
+
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "rn", partitions: int | None = None) -> DataFrame:
     """A 1-based row number over the whole frame in ``order`` without a single-partition window.
 

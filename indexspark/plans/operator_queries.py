@@ -557,7 +557,7 @@ SELECT o_custkey, year, o_orderkey FROM (
 )
 def q_top_n_ties(spark, sf):
     of = order_facts(Tables(spark, sf))
-    return of.withColumn("keep", W.top_n_ties("year", "o_custkey", 2)).where("keep").select("o_custkey", "year", "o_orderkey")
+    return W.keep_top_n_ties(of, "year", "o_custkey", 2).select("o_custkey", "year", "o_orderkey")
 
 
 # ---------------------------------------------------------------- filters (F*)
@@ -725,11 +725,8 @@ SELECT rgn_id, year, round(sum(status_saup * prop_area), 6) AS status FROM st JO
 def q_area_share(spark, sf):
     t = Tables(spark, sf)
     st = line_facts(t).groupBy(F.col("l_suppkey").alias("saup_id"), "year").agg(F.avg(1 - F.col("l_discount")).alias("status_saup"))
-    pa = t.supplier.select(
-        F.col("s_suppkey").alias("saup_id"),
-        F.col("s_nationkey").alias("rgn_id"),
-        W.share_of_total(F.col("s_acctbal") + 1000, "s_nationkey").alias("prop_area"),
-    )
+    area = t.supplier.select(F.col("s_suppkey").alias("saup_id"), F.col("s_nationkey").alias("rgn_id"), (F.col("s_acctbal") + 1000).alias("area"))
+    pa = W.share_by_join(area, "area", "rgn_id", "prop_area")
     j = st.join(pa, "saup_id", "inner")
     return j.groupBy("rgn_id", "year").agg(r6(S.sum_strict(F.col("status_saup") * F.col("prop_area"))).alias("status"))
 

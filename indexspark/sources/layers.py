@@ -216,8 +216,8 @@ def ingest_catalog(spark: SparkSession, catalog: DataFrame, layer_dir: str, head
 
 
 def layer_target_bridge(catalog: DataFrame) -> DataFrame:
-    """H1: ``layer, target`` from the space-separated ``targets`` column (at most three targets per layer)."""
-    parts = F.slice(F.split(F.trim(F.col("targets")), r"\s+"), 1, 3)
+    """H1: ``layer, target`` from the space-separated ``targets`` column (all of them)."""
+    parts = F.split(F.trim(F.col("targets")), r"\s+")
     return catalog.select("layer", F.explode_outer(parts).alias("target")).where(
         F.col("target").isNotNull() & (F.col("target") != "")
     )

@@ -12,13 +12,15 @@ store of ~60 layers costs about a dozen aggregations, not 60 scans. Build once,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import recode, safe_div
-from ..operators.windows import share_of_total
+from ..operators.windows import share_by_join, share_of_total
+from ..session import ensure_checkpoint_dir
 from .layers import LONG_COLUMNS, LayerStore, to_long
 from .tables import Tables, year_of
 
@@ -72,86 +74,97 @@ def _count_if(cond: Column, n: str | Column) -> Column:
     return F.coalesce(_sum_if(cond, n), F.lit(0))
 
 
-# ---------------------------------------------------------------- shared fact pre-aggregates
+# ---------------------------------------------------------------- shared fact aggregates
 #
-# Each fact table is partially aggregated once on its dimension join keys plus the low-cardinality columns the layers
-# test (flags, year). Map-side combine collapses hot keys before the shuffle, the join to the (possibly large)
-# dimension tables then sees at most one row per key combination, and every family below reads the same
-# pre-aggregate, so one plan that builds many layers shuffles each fact table once (identical subtrees are reused).
+# Every family aggregates a fact table on the keys its layers need. What several families share is stored at the grain
+# of dimension attributes (nation, type, brand, segment, year, flags), whose size does not grow with the facts; nothing
+# of fact size is written. The fact columns that reach a shuffle are those that the wanted layers read.
 
 
 def _shared(t: Tables, key: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
-    """Build a shared pre-aggregate once per ``Tables`` and materialise it (reliable checkpoint in the session's
-    checkpoint directory). Column pruning would otherwise give every family its own copy of the aggregate, and the
-    fact table would be scanned and shuffled once per family instead of once per store."""
+    """Build a shared aggregate once per ``Tables``, write it as Parquet under the session's checkpoint directory and
+    read it back: later plans know its size and read only their columns."""
     cache = t.__dict__.setdefault("_shared", {})
     if key not in cache:
-        cache[key] = build(t).checkpoint(eager=True) if t.materialize_shared else build(t)
+        df = build(t)
+        if t.materialize_shared:
+            path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{key}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            df = t.spark.read.schema(df.schema).parquet(path)
+        cache[key] = df
     return cache[key]
 
 
-def line_pre(t: Tables) -> DataFrame:
-    """lineitem -> (l_suppkey, l_partkey, year, l_returnflag, l_linestatus) partial sums and counts."""
-    return _line_pre(t)
-
-
-def order_pre(t: Tables) -> DataFrame:
-    """orders -> (o_custkey, year, o_orderpriority, o_orderstatus) partial sums and counts."""
-    return _order_pre(t)
-
-
-def _line_pre(t: Tables) -> DataFrame:
+def _line_measures() -> list[Column]:
     d, q, tax = F.col("l_discount"), F.col("l_quantity"), F.col("l_tax")
-    return t.lineitem.groupBy("l_suppkey", "l_partkey", year_of("l_shipdate").alias("year"), "l_returnflag", "l_linestatus").agg(
+    return [
         F.count(F.lit(1)).alias("n"),
         F.sum(q).alias("q"),
         F.sum(d).alias("d"),
         F.sum(tax).alias("tax"),
         F.sum("l_extendedprice").alias("rev"),
-        F.sum(F.round(d * 100).cast("int")).alias("d_c"),
-        F.sum(F.round(tax * 100).cast("int")).alias("tax_c"),
         F.sum(F.when(q > 48, q).otherwise(0.0)).alias("q_gt48"),
         F.sum(F.when(d >= 0.08, q)).alias("q_d08"),
         F.count(F.when(d >= 0.08, 1)).alias("n_d08"),
         F.count(F.when(d == 0, 1)).alias("n_d0"),
         F.count(F.when(d >= 0.1, 1)).alias("n_d10"),
-    )
+    ]
 
 
-def _order_pre(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey", year_of("o_orderdate").alias("year"), "o_orderpriority", "o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("o_totalprice").alias("price"),
-        F.count(F.when(F.col("o_totalprice") > 400000, 1)).alias("n_gt400k"),
-    )
+def _line_supp(t: Tables) -> DataFrame:
+    """lineitem by supplier and flags (the map-side combine collapses a hot supplier), with the supplier's nation."""
+    pre = t.lineitem.groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(*_line_measures())
+    s = t.supplier.select("s_suppkey", "s_nationkey")
+    return pre.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
-def _build_line_part(t: Tables) -> DataFrame:
+def _line_parts(t: Tables, *columns: str) -> DataFrame:
+    """lineitem with its supplier's nation and the part's ``columns``. Supplier and part together nearly identify a row,
+    so aggregating before these joins would not collapse anything; a hot key is split by the adaptive skew join."""
     s = t.supplier.select("s_suppkey", "s_nationkey")
-    p = t.part.select("p_partkey", "p_type", "p_brand", "p_name")
-    return line_pre(t).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    p = t.part.select("p_partkey", *columns)
+    return t.lineitem.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
 
 
-def _build_order_cust(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = t.nation.select("n_nationkey", "n_name")
-    return order_pre(t).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+def _build_line_type(t: Tables) -> DataFrame:
+    keys = ["s_nationkey", "p_type", "p_brand", year_of("l_shipdate").alias("year"), "l_returnflag", "l_linestatus"]
+    return _line_parts(t, "p_type", "p_brand").groupBy(*keys).agg(*_line_measures())
 
 
-def _line_part(t: Tables) -> DataFrame:
-    """The lineitem pre-aggregate with its supplier nation and part attributes, materialised once per store."""
-    return _shared(t, "line_part", _build_line_part)
+def _line_type(t: Tables) -> DataFrame:
+    """lineitem by nation, part type, brand, ship year and flags, stored once."""
+    return _shared(t, "line_type", _build_line_type)
 
 
-def _line_supp(t: Tables) -> DataFrame:
-    return _line_part(t)
+def _build_order_cust(t: Tables) -> DataFrame:
+    pre = t.orders.groupBy("o_custkey", year_of("o_orderdate").alias("year"), "o_orderpriority", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("o_totalprice").alias("price"),
+        F.count(F.when(F.col("o_totalprice") > 400000, 1)).alias("n_gt400k"),
+    )
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = t.nation.select("n_nationkey", "n_name")
+    return (
+        pre.join(c, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", "c_mktsegment", "year", "o_orderpriority", "o_orderstatus")
+        .agg(F.sum("n").alias("n"), F.sum("price").alias("price"), F.sum("n_gt400k").alias("n_gt400k"))
+        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    )
 
 
 def _order_cust(t: Tables) -> DataFrame:
-    """The orders pre-aggregate with customer nation, segment and nation name, materialised once per store."""
+    """orders by customer nation, segment, order year, priority and status, stored once."""
     return _shared(t, "order_cust", _build_order_cust)
 
 
+def _customers(t: Tables, *keys: Column) -> DataFrame:
+    """Customers with orders, by nation and ``keys`` of their orders."""
+    seen = t.orders.select("o_custkey", *keys).distinct()
+    c = t.customer.select("c_custkey", rgn("c_nationkey").alias("rgn_id"))
+    names = [x for x in seen.columns if x != "o_custkey"]
+    return seen.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("rgn_id", *names).agg(F.count(F.lit(1)).cast("double").alias("customers"))
+
+
 # ---------------------------------------------------------------- families
 
 
@@ -191,8 +204,7 @@ def fam_order_nation(t: Tables) -> DataFrame:
         _ratio(_count_if(F.col("o_orderstatus") == "F", n), F.sum(n)).alias("ao_access"),
         F.sum(n).cast("double").alias("rgn_area_inland1km"),
         (F.sum(n) * 0.5).alias("rgn_area_offshore3nm"),
-        F.count_distinct("o_custkey").cast("double").alias("rgn_area"),
-    )
+    ).join(_customers(t).withColumnRenamed("customers", "rgn_area"), "rgn_id", "left")
     cols = [c for c in g.columns if c != "rgn_id"]
     return _wide_to_long(g, {c: c for c in cols}, id_num="rgn_id")
 
@@ -210,15 +222,17 @@ def fam_order_nation_year(t: Tables) -> DataFrame:
         _ratio(F.coalesce(_sum_if(st == "F", n), F.lit(0)), tot).alias("tr_unemployment"),
         tot.cast("double").alias("tr_jobs_total"),
         F.coalesce(_sum_if(urgent, "n_gt400k"), F.lit(0)).cast("double").alias("le_popn"),
-        F.count_distinct("o_custkey").cast("double").alias("mar_coastalpopn_inland25mi"),
         F.coalesce(_sum_if((st == "F") & urgent, n), F.lit(0)).cast("double").alias("lsp_prot_area_inland1km"),
         F.coalesce(_sum_if((st == "F") & (F.col("o_orderpriority") == "2-HIGH"), n), F.lit(0)).cast("double").alias("lsp_prot_area_offshore3nm"),
         (_ratio(F.sum("price"), tot) / 1000).alias("le_gdp_pc_ppp"),
-        F.count_distinct("o_custkey").cast("double").alias("le_workforcesize_adj"),
         F.sum("price").alias("le_revenue_adj"),
         (_ratio(F.coalesce(_sum_if(st == "F", n), F.lit(0)), tot) * 100).alias("le_unemployment"),
         F.sum("price").alias("le_gdp"),
     )
+    people = _customers(t, year_of("o_orderdate").alias("year"))
+    g = g.join(people, ["rgn_id", "year"], "left").withColumns(
+        {"mar_coastalpopn_inland25mi": F.col("customers"), "le_workforcesize_adj": F.col("customers")}
+    )
     by_rgn = ["ao_need", "tr_jobs_tourism", "tr_jobs_pct_tourism", "tr_unemployment", "tr_jobs_total", "le_popn",
               "mar_coastalpopn_inland25mi", "lsp_prot_area_inland1km", "lsp_prot_area_offshore3nm"]
     by_cntry = ["le_gdp_pc_ppp", "le_workforcesize_adj", "le_revenue_adj", "le_unemployment", "le_gdp"]
@@ -254,7 +268,7 @@ def fam_order_nation_sector(t: Tables) -> DataFrame:
 
 
 def fam_line_nation_type(t: Tables) -> DataFrame:
-    lp = _line_part(t).withColumn("habitat", recode("p_type", TYPE_HABITAT)).withColumn("product", recode("p_type", TYPE_PRODUCT))
+    lp = _line_type(t).withColumn("habitat", recode("p_type", TYPE_HABITAT)).withColumn("product", recode("p_type", TYPE_PRODUCT))
     is_n = F.col("l_returnflag") == "N"
     g = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "habitat", "product", "l_linestatus").agg(
         F.sum("q").alias("q"), F.sum("n").alias("n"),
@@ -286,7 +300,7 @@ def fam_line_nation_type(t: Tables) -> DataFrame:
 def fam_np_harvest(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    lp = _line_part(t).where(F.col("l_returnflag") == "A").withColumn("product", recode("p_type", TYPE_PRODUCT))
+    lp = _line_type(t).where(F.col("l_returnflag") == "A").withColumn("product", recode("p_type", TYPE_PRODUCT))
     g = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "product", "year").agg(F.sum("q").alias("tonnes"))
     peak = F.max("tonnes").over(Window.partitionBy("rgn_id", "product")) * 0.65
     g = g.withColumn("tonnes_rel", F.least(F.lit(1.0), safe_div("tonnes", peak)))
@@ -299,7 +313,7 @@ def _brand_no(col: str = "p_brand") -> Column:
 
 
 def fam_mar(t: Tables) -> DataFrame:
-    lp = _line_part(t).withColumn("species_code", _brand_no())
+    lp = _line_type(t).withColumn("species_code", _brand_no())
     sparse = (F.col("l_returnflag") == "R") & (F.col("n_d08") > 0)
     tonnes = lp.where(sparse).groupBy(rgn("s_nationkey").alias("rgn_id"), "species_code", "year").agg(F.sum("q_d08").alias("v"))
     sust = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), "species_code").agg((1 - _ratio(F.sum("d"), F.sum("n")) * 5).alias("v"))
@@ -313,23 +327,23 @@ def fam_mar(t: Tables) -> DataFrame:
 
 def fam_fis(t: Tables) -> DataFrame:
     nat = t.nation.select("n_nationkey", (F.col("n_regionkey") + 1).alias("fao_id"))
-    lp = _line_part(t).join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
     b = _brand_no()
-    lp = lp.withColumn("taxon_name", F.regexp_replace("p_brand", "#", "")).withColumn(
-        "taxon_key", ((F.lit(1) + b % 6) * 100000 + b).cast("int")
-    )
-    catch = lp.groupBy(
-        F.concat_ws("_", F.col("fao_id").cast("string"), F.col("l_suppkey").cast("string")).alias("fao_saup_id"),
-        F.concat_ws("_", "taxon_name", F.col("taxon_key").cast("string")).alias("taxon"),
-        "year",
-    ).agg(F.sum("q").alias("v"))
-    bmsy = lp.where(F.col("l_returnflag") == "R").groupBy("fao_id", "taxon_name", "year").agg(
-        (_ratio(F.sum("d"), F.sum("n")) * 20 + 0.5).alias("v")
+    name = F.regexp_replace("p_brand", "#", "")
+    key = ((F.lit(1) + b % 6) * 100000 + b).cast("int")
+    p = t.part.select("p_partkey", F.concat_ws("_", name, key.cast("string")).alias("taxon"))
+    s = t.supplier.select("s_suppkey", "s_nationkey")
+    catch = (
+        t.lineitem.join(p, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("l_suppkey", "taxon", year_of("l_shipdate").alias("year"))
+        .agg(F.sum("l_quantity").alias("v"))
+        .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumn("fao_saup_id", F.concat_ws("_", F.col("fao_id").cast("string"), F.col("l_suppkey").cast("string")))
     )
-    prop = t.supplier.select(
-        F.col("s_suppkey").alias("saup_id"),
-        rgn("s_nationkey").cast("string").alias("rgn_id"),
-        share_of_total(F.col("s_acctbal") + 1000, "s_nationkey").alias("v"),
+    lt = _line_type(t).where(F.col("l_returnflag") == "R").join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+    bmsy = lt.groupBy("fao_id", name.alias("taxon_name"), "year").agg((_ratio(F.sum("d"), F.sum("n")) * 20 + 0.5).alias("v"))
+    prop = share_by_join(t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_acctbal") + 1000).alias("x")), "x", "s_nationkey", "v").select(
+        F.col("s_suppkey").alias("saup_id"), rgn("s_nationkey").cast("string").alias("rgn_id"), "v"
     )
     return (
         to_long(catch, "fis_meancatch", id_chr="fao_saup_id", category="taxon", year="year", val_num="v")
@@ -339,21 +353,30 @@ def fam_fis(t: Tables) -> DataFrame:
 
 
 def fam_ico(t: Tables) -> DataFrame:
-    lp = _line_part(t)
-    # integer cents keep the category boundaries exact whatever the summation order
-    d = F.floor(F.sum("d_c") / F.sum("n")).cast("int")
+    """Both layers from one aggregation: a species' few flag groups travel as an array beside its totals."""
     cats = F.create_map(*[F.lit(x) for kv in {2: "LC", 3: "NT", 4: "VU", 5: "EN", 6: "CR", 7: "EX"}.items() for x in kv])
-    st = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), F.col("p_name").alias("sciname"), "l_returnflag").agg(
-        F.coalesce(F.element_at(cats, d), F.lit("DD")).alias("cat")
-    )
-    tax2 = F.sum("tax_c") * 2
-    n = F.sum("n")
-    tr = lp.groupBy(rgn("s_nationkey").alias("rgn_id"), F.col("p_name").alias("sciname")).agg(
-        F.when(tax2 < n * 7, "decreasing").when(tax2 < n * 9, "stable").otherwise("increasing").alias("cat")
-    )
-    return to_long(st, "ico_spp_extinction_status", id_num="rgn_id", category="sciname", val_chr="cat").unionByName(
-        to_long(tr, "ico_spp_popn_trend", id_num="rgn_id", category="sciname", val_chr="cat")
+    # integer cents keep the category boundaries exact whatever the summation order
+    g = (
+        _line_parts(t, "p_name")
+        .groupBy("s_nationkey", "p_name", "l_returnflag")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.round(F.col("l_discount") * 100).cast("int")).alias("d_c"),
+            F.sum(F.round(F.col("l_tax") * 100).cast("int")).alias("tax_c"),
+        )
+        .groupBy("s_nationkey", "p_name")
+        .agg(F.collect_list(F.floor(F.coalesce(F.col("d_c") / F.col("n"), F.lit(0.0))).cast("int")).alias("d"), F.sum("tax_c").alias("tax_c"), F.sum("n").alias("n"))
     )
+    tax2, n = F.col("tax_c") * 2, F.col("n")
+    trend = F.when(tax2 < n * 7, "decreasing").when(tax2 < n * 9, "stable").otherwise("increasing")
+
+    def row(layer: str, cat: Column) -> Column:
+        return F.struct(F.lit(layer).alias("layer"), cat.alias("cat"))
+
+    status = F.transform("d", lambda d: row("ico_spp_extinction_status", F.coalesce(F.element_at(cats, d), F.lit("DD"))))
+    both = F.explode(F.concat(status, F.array(row("ico_spp_popn_trend", trend))))
+    out = g.select(rgn("s_nationkey").alias("rgn_id"), F.col("p_name").alias("sciname"), both.alias("r"))
+    return to_long(out, F.col("r.layer"), id_num="rgn_id", category="sciname", val_chr=F.col("r.cat"))
 
 
 def fam_static(t: Tables) -> DataFrame:
