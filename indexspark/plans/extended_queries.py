@@ -66,4 +66,4 @@ s5g AS (SELECT * FROM s5i UNION ALL SELECT * FROM glb),
 @register("scenario_extended", _extended_sql())
 def q_scenario_extended(spark, sf):
     store = proxy_store(Tables(spark, sf)).materialize()
-    return run_scenario(store, M.PROXY_PARAMS, extensions=_extension_inputs(spark, store)).scores
+    return run_scenario(store, M.PROXY_PARAMS, leaf_digits=6, extensions=_extension_inputs(spark, store)).scores

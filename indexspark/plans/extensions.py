@@ -64,40 +64,58 @@ def gapfill_georegions(
 # ---------------------------------------------------------------- X2, X3: pressures and resilience
 
 
+def _elements(matrix: DataFrame) -> DataFrame:
+    """The matrix with its element column; goals without elements (and matrices without the column) have one, ``''``."""
+    element = F.coalesce(F.col("element"), F.lit("")) if "element" in matrix.columns else F.lit("")
+    return matrix.withColumn("element", element)
+
+
+def _over_elements(parts: DataFrame, dimension: str, weights: DataFrame | None) -> DataFrame:
+    """Goal values from element values. ``weights(goal, element, region_id, weight)`` says what an element contributes
+    in a region: in a goal it names, elements without a weight there count nothing; elsewhere all count alike."""
+    w = F.lit(1.0)
+    if weights is not None:
+        keys = ["goal", "element", "region_id"]
+        weighted = weights.select("goal").distinct().withColumn("__weighted", F.lit(True))
+        parts = parts.join(weights.groupBy(*keys).agg(F.sum("weight").alias("__w")), keys, "left").join(weighted, "goal", "left")
+        w = F.when(F.col("__weighted"), F.coalesce("__w", F.lit(0.0))).otherwise(1.0)
+    g = parts.groupBy("goal", "region_id").agg(S.weighted_mean("value", w).alias("value"))
+    return g.select("region_id", "goal", F.lit(dimension).alias("dimension"), (F.col("value") * 100).alias("score"))
+
+
 def pressures(
     scores_goals: Sequence[str],
     matrix_long: DataFrame,
     categories: DataFrame,
     layer_values: DataFrame,
     gamma: float = M.PRESSURES_GAMMA,
+    element_weights: DataFrame | None = None,
 ) -> DataFrame:
     """X2 (reconstruction): goal pressures per region on 0-100.
 
-    ``matrix_long(goal, layer, weight 1-3)``; ``categories(layer, category 'ecological'|'social', subcategory)``;
-    ``layer_values(region_id, layer, value 0-1)``. Ecological: per subcategory ``p_k = min(1, sum(w*s)/3)`` then a
-    weighted mean of ``p_k`` by the subcategory's max weight; social: mean of social layer values weighted by matrix
-    weight. ``p = gamma*E + (1-gamma)*S`` (whichever exists when only one does).
+    ``matrix_long(goal[, element], layer, weight 1-3)``; ``categories(layer, category 'ecological'|'social',
+    subcategory)``; ``layer_values(region_id, layer, value 0-1)``. Per goal element, ecological: per subcategory
+    ``p_k = min(1, sum(w*s)/3)`` then a weighted mean of ``p_k`` by the subcategory's max weight; social: mean of social
+    layer values weighted by matrix weight. ``p = gamma*E + (1-gamma)*S`` (whichever exists when only one does). A
+    goal's pressure is the mean of its elements, weighted by ``element_weights`` where it names the goal.
     """
-    m = matrix_long.where(F.col("goal").isin(list(scores_goals))).join(categories, "layer", "inner")
+    keys = ["goal", "element", "region_id"]
+    m = _elements(matrix_long.where(F.col("goal").isin(list(scores_goals)))).join(categories, "layer", "inner")
     j = m.join(layer_values, "layer", "inner")
     eco = (
         j.where(F.col("category") == "ecological")
-        .groupBy("goal", "region_id", "subcategory")
+        .groupBy(*keys, "subcategory")
         .agg(S.clamp(F.sum(F.col("weight") * F.col("value")) / 3.0, hi=1.0).alias("p_k"), F.max("weight").alias("w_k"))
-        .groupBy("goal", "region_id")
+        .groupBy(*keys)
         .agg(S.weighted_mean("p_k", "w_k").alias("p_e"))
     )
-    soc = (
-        j.where(F.col("category") == "social")
-        .groupBy("goal", "region_id")
-        .agg(S.weighted_mean("value", "weight").alias("p_s"))
-    )
-    p = eco.join(soc, ["goal", "region_id"], "full")
+    soc = j.where(F.col("category") == "social").groupBy(*keys).agg(S.weighted_mean("value", "weight").alias("p_s"))
+    p = eco.join(soc, keys, "full")
     combined = (
         F.when(F.col("p_e").isNotNull() & F.col("p_s").isNotNull(), F.lit(gamma) * F.col("p_e") + F.lit(1 - gamma) * F.col("p_s"))
         .otherwise(F.coalesce("p_e", "p_s"))
     )
-    return p.select("region_id", "goal", F.lit("pressures").alias("dimension"), (combined * 100).alias("score"))
+    return _over_elements(p.select(*keys, combined.alias("value")), "pressures", element_weights)
 
 
 def resilience(
@@ -106,23 +124,26 @@ def resilience(
     categories: DataFrame,
     layer_values: DataFrame,
     gamma: float = M.RESILIENCE_GAMMA,
+    element_weights: DataFrame | None = None,
 ) -> DataFrame:
     """X3 (reconstruction): goal resilience per region on 0-100.
 
-    ``matrix_long(goal, layer)``; ``categories(layer, category_type 'ecological'|'regulatory'|'social', weight)``.
-    Ecological integrity ``Y_E`` and regulations ``G`` are weighted means of their layers, social ``Y_S`` likewise;
-    ``r = gamma*(Y_E+G)/2 + (1-gamma)*Y_S`` with missing parts dropped.
+    ``matrix_long(goal[, element], layer)``; ``categories(layer, category_type 'ecological'|'regulatory'|'social',
+    weight)``. Per goal element, ecological integrity ``Y_E`` and regulations ``G`` are weighted means of their layers,
+    social ``Y_S`` likewise; ``r = gamma*(Y_E+G)/2 + (1-gamma)*Y_S`` with missing parts dropped. Elements are averaged
+    as in ``pressures``.
     """
-    m = matrix_long.where(F.col("goal").isin(list(scores_goals))).select("goal", "layer").distinct()
+    keys = ["goal", "element", "region_id"]
+    m = _elements(matrix_long.where(F.col("goal").isin(list(scores_goals)))).select("goal", "element", "layer").distinct()
     j = m.join(categories, "layer", "inner").join(layer_values, "layer", "inner")
-    part = j.groupBy("goal", "region_id", "category_type").agg(S.weighted_mean("value", "weight").alias("v"))
-    wide = R.pivot(part, ["goal", "region_id"], "category_type", ["ecological", "regulatory", "social"], "v")
+    part = j.groupBy(*keys, "category_type").agg(S.weighted_mean("value", "weight").alias("v"))
+    wide = R.pivot(part, keys, "category_type", ["ecological", "regulatory", "social"], "v")
     eco = S.row_mean("ecological", "regulatory")
     r = (
         F.when(eco.isNotNull() & F.col("social").isNotNull(), F.lit(gamma) * eco + F.lit(1 - gamma) * F.col("social"))
         .otherwise(F.coalesce(eco, F.col("social")))
     )
-    return wide.select("region_id", "goal", F.lit("resilience").alias("dimension"), (r * 100).alias("score"))
+    return _over_elements(wide.select(*keys, r.alias("value")), "resilience", element_weights)
 
 
 # ---------------------------------------------------------------- X4-X7

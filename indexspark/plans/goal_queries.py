@@ -16,29 +16,7 @@ from . import proxy_sql as Q
 from .registry import register
 from .scenario import LEAF_JOBS, run_leaf_goals, run_scenario
 
-# layers each leaf goal reads (so a single-goal query plans only the families it needs)
-GOAL_LAYERS = {
-    "CW": ["po_pathogens", "po_nutrients_3nm", "po_chemicals_3nm", "po_trash", "cw_pesticide_trend", "cw_fertilizer_trend",
-           "cw_coastalpopn_trend", "cw_pathogen_trend"],
-    "SPP": ["spp_status", "spp_trend"],
-    "HAB": ["hab_health", "hab_trend", "hab_extent"],
-    "CS": ["hab_health", "hab_trend", "hab_extent"],
-    "CP": ["hab_health", "hab_trend", "hab_extent"],
-    "AO": ["ao_access", "ao_need"],
-    "ICO": ["ico_spp_extinction_status", "ico_spp_popn_trend"],
-    "LSP": ["rgn_area_inland1km", "rgn_area_offshore3nm", "lsp_prot_area_offshore3nm", "lsp_prot_area_inland1km"],
-    "MAR": ["mar_harvest_tonnes", "mar_harvest_species", "mar_sustainability_score", "mar_coastalpopn_inland25mi"],
-    "TR": ["tr_jobs_tourism", "tr_jobs_pct_tourism", "tr_unemployment", "tr_jobs_total", "tr_sustainability", "rgn_global",
-           "tr_travelwarnings", "le_popn"],
-    "FIS": ["fis_meancatch", "fis_b_bmsy", "fis_proparea_saup2rgn"],
-    "NP": ["np_harvest_tonnes", "np_harvest_tonnes_relative", "np_harvest_product_weight", "rgn_labels", "hab_extent",
-           "np_cyanide", "np_blast"],
-    "LIV": [f"le_{m}_{p}_{k}_value" for m in ("jobs", "rev", "wage") for p in ("cur", "ref") for k in ("base", "adj")]
-    + ["le_gdp_pc_ppp", "le_workforcesize_adj", "le_revenue_adj", "cntry_rgn", "rgn_labels", "rgn_georegions",
-       "le_unemployment", "le_gdp", "le_jobs_sector_year", "le_rev_sector_year", "le_wage_sector_year"],
-}
-GOAL_LAYERS["ECO"] = GOAL_LAYERS["LIV"]
-GOAL_LAYERS["NP"] = GOAL_LAYERS["NP"] + GOAL_LAYERS["FIS"]
+GOAL_LAYERS = M.GOAL_LAYERS
 
 
 def store_for(spark, sf: str, goals, materialize: bool = True) -> LayerStore:
@@ -318,7 +296,7 @@ register("goal_le")(composite_query("LE", ["LIV", "ECO"]))
 
 def _scenario(spark, sf):
     store = proxy_store(Tables(spark, sf)).materialize()
-    return store, run_scenario(store, M.PROXY_PARAMS)
+    return store, run_scenario(store, M.PROXY_PARAMS, leaf_digits=6)
 
 
 @register("finalize")

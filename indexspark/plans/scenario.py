@@ -17,7 +17,7 @@ from ..sources.layers import LayerStore
 from . import composite as C
 from . import goals as G
 from . import metadata as M
-from .liveco import liv_eco_pair
+from .liveco import GLOBAL_FIXES, liv_eco_pair
 from .quality import scores_report
 
 LeafJob = Callable[[LayerStore, DataFrame, Mapping], G.GoalResult]
@@ -47,7 +47,8 @@ def _pair(layers: LayerStore, p: Mapping) -> dict[str, G.GoalResult]:
     for known, pair in layers.pairs:
         if known == args:
             return pair
-    layers.pairs.append((args, liv_eco_pair(layers, *args)))
+    stop = {"fail_on_unmatched": True} if p.get("fail_on_unmatched") else {}
+    layers.pairs.append((args, liv_eco_pair(layers, *args, **stop)))
     return layers.pairs[-1][1]
 
 
@@ -85,13 +86,14 @@ def run_leaf_goals(layers: LayerStore, params: Mapping[str, Mapping] | None = No
 class ExtensionInputs:
     """Inputs of the reconstructed post-model steps (pressures, resilience, future, score, Index, global region)."""
 
-    pressures_matrix: DataFrame  # goal, layer, weight
+    pressures_matrix: DataFrame  # goal, layer, weight and, where goals have elements, element
     pressure_categories: DataFrame  # layer, category, subcategory
-    resilience_matrix: DataFrame  # goal, layer
+    resilience_matrix: DataFrame  # goal, layer and, where goals have elements, element
     resilience_categories: DataFrame  # layer, category_type, weight
     layer_values: DataFrame  # region_id, layer, value
     areas: DataFrame  # region_id, area
     goals: DataFrame  # the goal table (roots and weights for the Index)
+    element_weights: DataFrame | None = None  # goal, element, region_id, weight; elements count alike without it
 
 
 def _round(df: DataFrame, digits: int | None) -> DataFrame:
@@ -99,10 +101,12 @@ def _round(df: DataFrame, digits: int | None) -> DataFrame:
 
 
 def run_scenario(layers: LayerStore, params: Mapping[str, Mapping] | None = None, checkpoint: bool = True,
-                 nullify_label: str = "Antarctica", leaf_digits: int | None = 6,
-                 extensions: ExtensionInputs | None = None) -> ScenarioResult:
-    """Leaf goals, composites, restriction, finalisation. Leaf scores are published at ``leaf_digits`` decimals
-    (removing floating noise) before the composites read them.
+                 nullify_label: str = "Antarctica", leaf_digits: int | None = None,
+                 extensions: ExtensionInputs | None = None, only: set[str] | None = None, patch: DataFrame | None = None,
+                 patch_keys: DataFrame | None = None) -> ScenarioResult:
+    """Leaf goals (all, or ``only`` some), composites, restriction, finalisation. Scores are rounded once, at the end;
+    with ``leaf_digits`` leaf scores are published at so many decimals before the composites read them. ``patch`` and
+    ``patch_keys`` are the scenario patch that the livelihoods composite applies.
 
     With ``extensions`` the reconstructed steps run in the published order: pressures and resilience per goal,
     likely future and score for every goal with a status, the composites over all four goal dimensions, the Index
@@ -110,20 +114,22 @@ def run_scenario(layers: LayerStore, params: Mapping[str, Mapping] | None = None
     """
     from . import extensions as X
 
-    leaf = run_leaf_goals(layers, params)
+    leaf = run_leaf_goals(layers, params, only)
     scores = _round(leaf.scores, leaf_digits)
     if extensions is not None:
-        goals = list(LEAF_JOBS)
+        goals = [g for g in LEAF_JOBS if only is None or g in only]
         e = extensions
-        p = _round(X.pressures(goals, e.pressures_matrix, e.pressure_categories, e.layer_values), leaf_digits)
-        r = _round(X.resilience(goals, e.resilience_matrix, e.resilience_categories, e.layer_values), leaf_digits)
+        p = _round(X.pressures(goals, e.pressures_matrix, e.pressure_categories, e.layer_values,
+                               element_weights=e.element_weights), leaf_digits)
+        r = _round(X.resilience(goals, e.resilience_matrix, e.resilience_categories, e.layer_values,
+                                element_weights=e.element_weights), leaf_digits)
         scores = scores.unionByName(G.scores_frame(p, F.col("goal"), F.col("dimension")))
         scores = scores.unionByName(G.scores_frame(r, F.col("goal"), F.col("dimension")))
         fs = _round(X.likely_future_and_score(scores), leaf_digits)
         scores = scores.unionByName(G.scores_frame(fs, F.col("goal"), F.col("dimension")))
     scores = scores.checkpoint(eager=True) if checkpoint else scores
     scores, fp_checks = C.fp(layers, scores)
-    scores = C.le(layers, scores)
+    scores = C.le(layers, scores, patch, patch_keys)
     scores = C.sp(scores)
     scores = C.bd(scores)
     if extensions is not None:
@@ -145,19 +151,25 @@ GLOBAL_PARAMS = {
     "AO": {"status_year": 2013},
     "NP": {"status_year": 2011},
     "TR": {"status_year": 2013, "pct_ref": 90},
-    "LIV": {"liv_workforcesize_year": 2012, "eco_rev_adj_min_year": 2000},
-    "ECO": {"liv_workforcesize_year": 2012, "eco_rev_adj_min_year": 2000},
+    "LIV": {"liv_workforcesize_year": 2012, "eco_rev_adj_min_year": 2000, "fixes": GLOBAL_FIXES, "fail_on_unmatched": True},
+    "ECO": {"liv_workforcesize_year": 2012, "eco_rev_adj_min_year": 2000, "fixes": GLOBAL_FIXES, "fail_on_unmatched": True},
     "LSP": {"status_year": 2014, "ref_pct_cmpa": 30, "ref_pct_cp": 30},
 }
 
 
 def score_csv_layers(spark, layer_dir: str, goals: set[str] | None = None, params: Mapping[str, Mapping] | None = None,
-                     store_path: str | None = None) -> ScenarioResult:
+                     store_path: str | None = None, finalise: bool = False) -> ScenarioResult:
     """E1 on a directory of layer CSVs: catalog by rule, ingest into the long store (written once as Parquet
-    partitioned by layer), then the leaf goals whose layers are present (or ``goals``)."""
+    partitioned by layer), then the leaf goals that have all their layers there (or ``goals``) and, with ``finalise``,
+    composites, restriction and finalisation over them."""
     from ..sources.catalog import catalog_for_dir
     from ..sources.layers import ingest_catalog
 
     cat = catalog_for_dir(spark, layer_dir)
+    if goals is None:
+        present = {r["layer"] for r in cat.select("layer").collect()}  # metadata: one row per file
+        goals = {g for g in LEAF_JOBS if present.issuperset(M.GOAL_LAYERS[g])}
     store = ingest_catalog(spark, cat, layer_dir).materialize(store_path)
+    if finalise:
+        return run_scenario(store, params or GLOBAL_PARAMS, only=goals)
     return run_leaf_goals(store, params or GLOBAL_PARAMS, only=goals)
