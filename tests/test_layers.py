@@ -113,3 +113,8 @@ def test_catalog_rule_and_csv_scoring(spark):
     assert abs(got[("CW", 1, "status")] - 50.0) < 1e-9 and got[("CW", 2, "status")] is None
     assert abs(got[("CW", 1, "trend")] + 0.2) < 1e-12 and abs(got[("CW", 2, "trend")] - 0.4) < 1e-12
     assert abs(got[("SPP", 1, "status")] - 81.0) < 1e-9
+    _write(d, "rgn_global.csv", b'"rgn_id","label"\n1,Here\n2,There\n')
+    res = score_csv_layers(spark, d, finalise=True)  # the goals whose layers are there: CW and SPP
+    got = {(r.goal, r.region_id, r.dimension): r.score for r in res.scores.collect()}
+    assert abs(got[("CW", 1, "status")] - 50.0) < 1e-2 and got[("FIS", 1, "status")] is None
+    assert abs(got[("BD", 1, "status")] - 81.0) < 1e-2
