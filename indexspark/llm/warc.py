@@ -26,7 +26,7 @@ from itertools import islice
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -206,27 +206,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(unpack, RECORD[7:-1].replace(":", " "))
 
 
+def _digest(payload: Column) -> Column:
+    """The digest of a payload that is long enough to be written once; else null."""
+    return F.when(F.octet_length(payload) >= REVISIT_BYTES, F.sha1(payload.cast("binary")))
+
+
 def marked(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to, revisit) for the pages whose payload another page's record holds."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    each = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
-    each = C.materialize(each.where(f"bytes >= {REVISIT_BYTES}").select("page_id", "digest"), "payloads")
+    """(page_id, digest, refers_to) for the pages and payloads that another page's record holds, each once."""
+    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    each = C.materialize(pages.select("page_id", _digest(payload).alias("digest")).where("digest is not null"), "payloads")
     shared = each.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep is not null")
     shared = C.materialize(shared.select("digest", "keep"), "shared-payloads")
     found = C.attach(each, shared, "digest", C.materialize(C.heavy_keys(each, "digest"), "heavy-payloads"))
     found = found.where("keep is not null and not (page_id <=> keep)")
-    return C.materialize(found.select("page_id", F.col("keep").alias("refers_to")).distinct(), "revisits")
+    return C.materialize(found.select("page_id", "digest", F.col("keep").alias("refers_to")).distinct(), "revisits")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives and read them back: all fields of ``read``."""
-    again = C.small(marked(pages).select(F.col("page_id").alias("__id"), "refers_to"))
+    again = C.small(marked(pages).select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to"))
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.join(again, rows["page_id"].eqNullSafe(F.col("__id")), "left")
-    # the same id with other payloads (a repeated row) refers to its own payload's record only if that is long enough
-    revisit = F.col("refers_to").isNotNull() & (F.octet_length("payload") >= REVISIT_BYTES)
-    rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
+    # by id and digest: rows without an id, or repeated with one, may have different payloads
+    same = rows["page_id"].eqNullSafe(F.col("__id")) & (_digest(rows["payload"]) == F.col("__digest"))
+    rows = rows.join(again, same, "left").select("page_id", "url", "payload", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
     path = C.scratch(pages.sparkSession, "warc")
     write(rows, path)
     return read(pages.sparkSession, path)

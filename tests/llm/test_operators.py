@@ -81,6 +81,20 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_revisits_hold_the_payload_they_refer_to(spark):
+    a, b, c, d, e = (x * 1200 for x in "abcde")
+    rows = [(9, a), (None, a), (None, b), (12, b), (None, c), (None, d), (None, None), (3, e), (3, d), (3, a), (20, e)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id bigint, url string, html string")
+    out = got(warc.round_trip(pages))
+    sha = {hashlib.sha1((h or "").encode()).hexdigest(): (h or "")[:1] for _, h in rows}
+    refers = {(None, "a"): 9, (None, "b"): 12, (None, "d"): 3, (3, "a"): 9, (3, "e"): 20}
+    want = [(i, (h or "")[:1], refers.get((i, (h or "")[:1]))) for i, h in rows]
+    assert Counter((r["page_id"], sha[r["payload_digest"]], r["refers_to"]) for r in out) == Counter(want)
+    assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) == (r["payload"] is None) for r in out)
+    held = {(r["page_id"], r["payload_digest"]) for r in out if r["record_type"] == "response"}
+    assert all((r["refers_to"], r["payload_digest"]) in held for r in out if r["record_type"] == "revisit")
+
+
 def test_warc_frames_and_damage():
     records = [warc.record(i, "http://a/", f"<p>{i} {'text ' * 40}</p>".encode(), None, False) for i in range(300)]
     data = warc.SEPARATOR.encode().join(warc.archive(iter(records)))
