@@ -5,12 +5,13 @@ fingerprint are one node from here on. A fingerprint is a ring of m segments. If
 fewer, then from some segment on, going round the ring, the first l segments together differ in at most l * k / m bits
 for every l. The segments whose budget is below one bit must be equal, which gives one join key per start (20 bits for
 m = 16, k = 3); the longer chains prune what meets under a key before the full Hamming distance is taken. A pair is
-put out once, under its first valid start. Linked nodes get the smallest doc_id of their component by repeated minimum
-and shortcut steps, each written to the shared folder.
+put out once, under its first valid start. Linked nodes get the smallest fingerprint of their component by repeated
+minimum and shortcut steps, each written to the shared folder, and then the smallest doc_id of the component's rows.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; a null doc_id gets its
-component's smallest id, or null if it is alone; rows repeated with the same id give equal rows; an empty table gives an
-empty result; only doc_id and text are read, whatever other columns there are.
+component's smallest id, or null if no row of the component has one; rows repeated with id and text give equal rows, and
+an id with several texts is judged text by text; an empty table gives an empty result; only doc_id and text are read,
+whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp of every row."""
+    """doc_id, text_hash, fp of every row."""
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
         return pa.array([0 if t is None else fingerprint(t, shingle) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
-    return docs.select("doc_id", fp(F.col("text").cast("string")).alias("fp"))
+    return docs.select("doc_id", C.text_hash().alias("text_hash"), fp(F.col("text").cast("string")).alias("fp"))
 
 
 def _turned(x: Column, by: Column) -> Column:
@@ -115,17 +116,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, k: int = MOST_BITS, m: int = SEGMENTS) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+    """doc_id, text_hash, fp, component (its smallest fp; null for a row alone), component_id of every row."""
     prints = C.materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = C.materialize(nodes, "nodes")
-    known = nodes.where("node is not null")
-    found = components(links(known, k, m))
-    joined = nodes.join(found.select(F.col("node").alias("__node"), "component"), F.col("node") == F.col("__node"), "left")
-    shared = joined.where("component is not null or n > 1").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), k, m))
+    lowest = found.join(nodes, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("low").alias("lowest"))
+    lowest = C.materialize(lowest, "component-ids")
+    named = C.attach(found, lowest, "component", C.materialize(C.heavy_keys(found, "component"), "heavy-components"))
+    shared = nodes.join(named, F.col("fp") == F.col("node"), "left").where("node is not null or n > 1")
+    shared = shared.select("fp", F.coalesce("component", "fp").alias("component"), F.least("low", "lowest").alias("component_id"))
     shared = C.materialize(shared, "shared-fingerprints")
     out = C.attach(prints, shared, "fp", C.materialize(C.heavy_keys(prints, "fp"), "heavy-fingerprints"))
-    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "fp", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -134,7 +136,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, k: int = MOST_BITS) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id (of rows without any id, all)."""
-    found = clusters(docs, shingle, k).where("not (doc_id <=> component_id)").select("doc_id")
-    gone = C.small(C.materialize(found.distinct(), "near-copies").select(F.col("doc_id").alias("__id")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` with one document of each component, that with the smallest id (of components without any id, all).
+
+    A document is an id with a text: of several texts with the smallest id, that with the smallest hash stays.
+    """
+    found = clusters(docs, shingle, k).where("component is not null and component_id is not null")
+    found = C.materialize(found.select("doc_id", "text_hash", "component", "component_id").distinct(), "near-copies")
+    first = found.where("doc_id = component_id").groupBy("component").agg(F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n"))
+    several = found.where("doc_id = component_id").join(first.where("n > 1"), "component").where("text_hash <> first")
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id", "text_hash").unionAll(several.select("doc_id", "text_hash"))
+    return C.keep_other_rows(docs, C.materialize(gone, "near-copies-gone"))

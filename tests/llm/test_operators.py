@@ -364,6 +364,34 @@ def test_simhash_edges(spark, odd):
     assert simhash.report(odd.limit(0)).count() == 0
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    near = [" ".join(f"{p}{k}" for k in range(300) if k != j) for p in "ab" for j in range(12)]
+    print_of = {t: brute_fingerprint(t) for t in near}
+    close = [(s, t) for s in near for t in near if s[0] == t[0] and 0 < (print_of[s] ^ print_of[t]).bit_count() <= 3]
+    s, t = next(p for p in close if p[0][0] == "a")
+    u, v = next(p for p in close if p[0][0] == "b")
+    clean, other = " ".join(f"c{k}" for k in range(50)), " ".join(f"d{k}" for k in range(50))
+    # 1 and a null id are linked; two null ids are linked; 5 has a clean text and a near copy of 1's; 6 has two linked texts
+    for rows in ([(1, s), (None, t), (None, clean), (None, other)], [(None, u), (None, v), (2, clean)], [(1, s), (5, t), (5, clean), (7, other)], [(6, u), (6, v)], [(8, s), (8, u), (9, t), (9, v), (9, clean)]):
+        out = got(simhash.report(table(spark, [(i, x, None, None) for i, x in rows])))
+        ids = {x: [j for j, y in rows if j is not None and (y == x or (x, y) in close)] for _, x in rows}
+        want = Counter((i, f"{brute_fingerprint(x):016x}", min(ids[x], default=None)) for i, x in rows)
+        assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out) == want
+        stays = [(i, x) for i, x in rows if not ids[x] or i == min(ids[x])]
+        kept = [(r.doc_id, r.text) for r in simhash.keep_one(table(spark, [(i, x, None, None) for i, x in rows])).collect()]
+        if rows[0][0] == 6:
+            assert len(kept) == 1 and kept[0] in rows
+        else:
+            assert Counter(kept) == Counter(stays)
+    # a null id between two others holds their component together
+    f = {x: brute_fingerprint(x) for x in near}
+    far = [(x, y, z) for x, y in close for y2, z in close if y2 == y and (f[x] ^ f[z]).bit_count() > 3]
+    if far:
+        x, y, z = far[0]
+        out = got(simhash.report(table(spark, [(1, x, None, None), (None, y, None, None), (2, z, None, None)])))
+        assert {r["component_id"] for r in out} == {1}
+
+
 # --- decontamination
 
 
