@@ -8,9 +8,9 @@ whole window. The words of overlapping hits are counted once.
 The hash set is broadcast only up to a checked number of windows; a larger benchmark is joined by a shuffle. Where a
 window belongs to several items, the hash set has one row with all of them.
 
-Defined cases: a null text has no words; a null item is a window of no words and meets nothing; rows repeated with the
-same id and text are one document and give one row; without documents or benchmark nothing is hit; other columns are
-not read, whatever their names.
+Defined cases: a null text has no words; an item with a null text has no window; an item without an id is met like any
+other, but there is no id to list; rows repeated with the same id and text are looked up as one document and answered
+each; without documents or benchmark nothing is hit; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ def windows(tokens: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """window, n, items (ids as sorted strings): one row per distinct window, written once."""
-    tokens = benchmark.select(F.col("item_id").cast("string").alias("item"), words(C.text_or_empty()).alias("tokens")).where("item is not null and size(tokens) > 0")
+    """window, n, items (ids as sorted strings; none for items without an id): one row per distinct window, written once."""
+    tokens = benchmark.select(F.col("item_id").cast("string").alias("item"), words(C.text_or_empty()).alias("tokens")).where("size(tokens) > 0")
     short = tokens.where(F.size("tokens") < n).select("item", F.array_join("tokens", " ").alias("window"), F.size("tokens").alias("n"))
     full = tokens.select("item", F.inline(windows(F.col("tokens"), n))).select("item", "window", "n")
     grouped = full.unionAll(short).groupBy("window", "n").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -49,7 +49,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, n_items, items (sorted), spans (start, end of merged hits, in words)."""
+    """doc_id, text_hash, n_rows, n_words, n_hit, n_items, items (sorted), spans (start, end of merged hits, in words).
+
+    One row for each id and text, with the number of rows that have them.
+    """
     known = benchmark_windows(benchmark, n)
     lengths = sorted({n, *(r[0] for r in known.select("n").distinct().collect())})  # 1 to n at most
     base = docs.select("doc_id", C.text_hash().alias("text_hash"), words(C.text_or_empty()).alias("tokens"))
@@ -58,6 +61,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     met = looked_up.join(C.small(known.select("window", "items")), "window", "left").where("at < 0 or items is not null")
     hit = F.col("at") >= 0
     per_doc = met.groupBy("doc_id", "text_hash").agg(
+        F.count_if(~hit).alias("n_rows"),
         F.max(F.when(~hit, F.col("n"))).cast("long").alias("n_words"),
         F.sort_array(F.collect_set(F.when(hit, F.struct("at", (F.col("at") + F.col("n")).alias("end"))))).alias("hits"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -70,13 +74,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     spans = F.when(F.size("hits") > 0, F.aggregate("hits", none, grow)).otherwise(none)
     out = per_doc.withColumn("spans", spans)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    return out.select("doc_id", "text_hash", "n_rows", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return scan(docs, benchmark, n).select("doc_id", "n_words", "n_hit", "n_items", ids, (F.col("n_hit") > 0).alias("contaminated"))
+    answers = scan(docs, benchmark, n).select("n_rows", "doc_id", "n_words", "n_hit", "n_items", ids, (F.col("n_hit") > 0).alias("contaminated"))
+    return answers.select("*", F.explode(F.sequence(F.lit(1), "n_rows")).alias("row")).drop("n_rows", "row")
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

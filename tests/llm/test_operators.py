@@ -431,6 +431,22 @@ def test_decontamination(spark, odd):
     assert none.where("contaminated").count() == 0 and decontaminate.report(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_without_item_ids_and_repeated_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, passage), (None, "short one"), (7, "short one"), (8, None)], "item_id bigint, text string")
+    rows = [(1, f"x {passage} y"), (2, "a short one"), (None, "clean"), (None, "clean"), (None, passage), (3, "clean"), (3, "clean"), (3, "dirty " + passage), (None, None)]
+    df = table(spark, [(i, t, None, None) for i, t in rows])
+    out = got(decontaminate.report(df, bench))
+    want = Counter()
+    for i, t in rows:
+        n, hit, ids, _ = brute_hits(t, [(7, "short one"), (None, passage)])
+        ids = [x for x in ids if x != "None"]
+        want[i, n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0] += 1
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in out) == want
+    clean = decontaminate.drop_documents(df, bench)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter({(None, "clean"): 2, (3, "clean"): 2, (None, None): 1})
+
+
 @pytest.mark.parametrize("op", [secret_scan, pii])
 def test_scans_of_odd_tables(odd, op):
     out = got(op.report(odd))
