@@ -28,7 +28,28 @@ from . import common as C
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public license wordings with markup, by label.
+#: Wording that several templates share.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: <<opt>>1.<</opt>> Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. <<opt>>2.<</opt>> Redistributions in binary form must reproduce
+the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. """
+_BSD_NAMES = """ Neither the name of <<var:20>> nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. """
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY <<var:20>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+<<var:20>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GPL = """This <<var:4>> is free software: you can redistribute it and/or modify it under the terms of the GNU
+<<opt>>Lesser<</opt>> General Public License as published by the Free Software Foundation, either version <<var:3>> of
+the License, or (at your option) any later version. This <<var:4>> is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+the GNU <<opt>>Lesser<</opt>> General Public License for more details. You should have received a copy of the GNU
+<<opt>>Lesser<</opt>> General Public License along with this <<var:4>> If not,"""
+
+#: Public license wordings with markup, to the end of their mandatory wording, by label.
 TEMPLATES = {
     "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without
@@ -37,22 +58,30 @@ and to permit persons to whom the Software is furnished to do so, subject to the
 copyright notice and this permission notice <<opt>>(including the next paragraph)<</opt>> shall be included in all
 copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS
 OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
-NONINFRINGEMENT. IN NO EVENT SHALL <<var:20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY""",
+NONINFRINGEMENT. IN NO EVENT SHALL <<var:20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.""",
     "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-that the following conditions are met: <<opt>>1.<</opt>> Redistributions of source code must retain the above copyright
-notice, this list of conditions and the following disclaimer. <<opt>>2.<</opt>> Redistributions in binary form must
-reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
-other materials provided with the distribution. <<opt>><<opt>>3.<</opt>> Neither the name of <<var:20>> nor the names
-of its contributors may be used to endorse or promote products derived from this software without specific prior
-written permission.<</opt>>""",
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND <<var:20>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:20>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause-text": _BSD + _BSD_END,
+    "bsd-3-clause-text": _BSD + "<<opt>>3.<</opt>>" + _BSD_NAMES + _BSD_END,
+    "bsd-4-clause-text": _BSD + """<<opt>>3.<</opt>> All advertising materials mentioning features or use of this software
+must display the following acknowledgement: This product includes software developed by <<var:20>>
+<<opt>>4.<</opt>>""" + _BSD_NAMES + _BSD_END,
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
 in compliance with the License. You may obtain a copy of the License at <<var:12>> Unless required by applicable law or
-agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS""",
-    "gpl-header": """This <<var:4>> is free software: you can redistribute it and/or modify it under the terms of the GNU
-<<opt>>Lesser<</opt>> General Public License as published by the Free Software Foundation, either version <<var:3>> of
-the License, or (at your option) any later version.""",
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License.""",
+    "gpl-header": _GPL + " see <<opt>>http<</opt>> <<opt>>https<</opt>> www.gnu.org/licenses",
+    "gpl-header-address": _GPL + """ write to the Free Software Foundation
+<<opt>>Inc. <<opt>>51 Franklin Street<<opt>>, Fifth Floor<</opt>>, Boston, MA 02110-1301<<opt>> USA<</opt>><</opt>>
+<<opt>>59 Temple Place<<opt>>, Suite 330<</opt>>, Boston, MA 02111-1307<<opt>> USA<</opt>><</opt>>
+<<opt>>675 Mass Ave, Cambridge, MA 02139<<opt>> USA<</opt>><</opt>><</opt>>""",
     "mit-notice": "<<opt>>this <<var:3>> is<</opt>> released under the <<opt>>terms of the<</opt>> mit license",
     "apache-2.0-notice": "licensed under the <<opt>>terms of the<</opt>> apache license <<opt>>version<</opt>> 2.0",
     "gpl-notice": """licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>><<opt>>version<</opt>>

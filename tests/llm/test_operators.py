@@ -236,6 +236,24 @@ def test_license_automata():
     assert license_scan.matches(license_scan.words(plain.replace("merge", "mangle")), machines) == []
 
 
+def test_license_wording_counts_to_its_end():
+    machines = {k: license_scan.compiled(v) for k, v in license_scan.TEMPLATES.items()}
+    labels = lambda w: [x[2] for x in license_scan.matches(w, machines)]
+    ends = {"mit-text": "dealings in the software", "isc-text": "performance of this software", "apache-2.0-header": "limitations under the license",
+            "gpl-header": "gnu org licenses", "gpl-header-address": "free software foundation", **{f"bsd-{n}-clause-text": "possibility of such damage" for n in (2, 3, 4)}}
+    for label, end in ends.items():
+        plain = license_scan.TEMPLATES[label]
+        while "<<opt>>" in plain:
+            plain = re.sub(r"<<opt>>(?:(?!<<opt>>).)*?<</opt>>", " ", plain, flags=re.S)
+        w = license_scan.words(re.sub(r"<<var:\d+>>", "somebody", plain))
+        assert " ".join(w).endswith(end) and label in labels(["x", *w, "y"])
+        assert [x for x in labels(w) if x.startswith("bsd")] == [x for x in [label] if x.startswith("bsd")]
+        at = max(i for i, x in enumerate(w) if x not in ("the", "of", "this"))
+        for i in (at, len(w) - 3, len(w) - 1):
+            assert label not in labels([*w[:i], "changed", *w[i + 1 :]])
+        assert label not in labels(w[:-1])
+
+
 def test_license_against_brute_force(spark, documents, texts, odd):
     for docs, known in ((documents, texts), (odd, None)):
         for r in got(license_scan.scan(docs)):
