@@ -34,7 +34,6 @@ LANG_DOCS, TRAIN_WORDS, ROUNDS = 600, 20_000, 3
 WORD_BYTES = 48
 #: Probability of a byte that no piece covers, and the count every piece starts with.
 UNKNOWN, PRIOR = 1e-7, 0.02
-_LONGEST = 12
 _AT_ONCE = 8 << 20
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -46,7 +45,7 @@ def pieces(path: str = VOCABULARY) -> list[bytes]:
     model = SentencePieceProcessor(model_file=path)
     plain = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
     made = {p.replace("▁", "").lower().encode() for p in plain}
-    return sorted(p for p in made if p and len(p) <= _LONGEST and all(97 <= b <= 122 or b >= 128 for b in p))
+    return sorted(p for p in made if p and all(97 <= b <= 122 or b >= 128 for b in p))
 
 
 class Lookup:
@@ -55,12 +54,12 @@ class Lookup:
     BITS = 21
 
     def __init__(self, vocabulary: list[bytes]):
-        self.size = len(vocabulary)
+        self.size, self.longest = len(vocabulary), max(map(len, vocabulary), default=1)
         number = {p[:n]: self.size for p in vocabulary for n in range(1, len(p))} | {p: i for i, p in enumerate(vocabulary)}
         runs = sorted(number)
-        rows = np.frombuffer(b"".join(r.ljust(_LONGEST, b"\0") for r in runs), np.uint8).reshape(-1, _LONGEST).astype(np.uint64)
+        rows = np.frombuffer(b"".join(r.ljust(self.longest, b"\0") for r in runs), np.uint8).reshape(-1, self.longest).astype(np.uint64)
         length, keys = np.array([len(r) for r in runs]), np.zeros(len(runs), np.uint64)
-        for n in range(1, _LONGEST + 1):
+        for n in range(1, self.longest + 1):
             longer = length >= n
             keys[longer] = self.grow(keys[longer], rows[longer, n - 1])
         if len(np.unique(keys)) != len(keys):
@@ -119,7 +118,7 @@ def segments(words: pa.Array, lookup: Lookup) -> Segments:
     for begin in range(wide):
         row = np.flatnonzero(length > begin)
         key = np.zeros(len(row), np.uint64)
-        for end in range(begin + 1, min(begin + _LONGEST, wide) + 1):
+        for end in range(begin + 1, min(begin + lookup.longest, wide) + 1):
             inside = length[row] >= end
             row, key = row[inside], lookup.grow(key[inside], bytes64[row[inside], end - 1])
             piece = lookup.find(key)

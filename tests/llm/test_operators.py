@@ -309,6 +309,17 @@ def test_forward_sums_all_segmentations():
         assert all(abs(row[k] - toxicity.np.log(brute(w, k))) < 1e-6 for k in (0, 1))
 
 
+def test_no_piece_is_too_long():
+    pieces = language_id.pieces()
+    assert max(map(len, pieces)) > 12 and max(len(p) for p in pieces if p[0] >= 128) > 12
+    vocabulary = sorted([b"abcdefghijklmnop", b"abcdefghijklmno", b"p", "прошедшего".encode(), "п".encode()])
+    lookup, p = language_id.Lookup(vocabulary), toxicity.np.full((5, 1), 0.1)
+    words = ["abcdefghijklmnop", "прошедшего"]
+    want = [0.1 + 0.1 * 0.1, 0.1 + 0.1 * language_id.UNKNOWN ** 18]
+    got_ = language_id.word_scores(pa.array(words, pa.string()), lookup, p)
+    assert all(abs(row[0] - toxicity.np.log(w)) < 1e-6 for row, w in zip(got_, want, strict=True))
+
+
 def test_language_held_out(spark, odd):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
     model = language_id.train(docs)
