@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, license_scan, mixing, pii, secret_scan, simhash, toxicity, warc
+from . import decontaminate, embedding_dedup, exact_dedup, language_id, license_scan, mixing, pii, resampling, secret_scan, simhash, toxicity, vector_codes, warc
 from .common import read_table
 
 QUERIES = {
@@ -16,8 +16,22 @@ QUERIES = {
     "op8_language_id": lambda spark, sf_dir: language_id.report(read_table(spark, sf_dir, "documents")),
     "op9_simhash": lambda spark, sf_dir: simhash.report(read_table(spark, sf_dir, "documents")),
     "op10_decontamination": lambda spark, sf_dir: decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
+    "op11_vector_codes": lambda spark, sf_dir: vector_codes.report(read_table(spark, sf_dir, "embeddings")),
+    "op12_embedding_dedup": lambda spark, sf_dir: embedding_dedup.report(read_table(spark, sf_dir, "embeddings")),
+    "op13_importance_resampling": lambda spark, sf_dir: resampling.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
 }
 
+#: One k-means round over integer parts: the nearest entry of each part, then floored means; unused entries stay.
+_ROUND = """
+a{n} AS (SELECT v.rid, v.p, v.x, min(struct_pack(d := list_sum(list_transform(range(1, len(v.x) + 1), i -> (v.x[i] - b.c[i]) * (v.x[i] - b.c[i])))::BIGINT, e := b.e)) AS m
+  FROM parts v JOIN b{n} b USING (p) GROUP BY v.rid, v.p, v.x),
+"""
+_MEANS = """
+u{n} AS (SELECT p, e, list(s ORDER BY i) AS c FROM (
+    SELECT p, m.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS s FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{next} AS (SELECT p, e, coalesce(u.c, b.c) AS c FROM b{n} b LEFT JOIN u{n} u USING (p, e)),
+"""
+
 ORACLES = {
     "op3_warc": """
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
@@ -91,5 +105,59 @@ hit_items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
+""",
+    "op11_vector_codes": """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, list_transform(embedding, x -> floor(256::DOUBLE * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS x FROM (SELECT rid, x, unnest(range(0, 16)) AS p FROM kept)),
+b0 AS (SELECT p, rid AS e, x AS c FROM parts WHERE rid < 64),
+"""
+    + _ROUND.format(n=0) + _MEANS.format(n=0, next=1) + _ROUND.format(n=1) + _MEANS.format(n=1, next=2) + _ROUND.format(n=2)
+    + """
+coded AS (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       sha256((SELECT string_agg(v, ',' ORDER BY p, e, i) FROM (SELECT p, e, unnest(range(1, len(c) + 1)) AS i, unnest(c)::VARCHAR AS v FROM b2))) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)
+""",
+    "op12_embedding_dedup": """
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AS fine
+  FROM embeddings),
+links AS (
+  SELECT a.rid AS a, b.rid AS b FROM rows a JOIN rows b ON a.label = b.label AND len(a.v) = len(b.v)
+  WHERE a.fine AND b.fine AND a.rid <> b.rid AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT rid AS a, rid AS b FROM rows UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS rid, min(vec_id) AS component_id FROM reach JOIN rows ON b = rid GROUP BY 1),
+n AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN low USING (rid) LEFT JOIN n USING (rid)
+""",
+    "op13_importance_resampling": r"""
+WITH RECURSIVE crc_step AS (
+  SELECT i, i AS v, 0 AS k FROM (SELECT unnest(range(0, 256))::BIGINT AS i)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(3988292384::BIGINT, v // 2) ELSE v // 2 END, k + 1 FROM crc_step WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM crc_step WHERE k = 8),
+texts AS (
+  SELECT 0 AS kind, row_number() OVER () AS rid, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT kind, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+each_word AS (SELECT kind, rid, unnest(w) AS word FROM words),
+buckets AS (
+  SELECT word, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(hex(word)) // 2), i -> ('0x' || substr(hex(word), (2 * i + 1)::INTEGER, 2))::BIGINT)),
+                   (c, b) -> xor(c // 256, t[xor(c % 256, b) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM each_word), tab),
+counts AS (SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM each_word JOIN buckets USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM counts) + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))::DOUBLE))::BIGINT AS g FROM counts),
+weights AS (SELECT rid, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM each_word JOIN buckets USING (word) JOIN gain USING (bucket) WHERE kind = 0 GROUP BY rid),
+scored AS (
+  SELECT rid, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (rid) WHERE kind = 0),
+ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (rid)
 """,
 }
