@@ -23,7 +23,7 @@ QUERIES = {
 
 #: One k-means round over integer parts: the nearest entry of each part, then floored means; unused entries stay.
 _ROUND = """
-a{n} AS (SELECT v.rid, v.p, v.x, min(struct_pack(d := list_sum(list_transform(range(1, len(v.x) + 1), i -> (v.x[i] - b.c[i]) * (v.x[i] - b.c[i])))::BIGINT, e := b.e)) AS m
+a{n} AS (SELECT v.rid, v.p, v.x, min(struct_pack(d := list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.c[i]) * (v.x[i] - b.c[i])))::BIGINT, e := b.e)) AS m
   FROM parts v JOIN b{n} b USING (p) GROUP BY v.rid, v.p, v.x),
 """
 _MEANS = """
@@ -108,8 +108,8 @@ FROM words LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """,
     "op11_vector_codes": """
 WITH kept AS (
-  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, list_transform(embedding, x -> floor(256::DOUBLE * x::DOUBLE)::BIGINT) AS x
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256::DOUBLE * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS (SELECT rid, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS x FROM (SELECT rid, x, unnest(range(0, 16)) AS p FROM kept)),
 b0 AS (SELECT p, rid AS e, x AS c FROM parts WHERE rid < 64),
 """
@@ -123,7 +123,7 @@ FROM coded JOIN kept USING (rid)
     "op12_embedding_dedup": """
 WITH RECURSIVE rows AS (
   SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v,
-         label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AS fine
+         label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
   FROM embeddings),
 links AS (
   SELECT a.rid AS a, b.rid AS b FROM rows a JOIN rows b ON a.label = b.label AND len(a.v) = len(b.v)
@@ -146,8 +146,8 @@ words AS (
   SELECT kind, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
 each_word AS (SELECT kind, rid, unnest(w) AS word FROM words),
 buckets AS (
-  SELECT word, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(hex(word)) // 2), i -> ('0x' || substr(hex(word), (2 * i + 1)::INTEGER, 2))::BIGINT)),
-                   (c, b) -> xor(c // 256, t[xor(c % 256, b) + 1]))) % 10000 AS bucket
+  SELECT word, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), (2 * i + 1)::INTEGER, 2))::BIGINT)),
+                   lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) % 10000 AS bucket
   FROM (SELECT DISTINCT word FROM each_word), tab),
 counts AS (SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM each_word JOIN buckets USING (word) GROUP BY bucket),
 gain AS (
