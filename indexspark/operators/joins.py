@@ -12,16 +12,35 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def lookup_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A literal lookup table, broadcast (its size is fixed by the code that declares it)."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def full_join_chain(frames: Sequence[DataFrame], on: Sequence[str] | str) -> DataFrame:
-    """Chained full outer joins ``USING`` the key columns (keys are coalesced, like dplyr)."""
+def full_join_chain(frames: Sequence[DataFrame], on: Sequence[str] | str, unique: bool = False) -> DataFrame:
+    """Full outer join of all frames on the key columns; NULL keys match NULL keys.
+
+    With ``unique`` (each frame has one row per key, as aggregated layers have) the frames are tagged, united and
+    grouped once: one shuffle whatever their number, and a key's rows meet in a bounded aggregate. A frame that repeats
+    a key is refused then. Else the joins are chained, which keeps repeated keys.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    return reduce(lambda a, b: a.join(b, on=keys, how="full"), frames)
+    rest = [c for f in frames for c in f.columns if c not in keys]
+    if len(set(rest)) < len(rest):
+        raise ValueError(f"columns beside the keys must have different names: {sorted(rest)}")
+    if not unique:
+        return reduce(lambda a, b: join_null_safe(a, b, keys, how="full"), frames)
+    own = lambda f: [F.col(f"`{c}`") for c in f.columns if c not in keys]
+    tagged = [f.select(*keys, F.struct(F.lit(True).alias("__in"), *own(f)).alias(f"__{i}")) for i, f in enumerate(frames)]
+    one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    found = [F.max(f"__{i}").alias(f"__{i}") for i in range(len(frames))]
+    twice = reduce(lambda a, b: a | b, [F.count(f"__{i}") > 1 for i in range(len(frames))])
+    met = one.groupBy(*keys).agg(*found, twice.alias("__twice"))
+    met = met.where(F.when(F.col("__twice"), F.raise_error(F.lit("a frame of the chain repeats a key")).cast("boolean")).otherwise(True))
+    return met.select(*keys, *[F.col(f"__{i}").getField(c).alias(c) for i, f in enumerate(frames) for c in f.columns if c not in keys])
 
 
 def full_merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -76,11 +95,11 @@ def assert_no_rows(df: DataFrame, message: str) -> None:
 def self_agg_join(df: DataFrame, keys: Sequence[str], *aggs, materialize: bool = False) -> DataFrame:
     """Join a group aggregate back onto its own rows (equi join: AQE may broadcast the small side).
 
-    ``df`` is read twice; with ``materialize`` it is checkpointed first (for a small derived aggregate whose two
+    ``df`` is read twice; with ``materialize`` it is stored first (for a small derived aggregate whose two
     copies Catalyst would otherwise plan differently, defeating exchange reuse).
     """
     if materialize:
-        df = df.checkpoint(eager=True)
+        df = stored(df, "self-join")
     return df.join(df.groupBy(*keys).agg(*aggs), on=list(keys), how="left")
 
 
@@ -88,6 +107,6 @@ def once(df: DataFrame) -> DataFrame:
     """Materialise a small derived frame that a plan reads more than once.
 
     Filters inferred from each use make the copies differ, so Spark would re-plan (re-scan and re-shuffle) the source
-    per use instead of reusing one exchange; a reliable checkpoint computes it once and cuts the lineage.
+    per use instead of reusing one exchange; stored as Parquet it is computed once, with its sizes known to the planner.
     """
-    return df.checkpoint(eager=True)
+    return stored(df, "once")

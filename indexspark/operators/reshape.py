@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
+
 def present_values(df: DataFrame, col: str) -> Column:
     """The distinct non-null values of a dimension column, ascending, as an array from a scalar subquery."""
     return df.select(col).distinct().agg(F.sort_array(F.collect_set(col)).alias("values")).scalar()
@@ -32,11 +35,11 @@ def complete_series(df: DataFrame, keys: Sequence[str], over: str, values: Seque
     """Every distinct key tuple x every value of ``over`` (default: the values present), facts left joined.
 
     Equivalent to tidyr ``spread`` + ``gather`` / ``expand.grid`` + ``left_join``. The input is read three times
-    (dimension values, key grid, facts); with ``materialize`` it is checkpointed first, so an aggregate of a large
+    (dimension values, key grid, facts); with ``materialize`` it is stored first, so an aggregate of a large
     table is computed once instead of re-planned from its scan three times.
     """
     if materialize:
-        df = df.checkpoint(eager=True)
+        df = stored(df, "grid")
     if values is None:
         values = present_values(df, over)
     dtype = dict(df.dtypes)[over]
@@ -50,12 +53,45 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str,
     return wide.unpivot(list(ids), list(values), var, val)
 
 
-def pivot(df: DataFrame, index: Sequence[str], column: str, values: Sequence, value_col: str, agg: str = "first") -> DataFrame:
-    """Long to wide (``spread``/``dcast``) with explicit pivot values (no extra discovery job)."""
+#: Most columns that values found in the data may become; beyond it a pivot is refused rather than cut.
+MOST_COLUMNS = 10_000
+
+
+def found_values(df: DataFrame, column: str) -> list:
+    """The distinct non-null values of a column, ascending, on the driver: they are to become column names.
+
+    Their number is checked in the same job. Each value is counted once a task before any shuffle.
+    """
+    rows = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n")).limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} values, too many for columns; use pivot_map")
+    return sorted(r[0] for r in rows)
+
+
+def pivot(df: DataFrame, index: Sequence[str], column: str, values: Sequence | None, value_col: str, agg: str = "first") -> DataFrame:
+    """Long to wide (``spread``/``dcast``); the columns are ``values``, or with None all values that occur.
+
+    ``df`` is aggregated on index and column before values are looked for, so that a large table is read once: with
+    None the aggregate is stored, and both the discovery and the pivot read the stored rows.
+    """
     fn = {"first": lambda c: F.first(c, ignorenulls=False), "sum": F.sum, "avg": F.avg, "max": F.max}[agg]
+    if values is None:
+        df = stored(df.groupBy(*index, column).agg(fn(F.col(value_col)).alias(value_col)), "pivot")
+        fn, values = F.max, found_values(df, column)
+        if not values:
+            return df.select(*index).distinct()
     return df.groupBy(*index).pivot(column, list(values)).agg(fn(F.col(value_col)))
 
 
+def pivot_map(df: DataFrame, index: Sequence[str], column: str, value_col: str, name: str = "values") -> DataFrame:
+    """R2 for a column of any number of values: one map value -> ``value_col`` per index row, its keys ascending.
+
+    ``df`` has one row per index and value (aggregate first; a repeated one is refused by the map).
+    """
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(column), F.col(value_col))))
+    return df.where(F.col(column).isNotNull()).groupBy(*index).agg(F.map_from_entries(pairs).alias(name))
+
+
 def split_columns(df: DataFrame, col: str, names: Sequence[str], sep: str) -> DataFrame:
     """``separate(col, names, sep)``; missing pieces are NULL (``fill='right'``)."""
     parts = F.split(F.col(col), sep)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import nan_to_null, safe_div
+from ..session import stored
 
 
 def _w(part: Sequence[str] | str):
@@ -81,16 +82,16 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str = "rn", par
     """A 1-based row number over the whole frame in ``order`` without a single-partition window.
 
     Rows are range partitioned on the order keys, numbered within their partition, and shifted by the row counts of
-    all earlier partitions (a table with one row per partition). The partitioned frame is checkpointed first so the
-    sampled range bounds are fixed between the count and the numbering.
+    all earlier partitions (a table with one row per partition). The numbered frame is stored first so the sampled range
+    bounds are fixed between the count and the numbering.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = (
         df.repartitionByRange(n, *order)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__lr", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
-        .checkpoint(eager=True)
     )
+    local = stored(local, "numbered")
     counts = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid", (F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))).alias("__off")

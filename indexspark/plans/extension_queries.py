@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.proxy import proxy_store
-from ..sources.tables import Tables, order_facts
+from ..operators import joins as J
+from ..sources.tables import Tables, nation_year_revenue
 from . import composite as C
 from . import extensions as X
 from . import metadata as M
@@ -168,8 +169,9 @@ def q_area_weighted_global(spark, sf):
 
 # ---------------------------------------------------------------- X1 georegional gap fill
 
-GAP_SQL = """d AS (SELECT c_nationkey + 1 AS rgn_id, avg(o_totalprice) / 1000 AS v, CAST(count(*) AS DOUBLE) AS w
-      FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 495000 GROUP BY 1),
+GAP_SQL = """d0 AS (SELECT c_nationkey + 1 AS rgn_id, avg(o_totalprice) / 1000 AS v, CAST(count(*) AS DOUBLE) AS w
+      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+d AS (SELECT rgn_id, CASE WHEN w >= (SELECT avg(w) FROM d0) THEN v END AS v, w FROM d0),
 geo AS (SELECT n_nationkey + 1 AS rgn_id, 1 AS r0, CASE WHEN n_regionkey <= 1 THEN 10 ELSE 20 END AS r1, n_regionkey + 100 AS r2 FROM nation),
 b AS (SELECT geo.*, d.v, d.w FROM geo LEFT JOIN d USING (rgn_id)),
 m2 AS (SELECT r2, sum(v * w) / NULLIF(sum(w), 0) AS m_r2 FROM b WHERE v IS NOT NULL GROUP BY 1),
@@ -185,10 +187,10 @@ FROM b LEFT JOIN m2 USING (r2) LEFT JOIN m1 USING (r1)""",
 )
 def q_gapfill_levels(spark, sf):
     t = Tables(spark, sf)
-    of = order_facts(t).where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 495000))
-    data = of.groupBy((F.col("c_nationkey") + 1).alias("rgn_id")).agg(
-        (F.avg("o_totalprice") / 1000).alias("score"), F.count(F.lit(1)).cast("double").alias("w")
-    )
+    ny = J.once(nation_year_revenue(t).groupBy((F.col("rgn_id") + 1).alias("rgn_id")).agg(F.sum("revenue").alias("revenue"), F.sum("n_orders").cast("double").alias("w")))
+    # a region with fewer orders than the mean of the regions does not report: its value is the gap to fill
+    reports = F.col("w") >= ny.agg(F.avg("w")).scalar()
+    data = ny.select("rgn_id", F.when(reports, F.col("revenue") / F.col("w") / 1000).alias("score"), "w")
     geo = X.georegions_wide(proxy_store(t, ["rgn_georegions"]))
     g = X.gapfill_georegions(data, geo, "rgn_id", "score", "w", r0_to_na=True)
     return g.select("rgn_id", F.round("score", 6).alias("score"), "z_level")

@@ -16,6 +16,7 @@ from ..functions.semantics import format_g, isin_safe
 from ..operators.filters import leaf_paths as _leaf_paths
 from ..operators.reshape import explode_targets
 from ..operators.windows import count_in, global_row_number
+from ..session import stored
 
 NODE_COLUMNS = ["id", "name", "category", "path", "order", "description"]
 # fixed values: order of the three layer categories and of the pseudo-targets
@@ -93,7 +94,7 @@ def apportion_weights(paths: DataFrame, goals: DataFrame, materialize: bool = Tr
 
     Branch 1 (root without own layers): ``layer_weight = path2_weight / n(path2)``. Branch 2 (root with subgoals and
     own ``root-root-layer`` leaves): ``share = path1_weight / n(path1)`` over all leaves of the root; own leaves get
-    ``share``; subgoal leaves get ``(path2_weight - share) / n(path2)``. The path table is checkpointed (it is
+    ``share``; subgoal leaves get ``(path2_weight - share) / n(path2)``. The path table is stored (it is
     metadata-sized and read by both branches) so the plan does not repeat the hierarchy build per branch.
     """
     p = paths.withColumns(
@@ -109,7 +110,7 @@ def apportion_weights(paths: DataFrame, goals: DataFrame, materialize: bool = Tr
     own = p.join(with_sub, "path2", "left_semi").select("path1").distinct().withColumn("__own", F.lit(True))
     p = p.join(own, "path1", "left").withColumn("__own", F.coalesce("__own", F.lit(False)))
     if materialize:  # one row per leaf path (metadata-sized); read four times below
-        p = p.checkpoint(eager=True)
+        p = stored(p, "paths")
         own = p.where("__own").select("path1").distinct()
     b1 = p.where(~F.col("__own")).withColumn("layer_weight", F.col("path2_weight") / count_in(["path2", "path2_weight"]))
     b2 = p.where(F.col("__own")).withColumn("layers_weight", F.col("path1_weight") / count_in(["path1", "path1_weight"]))
@@ -155,12 +156,13 @@ def one_hop(nodes: DataFrame, edges: DataFrame, selected: str) -> tuple[DataFram
 def sunburst_weights(goals: DataFrame, catalog: DataFrame, pressures_long: DataFrame, resilience_long: DataFrame) -> DataFrame:
     """E3 end to end: goal tree + layer catalog + long matrices -> leaf ``(path, category, layer_weight)``.
 
-    The node table is checkpointed (metadata-sized, read by the leaf filter and both weight branches).
+    The node table is stored (metadata-sized, read by the leaf filter and both weight branches).
     """
     bridge = target_bridge(catalog.select("layer", "targets", "name", "description"))
     nodes = goal_nodes(goals)
     all_nodes = layer_nodes(
         nodes, bridge, goals, pressures_long.select("goal", "layer"), resilience_long.select("goal", "layer"),
         catalog.select("layer", "name", "description"),
-    ).checkpoint(eager=True)
+    )
+    all_nodes = stored(all_nodes, "nodes")
     return apportion_weights(leaf_paths(all_nodes), goals).select("path", "category", "layer_weight")

@@ -2,8 +2,8 @@
 
 Roots are world regions (``R<k>``), subgoals are nations (``N<k>``, parent = their region), status layers are
 suppliers (targets: their nation, and also their region when the account balance is negative, so some roots have own
-layers as well as subgoals), pressure layers are part types returned by a nation's suppliers, resilience layers are
-segments of a nation's customers in debt. Network: users -> event types from ``events``.
+layers as well as subgoals), pressure layers are part types shipped by a nation's suppliers, resilience layers are
+segments of a nation's customers. Network: users -> event types from ``events``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources.tables import Tables
 from . import hierarchy as H
 from .registry import register
@@ -54,16 +55,14 @@ def proxy_catalog(t: Tables) -> DataFrame:
 
 
 def proxy_pressures(t: Tables) -> DataFrame:
-    li = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 50))
-    j = li.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    j = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return j.select(
         F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("goal"), F.concat(F.lit("pt_"), F.lower("p_type")).alias("layer")
     ).distinct()
 
 
 def proxy_resilience(t: Tables) -> DataFrame:
-    c = t.customer.where(F.col("c_acctbal") < 0)
-    return c.select(
+    return t.customer.select(
         F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("goal"),
         F.concat(F.lit("seg_"), F.lower("c_mktsegment")).alias("layer"),
     ).distinct()
@@ -74,8 +73,8 @@ def _all_nodes(t: Tables) -> DataFrame:
     cat = proxy_catalog(t)
     nodes = H.goal_nodes(goals)
     all_nodes = H.layer_nodes(nodes, H.target_bridge(cat), goals, proxy_pressures(t), proxy_resilience(t), cat)
-    # the node table is metadata-sized and is read several times by the leaf filter and weights: materialise it once
-    return all_nodes.checkpoint(eager=True)
+    # the node table is metadata-sized and is read several times by the leaf filter and weights: store it once
+    return stored(all_nodes, "nodes")
 
 
 # ---------------------------------------------------------------- SQL fragments
@@ -97,8 +96,8 @@ CATALOG_SQL = """cat AS (
 bridge AS (SELECT layer, t AS target, name, description FROM (SELECT *, unnest(string_split(targets, ' ')[1:3]) AS t FROM cat) WHERE t <> '')"""
 
 MATRIX_SQL = """pm AS (SELECT DISTINCT 'N' || CAST(s_nationkey AS VARCHAR) AS goal, 'pt_' || lower(p_type) AS layer
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 50),
-rm AS (SELECT DISTINCT 'N' || CAST(c_nationkey AS VARCHAR) AS goal, 'seg_' || lower(c_mktsegment) AS layer FROM customer WHERE c_acctbal < 0)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
+rm AS (SELECT DISTINCT 'N' || CAST(c_nationkey AS VARCHAR) AS goal, 'seg_' || lower(c_mktsegment) AS layer FROM customer)"""
 
 NODES_SQL = f"""{GOALS_SQL}, {CATALOG_SQL}, {MATRIX_SQL},
 gn AS (

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import joins as J
 from ..operators import reshape as R
+from ..session import stored
 from ..sources.layers import LayerStore
 from .extensions import gapfill_georegions, georegions_wide
 from .goals import GoalResult, refpoint, scores_frame
@@ -191,7 +192,7 @@ def liv_eco_pair(
     s_r = _to_regions(st, lookup, weights)
     g_r = _to_regions(tr, lookup, weights).where(F.col("rgn_id").isNotNull())
     if materialize:
-        s_r, g_r = s_r.checkpoint(eager=True), g_r.checkpoint(eager=True)
+        s_r, g_r = stored(s_r, "liveco-status"), stored(g_r, "liveco-trend")
 
     def finish(df: DataFrame, component: str, subgoal: str, dimension: str, scale: float) -> tuple[DataFrame, DataFrame]:
         data = df.where(F.col("component") == component).select("rgn_id", "score", "w_sum")

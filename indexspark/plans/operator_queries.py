@@ -414,44 +414,45 @@ def q_goal_mean(spark, sf):
 # ---------------------------------------------------------------- windows (W*) and grids
 
 
-_SPARSE_SQL = """f AS (
-  SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_extendedprice) AS revenue
-  FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09 GROUP BY 1, 2)"""
+# a part is not shipped in every month: the gaps of these series are those of the whole table
+_PART_MONTH_SQL = """f AS (
+  SELECT l_partkey, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS ym, sum(l_extendedprice) AS revenue
+  FROM lineitem GROUP BY 1, 2)"""
 
 
-def _sparse_part_year(t):
-    li = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09))
-    return li.groupBy("l_partkey", year_of("l_shipdate").alias("year")).agg(F.sum("l_extendedprice").alias("revenue"))
+def _part_month(t):
+    ym = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int").alias("ym")
+    return t.lineitem.groupBy("l_partkey", ym).agg(F.sum("l_extendedprice").alias("revenue"))
 
 
-_GRID_SQL = f"""{_SPARSE_SQL},
-g AS (SELECT k.l_partkey, y.year, f.revenue
-      FROM (SELECT DISTINCT l_partkey FROM f) k CROSS JOIN (SELECT DISTINCT year FROM f) y
-      LEFT JOIN f ON f.l_partkey = k.l_partkey AND f.year = y.year)"""
+_GRID_SQL = f"""{_PART_MONTH_SQL},
+g AS (SELECT k.l_partkey, y.ym, f.revenue
+      FROM (SELECT DISTINCT l_partkey FROM f) k CROSS JOIN (SELECT DISTINCT ym FROM f) y
+      LEFT JOIN f ON f.l_partkey = k.l_partkey AND f.ym = y.ym)"""
 
 
-@register("series_complete", f"WITH {_GRID_SQL} SELECT l_partkey, year, round(revenue, 2) AS revenue FROM g")
+@register("series_complete", f"WITH {_GRID_SQL} SELECT l_partkey, ym, round(revenue, 2) AS revenue FROM g")
 def q_series_complete(spark, sf):
-    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year", materialize=True)
-    return g.select("l_partkey", "year", F.round("revenue", 2).alias("revenue"))
+    g = R.complete_series(_part_month(Tables(spark, sf)), ["l_partkey"], "ym", materialize=True)
+    return g.select("l_partkey", "ym", F.round("revenue", 2).alias("revenue"))
 
 
-@register("grid_fill", f"WITH {_GRID_SQL} SELECT l_partkey, year, round(coalesce(revenue, 0), 2) AS revenue FROM g")
+@register("grid_fill", f"WITH {_GRID_SQL} SELECT l_partkey, ym, round(coalesce(revenue, 0), 2) AS revenue FROM g")
 def q_grid_fill(spark, sf):
-    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year", materialize=True)
-    return g.select("l_partkey", "year", F.round(F.coalesce("revenue", F.lit(0.0)), 2).alias("revenue"))
+    g = R.complete_series(_part_month(Tables(spark, sf)), ["l_partkey"], "ym", materialize=True)
+    return g.select("l_partkey", "ym", F.round(F.coalesce("revenue", F.lit(0.0)), 2).alias("revenue"))
 
 
 @register(
     "cumsum",
     f"""WITH {_GRID_SQL}
-SELECT l_partkey, year, round(sum(coalesce(revenue, 0)) OVER (PARTITION BY l_partkey ORDER BY year
+SELECT l_partkey, ym, round(sum(coalesce(revenue, 0)) OVER (PARTITION BY l_partkey ORDER BY ym
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS revenue_cumsum FROM g""",
 )
 def q_cumsum(spark, sf):
-    g = R.complete_series(_sparse_part_year(Tables(spark, sf)), ["l_partkey"], "year", materialize=True)
+    g = R.complete_series(_part_month(Tables(spark, sf)), ["l_partkey"], "ym", materialize=True)
     g = g.withColumn("revenue", F.coalesce("revenue", F.lit(0.0)))
-    return g.select("l_partkey", "year", F.round(W.cumsum("revenue", "l_partkey", "year"), 2).alias("revenue_cumsum"))
+    return g.select("l_partkey", "ym", F.round(W.cumsum("revenue", "l_partkey", "ym"), 2).alias("revenue_cumsum"))
 
 
 _MONTH_SQL = """m AS (
@@ -478,11 +479,8 @@ _BN_SQL = f"""{LF_SQL}, bn AS (
   FROM lf JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 
-def _brand_nation(t, sparse=False):
-    li = line_facts(t)
-    if sparse:
-        li = li.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48))
-    j = li.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+def _brand_nation(t):
+    j = line_facts(t).join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return j.groupBy(F.col("s_nationkey").alias("rgn_id"), "p_brand").agg(
         (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 10000).alias("revenue")
     )
@@ -516,37 +514,39 @@ def q_log_rescale(spark, sf):
     return bn.select("rgn_id", "p_brand", r6(S.log_rescale("revenue", "peak")).alias("exposure"))
 
 
-_GAP_SQL = f"""{LF_SQL}, bn AS (
-  SELECT s_nationkey AS rgn_id, p_brand, sum(l_extendedprice * (1 - l_discount)) / 10000 AS revenue
-  FROM lf JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY 1, 2),
-g AS (SELECT k.rgn_id, b.p_brand, bn.revenue
-      FROM (SELECT DISTINCT rgn_id FROM bn) k CROSS JOIN (SELECT DISTINCT p_brand FROM bn) b
-      LEFT JOIN bn ON bn.rgn_id = k.rgn_id AND bn.p_brand = b.p_brand)"""
+# not every nation's suppliers ship every part: the gaps of this grid are those of the whole table
+_GAP_SQL = f"""{LF_SQL}, pn AS (
+  SELECT s_nationkey AS rgn_id, l_partkey, sum(l_extendedprice * (1 - l_discount)) / 10000 AS revenue FROM lf GROUP BY 1, 2),
+g AS (SELECT k.rgn_id, b.l_partkey, pn.revenue
+      FROM (SELECT DISTINCT rgn_id FROM pn) k CROSS JOIN (SELECT DISTINCT l_partkey FROM pn) b
+      LEFT JOIN pn ON pn.rgn_id = k.rgn_id AND pn.l_partkey = b.l_partkey)"""
 
 
 def _gap_grid(t):
-    bn = _brand_nation(t, sparse=True)
-    return R.complete_series(bn, ["rgn_id"], "p_brand", materialize=True)
+    pn = line_facts(t).groupBy(F.col("s_nationkey").alias("rgn_id"), "l_partkey").agg(
+        (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 10000).alias("revenue")
+    )
+    return R.complete_series(pn, ["l_partkey"], "rgn_id", materialize=True)
 
 
 @register(
     "mean_gapfill",
     f"""WITH {_GAP_SQL}
-SELECT rgn_id, p_brand, round(coalesce(revenue, avg(revenue) OVER (PARTITION BY p_brand)), 6) AS revenue FROM g""",
+SELECT rgn_id, l_partkey, round(coalesce(revenue, avg(revenue) OVER (PARTITION BY l_partkey)), 9) AS revenue FROM g""",
 )
 def q_mean_gapfill(spark, sf):
-    g = W.mean_gapfill(_gap_grid(Tables(spark, sf)), "revenue", "p_brand")
-    return g.select("rgn_id", "p_brand", r6("revenue").alias("revenue"))
+    g = W.mean_gapfill(_gap_grid(Tables(spark, sf)), "revenue", "l_partkey")
+    return g.select("rgn_id", "l_partkey", F.round("revenue", 9).alias("revenue"))
 
 
 @register(
     "gapfill_flags",
     f"""WITH {_GAP_SQL}
-SELECT rgn_id, p_brand, CASE WHEN revenue IS NULL THEN 'prod_average' ELSE '0' END AS gap_fill FROM g""",
+SELECT rgn_id, l_partkey, CASE WHEN revenue IS NULL THEN 'prod_average' ELSE '0' END AS gap_fill FROM g""",
 )
 def q_gapfill_flags(spark, sf):
-    g = W.mean_gapfill(_gap_grid(Tables(spark, sf)), "revenue", "p_brand", flag="gap_fill", flag_value="prod_average")
-    return g.select("rgn_id", "p_brand", "gap_fill")
+    g = W.mean_gapfill(_gap_grid(Tables(spark, sf)), "revenue", "l_partkey", flag="gap_fill", flag_value="prod_average")
+    return g.select("rgn_id", "l_partkey", "gap_fill")
 
 
 @register(
@@ -656,24 +656,20 @@ def q_any_zero_keys(spark, sf):
 # ---------------------------------------------------------------- joins (J*) and set operations (U*)
 
 
-_URG_SQL = """u AS (SELECT c_nationkey AS rgn_id, sum(o_totalprice) AS urgent_revenue
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 495000 GROUP BY 1)"""
-
-
-def _urgent_by_nation(t):
-    of = order_facts(t).where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 495000))
-    return of.groupBy(F.col("c_nationkey").alias("rgn_id")).agg(F.sum("o_totalprice").alias("urgent_revenue"))
+_CY_SQL = """cy AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS revenue FROM orders GROUP BY 1, 2)"""
 
 
 @register(
     "left_join",
-    f"""WITH {_URG_SQL}
-SELECT n_nationkey AS rgn_id, n_name, round(urgent_revenue, 2) AS urgent_revenue FROM nation LEFT JOIN u ON n_nationkey = u.rgn_id""",
+    f"""WITH {_CY_SQL}
+SELECT c_custkey, c_nationkey, y.year, round(revenue, 2) AS revenue
+FROM customer CROSS JOIN (SELECT DISTINCT year FROM cy) y LEFT JOIN cy ON cy.o_custkey = c_custkey AND cy.year = y.year""",
 )
 def q_left_join(spark, sf):
     t = Tables(spark, sf)
-    n = t.nation.select(F.col("n_nationkey").alias("rgn_id"), "n_name")
-    return n.join(_urgent_by_nation(t), "rgn_id", "left").select("rgn_id", "n_name", F.round("urgent_revenue", 2).alias("urgent_revenue"))
+    cy = J.once(t.orders.groupBy(F.col("o_custkey").alias("c_custkey"), year_of("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("revenue")))
+    grid = R.with_dimension(t.customer.select("c_custkey", "c_nationkey"), "year", R.present_values(cy, "year"))
+    return grid.join(cy, ["c_custkey", "year"], "left").select("c_custkey", "c_nationkey", "year", F.round("revenue", 2).alias("revenue"))
 
 
 _LJM_SQL = f"""{NY_SQL}, {LF_SQL}, s AS (SELECT s_nationkey AS rgn_id, year, sum(l_quantity) AS qty FROM lf WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
@@ -731,56 +727,48 @@ def q_area_share(spark, sf):
     return j.groupBy("rgn_id", "year").agg(r6(S.sum_strict(F.col("status_saup") * F.col("prop_area"))).alias("status"))
 
 
-_FJ_SQL = f"""{OF_SQL}, {LF_SQL},
-a AS (SELECT c_nationkey AS rgn_id, year, sum(o_totalprice) AS a FROM of WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1, 2),
-b AS (SELECT s_nationkey AS rgn_id, year, sum(l_quantity) AS b FROM lf WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_discount = 0 GROUP BY 1, 2),
-c AS (SELECT c_nationkey AS rgn_id, year, CAST(count(*) AS DOUBLE) AS c FROM of WHERE o_orderstatus = 'P' AND o_totalprice > 400000 GROUP BY 1, 2)"""
+# the return flags R, A and any other cover the whole table; a part has no line of some flag in some year
+_FJ_SQL = """pf AS (SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag, sum(l_extendedprice) AS v, sum(l_quantity) AS q, count(*) AS n
+  FROM lineitem GROUP BY 1, 2, 3),
+a AS (SELECT l_partkey, year, v AS a FROM pf WHERE l_returnflag = 'R'),
+b AS (SELECT l_partkey, year, q AS b FROM pf WHERE l_returnflag = 'A'),
+c AS (SELECT l_partkey, year, CAST(sum(n) AS DOUBLE) AS c FROM pf WHERE l_returnflag NOT IN ('R', 'A') GROUP BY 1, 2)"""
 
 
 def _fj_frames(t):
-    of, lf = order_facts(t), line_facts(t)
-    a = (
-        of.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-        .groupBy(F.col("c_nationkey").alias("rgn_id"), "year")
-        .agg(F.sum("o_totalprice").alias("a"))
-    )
-    b = (
-        lf.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50) & (F.col("l_discount") == 0))
-        .groupBy(F.col("s_nationkey").alias("rgn_id"), "year")
-        .agg(F.sum("l_quantity").alias("b"))
+    li = t.lineitem.withColumn("year", year_of("l_shipdate"))
+    flag = F.col("l_returnflag")
+    of = lambda df, agg: df.groupBy("l_partkey", "year").agg(agg)
+    return (
+        of(li.where(flag == "R"), F.sum("l_extendedprice").alias("a")),
+        of(li.where(flag == "A"), F.sum("l_quantity").alias("b")),
+        of(li.where(~flag.isin("R", "A")), F.count(F.lit(1)).cast("double").alias("c")),
     )
-    c = (
-        of.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000))
-        .groupBy(F.col("c_nationkey").alias("rgn_id"), "year")
-        .agg(F.count(F.lit(1)).cast("double").alias("c"))
-    )
-    return a, b, c
 
 
 @register(
     "full_join_chain",
     f"""WITH {_FJ_SQL}
-SELECT rgn_id, year, round(a, 2) AS a, round(b, 2) AS b, c FROM a FULL JOIN b USING (rgn_id, year) FULL JOIN c USING (rgn_id, year)""",
+SELECT l_partkey, year, round(a, 2) AS a, round(b, 2) AS b, c FROM a FULL JOIN b USING (l_partkey, year) FULL JOIN c USING (l_partkey, year)""",
 )
 def q_full_join_chain(spark, sf):
-    a, b, c = _fj_frames(Tables(spark, sf))
-    j = J.full_join_chain([a, b, c], ["rgn_id", "year"])
-    return j.select("rgn_id", "year", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "c")
+    j = J.full_join_chain(_fj_frames(Tables(spark, sf)), ["l_partkey", "year"], unique=True)
+    return j.select("l_partkey", "year", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "c")
 
 
 @register(
     "full_merge",
     f"""WITH {_FJ_SQL},
-a2 AS (SELECT rgn_id, NULLIF(year, 1995) AS year, a FROM a),
-c2 AS (SELECT rgn_id, NULLIF(year, 1995) AS year, c FROM c)
-SELECT coalesce(a2.rgn_id, c2.rgn_id) AS rgn_id, coalesce(a2.year, c2.year) AS year, round(a, 2) AS a, c
-FROM a2 FULL JOIN c2 ON a2.rgn_id = c2.rgn_id AND a2.year IS NOT DISTINCT FROM c2.year""",
+a2 AS (SELECT l_partkey, NULLIF(year, 1995) AS year, a FROM a),
+c2 AS (SELECT l_partkey, NULLIF(year, 1995) AS year, c FROM c)
+SELECT coalesce(a2.l_partkey, c2.l_partkey) AS l_partkey, coalesce(a2.year, c2.year) AS year, round(a, 2) AS a, c
+FROM a2 FULL JOIN c2 ON a2.l_partkey = c2.l_partkey AND a2.year IS NOT DISTINCT FROM c2.year""",
 )
 def q_full_merge(spark, sf):
     a, _, c = _fj_frames(Tables(spark, sf))
     a2 = a.withColumn("year", F.nullif("year", F.lit(1995)))
     c2 = c.withColumn("year", F.nullif("year", F.lit(1995)))
-    return J.full_merge(a2, c2).select("rgn_id", "year", F.round("a", 2).alias("a"), "c")
+    return J.full_merge(a2, c2).select("l_partkey", "year", F.round("a", 2).alias("a"), "c")
 
 
 # fixed values: priority weights used by the lookup and multiplier queries (one priority deliberately absent)
@@ -892,50 +880,40 @@ def q_union_all(spark, sf):
 
 # ---------------------------------------------------------------- reshape (R*)
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-YEARS = list(range(1995, 2002))
+_YL_SQL = f"""{OF_SQL}, s AS (SELECT c_mktsegment, 'y' || year AS yl, sum(o_totalprice) AS revenue FROM of GROUP BY 1, 2)"""
 
 
-@register(
-    "pivot",
-    f"""WITH {OF_SQL}
-SELECT c_mktsegment, {", ".join(f"round(sum(o_totalprice) FILTER (WHERE year = {y}), 2) AS y{y}" for y in YEARS)}
-FROM of GROUP BY 1""",
-)
+def _segment_years(t):
+    of = order_facts(t).withColumn("yl", F.concat(F.lit("y"), F.col("year").cast("string")))
+    return of.groupBy("c_mktsegment", "yl").agg(F.sum("o_totalprice").alias("revenue"))
+
+
+@register("pivot", f"SELECT * FROM (PIVOT (WITH {_YL_SQL} SELECT c_mktsegment, yl, round(revenue, 2) AS revenue FROM s) ON yl USING max(revenue) GROUP BY c_mktsegment)")
 def q_pivot(spark, sf):
-    of = order_facts(Tables(spark, sf)).withColumn("yl", F.concat(F.lit("y"), F.col("year").cast("string")))
-    p = R.pivot(of, ["c_mktsegment"], "yl", [f"y{y}" for y in YEARS], "o_totalprice", agg="sum")
-    return p.select("c_mktsegment", *[F.round(f"y{y}", 2).alias(f"y{y}") for y in YEARS])
+    s = _segment_years(Tables(spark, sf)).withColumn("revenue", F.round("revenue", 2))
+    return R.pivot(s, ["c_mktsegment"], "yl", None, "revenue", agg="max")
 
 
 @register(
     "unpivot",
-    f"""WITH {OF_SQL}, p AS (
-  SELECT c_mktsegment, {", ".join(f"sum(o_totalprice) FILTER (WHERE year = {y}) AS y{y}" for y in YEARS)} FROM of GROUP BY 1)
-SELECT c_mktsegment, year_label, round(revenue, 2) AS revenue FROM p UNPIVOT INCLUDE NULLS (revenue FOR year_label IN ({", ".join(f"y{y}" for y in YEARS)}))""",
+    f"""WITH {_YL_SQL}
+SELECT k.c_mktsegment, y.yl AS year_label, round(revenue, 2) AS revenue
+FROM (SELECT DISTINCT c_mktsegment FROM s) k CROSS JOIN (SELECT DISTINCT yl FROM s) y LEFT JOIN s ON s.c_mktsegment = k.c_mktsegment AND s.yl = y.yl""",
 )
 def q_unpivot(spark, sf):
-    of = order_facts(Tables(spark, sf)).withColumn("yl", F.concat(F.lit("y"), F.col("year").cast("string")))
-    p = R.pivot(of, ["c_mktsegment"], "yl", [f"y{y}" for y in YEARS], "o_totalprice", agg="sum")
-    u = R.unpivot(p, ["c_mktsegment"], [f"y{y}" for y in YEARS], "year_label", "revenue")
+    p = R.pivot(_segment_years(Tables(spark, sf)), ["c_mktsegment"], "yl", None, "revenue", agg="max")
+    u = R.unpivot(p, ["c_mktsegment"], [c for c in p.columns if c != "c_mktsegment"], "year_label", "revenue")
     return u.select("c_mktsegment", "year_label", F.round("revenue", 2).alias("revenue"))
 
 
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @register(
     "pivot_multi_key",
-    f"""WITH {OF_SQL}
-SELECT c_nationkey, c_mktsegment, {", ".join(f"count(*) FILTER (WHERE o_orderpriority = '{p}' AND o_orderstatus = 'P') AS p{i + 1}" for i, p in enumerate(PRIORITIES))}
-FROM of GROUP BY 1, 2""",
+    """SELECT * FROM (PIVOT (SELECT o_custkey, o_orderstatus || '_' || replace(o_orderpriority, ' ', '_') AS pk FROM orders) ON pk USING count(*) GROUP BY o_custkey)""",
 )
 def q_pivot_multi_key(spark, sf):
-    of = order_facts(Tables(spark, sf)).withColumn(
-        "pk", F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)))
-    )
-    p = of.groupBy("c_nationkey", "c_mktsegment").pivot("pk", [f"p{i + 1}" for i in range(5)]).agg(F.count(F.lit(1)))
-    return p.select("c_nationkey", "c_mktsegment", *[F.coalesce(f"p{i + 1}", F.lit(0)).alias(f"p{i + 1}") for i in range(5)])
+    pk = F.concat_ws("_", "o_orderstatus", F.replace("o_orderpriority", F.lit(" "), F.lit("_"))).alias("pk")
+    n = Tables(spark, sf).orders.groupBy("o_custkey", pk).agg(F.count(F.lit(1)).alias("n"))
+    return R.pivot(n, ["o_custkey"], "pk", None, "n", agg="max").na.fill(0)
 
 
 @register(
@@ -980,37 +958,26 @@ def q_risk_table(spark, sf):
 # ---------------------------------------------------------------- projection and derivation (P*)
 
 
-_SEG_SQL = f"""{OF_SQL}, p AS (
-  SELECT c_nationkey AS rgn_id, {", ".join(f"avg(o_totalprice) FILTER (WHERE c_mktsegment = '{s}' AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') / 1000 AS {s.lower()}" for s in SEGMENTS)}
-  FROM of GROUP BY 1)"""
+_CP_SQL = """cp AS (SELECT o_custkey, o_orderpriority, avg(ln(o_totalprice)) AS v FROM orders GROUP BY 1, 2)"""
 
 
-def _seg_pivot(t):
-    of = order_facts(t).withColumn(
-        "seg", F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"), F.lower("c_mktsegment"))
-    )
-    p = of.groupBy(F.col("c_nationkey").alias("rgn_id")).pivot("seg", [s.lower() for s in SEGMENTS]).agg(F.avg("o_totalprice") / 1000)
-    return p
+def _customer_priorities(t):
+    """Wide: one column per priority that occurs; a customer without an order of a priority has a NULL there."""
+    v = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.avg(F.ln("o_totalprice")).alias("v"))
+    wide = R.pivot(v, ["o_custkey"], "o_orderpriority", None, "v", agg="max")
+    return wide, [f"`{c}`" for c in wide.columns if c != "o_custkey"]
 
 
-@register(
-    "row_mean",
-    f"""WITH {_SEG_SQL}
-SELECT rgn_id, round(({" + ".join(f"coalesce({s.lower()}, 0)" for s in SEGMENTS)}) / NULLIF({" + ".join(f"CASE WHEN {s.lower()} IS NULL THEN 0 ELSE 1 END" for s in SEGMENTS)}, 0), 6) AS score FROM p""",
-)
+@register("row_mean", f"WITH {_CP_SQL} SELECT o_custkey, round(avg(v), 6) AS score FROM cp GROUP BY 1")
 def q_row_mean(spark, sf):
-    p = _seg_pivot(Tables(spark, sf))
-    return p.select("rgn_id", r6(S.row_mean(*[s.lower() for s in SEGMENTS])).alias("score"))
+    wide, cols = _customer_priorities(Tables(spark, sf))
+    return wide.select("o_custkey", r6(S.row_mean(*cols)).alias("score"))
 
 
-@register(
-    "row_sum",
-    f"""WITH {_SEG_SQL}
-SELECT rgn_id, round({" + ".join(f"coalesce({s.lower()}, 0)" for s in SEGMENTS)}, 6) AS score FROM p""",
-)
+@register("row_sum", f"WITH {_CP_SQL} SELECT o_custkey, round(sum(v), 6) AS score FROM cp GROUP BY 1")
 def q_row_sum(spark, sf):
-    p = _seg_pivot(Tables(spark, sf))
-    return p.select("rgn_id", r6(S.row_sum(*[s.lower() for s in SEGMENTS])).alias("score"))
+    wide, cols = _customer_priorities(Tables(spark, sf))
+    return wide.select("o_custkey", r6(S.row_sum(*cols)).alias("score"))
 
 
 @register(

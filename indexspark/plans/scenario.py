@@ -1,8 +1,8 @@
 """Scenario scoring (E1): run every goal model in calculation order, then composites, restriction and finalisation.
 
 The goal table names each goal's model; a Python registry maps goal code -> job (no evaluation of text). Leaf goals
-return lazy plans that are unioned into one scores frame; that frame is checkpointed (reliable checkpoint in the
-session's checkpoint directory) before the composites so four composites do not re-run every leaf plan.
+return lazy plans that are unioned into one scores frame; that frame is stored (Parquet in the session's shared
+folder) before the composites so four composites do not re-run every leaf plan.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources.layers import LayerStore
 from . import composite as C
 from . import goals as G
@@ -127,7 +128,7 @@ def run_scenario(layers: LayerStore, params: Mapping[str, Mapping] | None = None
         scores = scores.unionByName(G.scores_frame(r, F.col("goal"), F.col("dimension")))
         fs = _round(X.likely_future_and_score(scores), leaf_digits)
         scores = scores.unionByName(G.scores_frame(fs, F.col("goal"), F.col("dimension")))
-    scores = scores.checkpoint(eager=True) if checkpoint else scores
+    scores = stored(scores, "leaf-scores") if checkpoint else scores
     scores, fp_checks = C.fp(layers, scores)
     scores = C.le(layers, scores, patch, patch_keys)
     scores = C.sp(scores)

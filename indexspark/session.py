@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -53,3 +54,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="indexspark-ckpt-", dir=os.environ.get("INDEXSPARK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the session's shared folder, remembered for ``release_scratch``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch(spark).append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: the lineage is cut, columns are still pruned and
+    filters pushed down, and the planner knows the size."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Delete what this session has stored after the first ``keep`` (``len`` of an earlier ``scratch_paths``); call it when
+    the results built on it are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _scratch(spark)
+    while len(paths) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def scratch_paths(spark: SparkSession) -> tuple[str, ...]:
+    return tuple(_scratch(spark))
+
+
+def _scratch(spark: SparkSession) -> list[str]:
+    """The stored paths of one Spark application: another session's are never touched."""
+    return _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+
+
+_SCRATCH: dict[str, list[str]] = {}

@@ -12,7 +12,6 @@ store of ~60 layers costs about a dozen aggregations, not 60 scans. Build once,
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import recode, safe_div
 from ..operators.windows import share_by_join, share_of_total
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from .layers import LONG_COLUMNS, LayerStore, to_long
 from .tables import Tables, year_of
 
@@ -88,7 +87,7 @@ def _shared(t: Tables, key: str, build: Callable[[Tables], DataFrame]) -> DataFr
     if key not in cache:
         df = build(t)
         if t.materialize_shared:
-            path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{key}-{uuid.uuid4().hex}"
+            path = scratch_path(t.spark, key)
             df.write.parquet(path)
             df = t.spark.read.schema(df.schema).parquet(path)
         cache[key] = df
