@@ -172,7 +172,12 @@ tr AS (WITH {GQ.TR_CTES}
        SELECT 'TR' AS goal, 'spatial: 90th quantile' AS method, CAST(round(Xtr_q, 6) AS VARCHAR) AS reference_point FROM q WHERE year = 2000)
 SELECT * FROM mar UNION ALL SELECT * FROM tr
 UNION ALL SELECT * FROM (VALUES
-  ('AO', '??', CAST(NULL AS VARCHAR)),
+  ('FIS', 'b/bmsy: modeled', CAST(NULL AS VARCHAR)),
+  ('NP', 'Harvest peak within region times 0.65 buffer', 'varies for each region'),
+  ('CS', 'Health/condition variable based on current vs. historic extent', 'varies for each region/habitat'),
+  ('CP', 'Health/condition variable based on current vs. historic extent', 'varies for each region/habitat'),
+  ('LSP', '30% marine protected area; 30% coastal protected area', 'varies by area of region''s eez and 1 km inland'),
+  ('AO', '??', NULL),
   ('ICO', 'scaled IUCN risk categories', NULL),
   ('CW', 'spatial: pressures scaled from 0-1 at raster level', NULL),
   ('HAB', 'Health/condition variable based on current vs. historic extent', 'varies for each region/habitat'),

@@ -312,7 +312,10 @@ def q_pre_global(spark, sf):
     return rounded(C.pre_global(store, s, nullify_label="NATION_0"))
 
 
+REFERENCE_GOALS = {"FIS", "MAR", "AO", "NP", "CS", "CP", "TR", "ICO", "LSP", "CW", "HAB", "SPP"}
+
+
 @register("reference_points")
 def q_reference_points(spark, sf):
-    store = store_for(spark, sf, ["MAR", "TR", "CW", "HAB", "SPP", "ICO", "AO"])
-    return run_leaf_goals(store, M.PROXY_PARAMS, only={"MAR", "TR", "CW", "HAB", "SPP", "ICO", "AO"}).reference_points
+    # of the twelve goals with a reference point, MAR and TR compute a value; the others' rows need no layer
+    return run_leaf_goals(store_for(spark, sf, ["MAR", "TR"]), M.PROXY_PARAMS, only=REFERENCE_GOALS).reference_points

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import format_g, isin_safe
+from ..functions.semantics import format_g, isin_safe, safe_div
 from ..operators.filters import leaf_paths as _leaf_paths
+from ..operators.joins import assert_no_rows
 from ..operators.reshape import explode_targets
 from ..operators.windows import count_in, global_row_number
 from ..session import stored
@@ -166,3 +167,64 @@ def sunburst_weights(goals: DataFrame, catalog: DataFrame, pressures_long: DataF
     )
     all_nodes = stored(all_nodes, "nodes")
     return apportion_weights(leaf_paths(all_nodes), goals).select("path", "category", "layer_weight")
+
+
+# ---------------------------------------------------------------- trees of any depth
+
+
+def tree_paths(goals: DataFrame, sep: str = "-") -> DataFrame:
+    """H3 for any depth: ``goal, parent, path, depth`` of every goal, roots at depth 0, paths joined from the root down.
+
+    One join per level on the goals found so far in the level above. A goal that no root reaches (a cycle, a parent that
+    is not a goal) and a goal listed twice stop it.
+    """
+    table = stored(goals.select("goal", "parent"), "tree")
+    twice = table.groupBy("goal").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    assert_no_rows(twice, "goals listed more than once")
+    level = table.where(F.col("parent").isNull()).select("goal", "parent", F.col("goal").alias("path"), F.lit(0).alias("depth"))
+    levels = [stored(level, "tree-level")]
+    while not levels[-1].isEmpty():
+        above = levels[-1].select(F.col("goal").alias("__above"), F.col("path").alias("__path"))
+        below = table.join(above, F.col("parent") == F.col("__above"))
+        levels.append(stored(below.select("goal", "parent", F.concat_ws(sep, "__path", "goal").alias("path"), F.lit(len(levels)).alias("depth")), "tree-level"))
+    found = levels[0]
+    for lv in levels[1:-1]:
+        found = found.unionByName(lv)
+    assert_no_rows(table.join(found.select("goal"), "goal", "left_anti"), "goals that no root reaches (a cycle, or a parent that is missing)")
+    return found
+
+
+def tree_weights(goals: DataFrame, layers: DataFrame, sep: str = "-") -> DataFrame:
+    """H4-H6 for any depth: ``path, goal, layer, layer_weight`` of every leaf, weights passed down level by level.
+
+    ``goals(goal, parent, weight)``, ``layers(goal, layer)``. A root has its own weight. Of a goal's weight its own layers
+    take their share among all layers below it, in equal parts; the rest goes to the subgoals below which there is a
+    layer, by their weights (alike where none has one). So the leaves of a root add up to its weight.
+    """
+    paths = tree_paths(goals, sep)
+    depth = paths.agg(F.max("depth")).first()[0]
+    nodes = paths.join(goals.select("goal", "weight"), "goal")
+    own = layers.select("goal", "layer").distinct()
+    counts = own.groupBy("goal").agg(F.count(F.lit(1)).alias("own"))
+    nodes = stored(nodes.join(counts, "goal", "left").fillna({"own": 0}), "tree-nodes")
+    if depth is None:
+        return nodes.select("path", "goal", F.lit("").alias("layer"), "weight").withColumnRenamed("weight", "layer_weight")
+    below = nodes.where(F.col("depth") == depth).select("goal", "parent", F.col("own").alias("leaves"))
+    sizes = [stored(below, "tree-sizes")]  # of the deepest level first
+    for d in reversed(range(depth)):
+        under = sizes[-1].groupBy(F.col("parent").alias("goal")).agg(F.sum("leaves").alias("under"))
+        here = nodes.where(F.col("depth") == d).join(under, "goal", "left")
+        sizes.append(stored(here.select("goal", "parent", (F.col("own") + F.coalesce("under", F.lit(0))).alias("leaves")), "tree-sizes"))
+    passed = nodes.where("depth = 0").join(sizes[-1].select("goal", "leaves"), "goal").select("goal", "path", "own", "leaves", F.col("weight").alias("has"))
+    done = [stored(passed, "tree-weights")]
+    for d in range(1, depth + 1):
+        above = done[-1].select(F.col("goal").alias("parent"), (F.col("has") * (1 - safe_div("own", "leaves"))).alias("left"))
+        live = nodes.where(F.col("depth") == d).join(sizes[-1 - d].select("goal", "leaves"), "goal").where("leaves > 0").join(above, "parent")
+        total = live.groupBy("parent").agg(F.sum("weight").alias("__all"), F.count(F.lit(1)).alias("__n"))
+        share = F.when(F.col("__all") > 0, F.coalesce("weight", F.lit(0.0)) / F.col("__all")).otherwise(1 / F.col("__n"))
+        done.append(stored(live.join(total, "parent").select("goal", "path", "own", "leaves", (F.col("left") * share).alias("has")), "tree-weights"))
+    all_ = done[0]
+    for lv in done[1:]:
+        all_ = all_.unionByName(lv)
+    leaf = all_.join(own, "goal")
+    return leaf.select(F.concat_ws(sep, "path", "layer").alias("path"), "goal", "layer", safe_div("has", "leaves").alias("layer_weight"))

@@ -195,6 +195,57 @@ def q_id_order(spark, sf):
     return H.id_order(_all_nodes(Tables(spark, sf))).select("id", "order", "d", "s")
 
 
+# ---------------------------------------------------------------- a tree of four levels
+
+_DEEP_SQL = """g AS (SELECT 'W' AS goal, CAST(NULL AS VARCHAR) AS parent, CAST(1 AS DOUBLE) AS weight
+  UNION ALL SELECT 'R' || r_regionkey, 'W', CAST(r_regionkey + 1 AS DOUBLE) FROM region
+  UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, CAST(n_nationkey % 4 + 1 AS DOUBLE) FROM nation
+  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, CAST(s_acctbal + 1000 AS DOUBLE) FROM supplier),
+own AS (SELECT DISTINCT 'S' || l_suppkey AS goal, lower(p_type) AS layer FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION SELECT 'N' || c_nationkey, lower(c_mktsegment) FROM customer)"""
+
+
+def _deep_tree(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """World, regions, nations, suppliers; nations have layers beside their suppliers' (segments, shipped part types)."""
+    code = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
+    goals = t.spark.createDataFrame([("W", None, 1.0)], "goal string, parent string, weight double")
+    goals = goals.unionByName(t.region.select(code("R", "r_regionkey").alias("goal"), F.lit("W").alias("parent"), (F.col("r_regionkey") + 1).cast("double").alias("weight")))
+    goals = goals.unionByName(t.nation.select(code("N", "n_nationkey").alias("goal"), code("R", "n_regionkey").alias("parent"), (F.col("n_nationkey") % 4 + 1).cast("double").alias("weight")))
+    goals = goals.unionByName(t.supplier.select(code("S", "s_suppkey").alias("goal"), code("N", "s_nationkey").alias("parent"), (F.col("s_acctbal") + 1000).cast("double").alias("weight")))
+    shipped = t.lineitem.select("l_suppkey", "l_partkey").join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    own = shipped.select(code("S", "l_suppkey").alias("goal"), F.lower("p_type").alias("layer"))
+    own = own.unionByName(t.customer.select(code("N", "c_nationkey").alias("goal"), F.lower("c_mktsegment").alias("layer"))).distinct()
+    return goals, own
+
+
+@register(
+    "tree_paths",
+    f"""WITH RECURSIVE {_DEEP_SQL},
+p AS (SELECT goal, parent, goal AS path, 0 AS depth FROM g WHERE parent IS NULL
+      UNION ALL SELECT g.goal, g.parent, p.path || '-' || g.goal, p.depth + 1 FROM g JOIN p ON g.parent = p.goal)
+SELECT * FROM p""",
+)
+def q_tree_paths(spark, sf):
+    return H.tree_paths(_deep_tree(Tables(spark, sf))[0])
+
+
+@register(
+    "tree_weights",
+    f"""WITH RECURSIVE {_DEEP_SQL},
+p AS (SELECT goal, parent, goal AS path, 0 AS depth FROM g WHERE parent IS NULL
+      UNION ALL SELECT g.goal, g.parent, p.path || '-' || g.goal, p.depth + 1 FROM g JOIN p ON g.parent = p.goal),
+n AS (SELECT p.*, g.weight, (SELECT count(*) FROM own WHERE own.goal = p.goal) AS own,
+             (SELECT count(*) FROM own JOIN p q ON q.goal = own.goal WHERE q.path = p.path OR starts_with(q.path, p.path || '-')) AS leaves FROM p JOIN g USING (goal)),
+s AS (SELECT *, weight / sum(weight) FILTER (WHERE leaves > 0) OVER (PARTITION BY parent) AS part FROM n),
+w AS (SELECT goal, path, own, leaves, weight AS has FROM s WHERE depth = 0
+      UNION ALL SELECT s.goal, s.path, s.own, s.leaves, w.has * (1 - w.own / w.leaves) * s.part FROM s JOIN w ON s.parent = w.goal WHERE s.leaves > 0)
+SELECT w.path || '-' || layer AS path, goal, layer, round(has / leaves, 9) AS layer_weight FROM w JOIN own USING (goal)""",
+)
+def q_tree_weights(spark, sf):
+    w = H.tree_weights(*_deep_tree(Tables(spark, sf)))
+    return w.select("path", "goal", "layer", F.round("layer_weight", 9).alias("layer_weight"))
+
+
 # ---------------------------------------------------------------- network
 
 NET_SQL = """nodes AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS id, CASE WHEN count(*) OVER (PARTITION BY user_id) >= 70 THEN 'active' ELSE 'user' END AS "group" FROM events

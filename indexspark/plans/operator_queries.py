@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import filters as FL
 from ..operators import joins as J
+from ..operators import quantiles as QT
 from ..operators import reshape as R
 from ..operators import windows as W
 from ..sources.tables import Tables, line_facts, nation_year_revenue, order_facts, year_of
@@ -240,6 +241,20 @@ def q_group_quantile(spark, sf):
     )
 
 
+@register(
+    "raw_group_quantile",
+    """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 4) AS price_q90, round(quantile_cont(l_extendedprice, 0.5), 4) AS price_median,
+       round(quantile_cont(l_discount, 0.95), 6) AS discount_q95
+FROM lineitem GROUP BY 1, 2""",
+)
+def q_raw_group_quantile(spark, sf):
+    li, keys = Tables(spark, sf).lineitem, ["l_returnflag", "l_linestatus"]
+    price = QT.group_quantiles(li, keys, "l_extendedprice", [0.9, 0.5], ["q90", "q50"])
+    discount = QT.group_quantiles(li, keys, "l_discount", [0.95], ["q95"])
+    both = price.join(discount, keys)
+    return both.select(*keys, F.round("q90", 4).alias("price_q90"), F.round("q50", 4).alias("price_median"), r6("q95").alias("discount_q95"))
+
+
 @register(
     "self_agg_join",
     f"""WITH {NY_SQL}, q AS (SELECT year, quantile_cont(revenue, 0.9) AS q90 FROM ny GROUP BY 1)

@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
-        extended_queries, extension_queries, goal_oracles, goal_queries, hierarchy_queries, operator_queries, store_queries,
+        extended_queries, extension_queries, goal_oracles, goal_queries, hierarchy_queries, operator_queries, storage_queries, store_queries,
     )

@@ -6,12 +6,11 @@ overrides the scoring models need; goal targets are the goals whose model reads
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .layers import _header, catalog_frame
+from .layers import _exists, catalog_frame, discover_headers
 
 ID_NUM = ("rgn_id", "saup_id", "fao_id", "region_id")
 ID_CHR = ("cntry_key", "fao_saup_id", "rgn_name")
@@ -89,11 +88,17 @@ def entry_from_header(layer: str, filename: str, header: Sequence[str]) -> dict:
 
 def catalog_for_dir(spark: SparkSession, layer_dir: str, layers: Iterable[str] | None = None,
                     headers: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Catalog DataFrame for every ``<layer>.csv`` in ``layer_dir`` (or the listed layers)."""
-    names = sorted(layers) if layers is not None else sorted(f[:-4] for f in os.listdir(layer_dir) if f.endswith(".csv"))
-    rows = []
-    for n in names:
-        fn = f"{n}.csv"
-        h = headers[fn] if headers and fn in headers else _header(os.path.join(layer_dir, fn))
-        rows.append(entry_from_header(n, fn, h))
-    return catalog_frame(spark, rows)
+    """Catalog DataFrame for every ``<layer>.csv`` (file or folder of part files) in ``layer_dir``, or the listed layers.
+
+    The folder may be in any store that Spark reads: headers are found by one Spark job over its files.
+    """
+    root = layer_dir.rstrip("/")
+    known = {fn: tuple(h) for fn, h in (headers or {}).items()}
+    names = None if layers is None else [f"{n}.csv" for n in layers]
+    paths = [f"{root}/*.csv"] if names is None else [f"{root}/{fn}" for fn in names if fn not in known]
+    gone = [p for p in paths if names is not None and not _exists(spark, p)]
+    if gone:
+        raise ValueError(f"layer files not found: {gone}")
+    if paths:
+        known |= {fn: h for fn, (h, _) in discover_headers(spark, paths, names).items() if fn not in known}
+    return catalog_frame(spark, [entry_from_header(fn[: -len(".csv")], fn, known[fn]) for fn in sorted(known if names is None else names) if fn in known])

@@ -4,11 +4,11 @@ reshaped on the driver."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .layers import _exists
+
 GOALS_SCHEMA = (
     "order_color double, order_hierarchy double, order_calculate int, goal string, parent string, name string, "
     "name_flower string, description string, weight double, preindex_function string, postindex_function string"
@@ -71,4 +71,5 @@ def read_conf(spark: SparkSession, conf_dir: str) -> dict[str, DataFrame]:
         "pressure_categories": ("pressure_categories.csv", read_pressure_categories),
         "resilience_categories": ("resilience_categories.csv", read_resilience_categories),
     }
-    return {k: fn(spark, os.path.join(conf_dir, f)) for k, (f, fn) in readers.items() if os.path.exists(os.path.join(conf_dir, f))}
+    root = conf_dir.rstrip("/")
+    return {k: fn(spark, f"{root}/{f}") for k, (f, fn) in readers.items() if _exists(spark, f"{root}/{f}")}

@@ -11,7 +11,7 @@ shapes by name, instead of one plan branch per file.
 
 from __future__ import annotations
 
-import os
+import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import nan_to_null
+from ..session import scratch_path
 
 LONG_COLUMNS = ("layer", "id_num", "id_chr", "category", "year", "val_num", "val_chr")
 LONG_SCHEMA = "layer string, id_num int, id_chr string, category string, year int, val_num double, val_chr string"
@@ -107,20 +108,49 @@ class LayerStore:
         selection is a partition-pruned scan and the lineage to the source tables is cut."""
         spark = self.df.sparkSession
         if path is None:
-            from ..session import ensure_checkpoint_dir
-
-            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layer-store-{uuid.uuid4().hex}"
+            path = scratch_path(spark, "layer-store")
         self.write(path)
         return LayerStore.read(spark, path)
 
     @staticmethod
-    def snapshot(spark: SparkSession, path: str, build) -> LayerStore:
-        """Reuse a written store when present, else build it (a callable returning a LayerStore) and write it."""
-        if _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):  # a half-written store has none and is written anew
-            return LayerStore.read(spark, path)
-        store = build()
-        store.write(path)
-        return LayerStore.read(spark, path)
+    def snapshot(spark: SparkSession, path: str, build, inputs: Sequence[str] = (), catalog: DataFrame | None = None,
+                 keep_old: bool = False) -> LayerStore:
+        """The store that ``build`` (a callable returning a LayerStore) makes of ``inputs`` and ``catalog``, kept under
+        ``path`` and made anew when one of them changes.
+
+        A version is named by the fingerprint of its inputs: the catalog's rows and the path, size and time of every
+        input file. It is written beside the others under a name that no reader looks for and renamed when complete, so
+        a half-written version is never read and readers of an older one are not disturbed. Older versions are deleted
+        after the switch unless ``keep_old``.
+        """
+        root = path.rstrip("/")
+        version = f"{root}/version-{fingerprint(spark, inputs, catalog)}"
+        if not _exists(spark, f"{version}/_SUCCESS"):
+            draft = f"{root}/draft-{uuid.uuid4().hex}"
+            build().write(draft)
+            fs, at = _file_system(spark, root)
+            fs.delete(at(version), True)  # an unfinished copy, on stores that rename file by file
+            if not fs.rename(at(draft), at(version)) and not _exists(spark, f"{version}/_SUCCESS"):
+                raise OSError(f"{draft} could not become {version}")
+            if not keep_old:
+                for old in fs.listStatus(at(root)):
+                    name = old.getPath().getName()
+                    if name.startswith("version-") and not version.endswith(name):
+                        fs.delete(old.getPath(), True)
+        return LayerStore.read(spark, version)
+
+
+def fingerprint(spark: SparkSession, inputs: Sequence[str] = (), catalog: DataFrame | None = None) -> str:
+    """SHA-256 of the input files' paths, sizes and modification times and of the catalog's rows (both metadata)."""
+    found = []
+    for root in inputs:
+        fs, at = _file_system(spark, root)
+        files = fs.listFiles(at(root), True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()}\t{f.getLen()}\t{f.getModificationTime()}")
+    rows = [] if catalog is None else [repr(sorted(r.asDict().items())) for r in catalog.collect()]
+    return hashlib.sha256("\n".join([*sorted(found), "", *sorted(rows)]).encode()).hexdigest()
 
 
 def _decoded(path: Column) -> Column:
@@ -128,11 +158,16 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
+    """The store that holds ``path``, and a maker of its paths."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    at = jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at(path))
 
 
 # ---------------------------------------------------------------- catalog-driven CSV ingest
@@ -152,47 +187,86 @@ def read_csv_layer(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     )
 
 
-def _header(path: str) -> tuple[str, ...]:
-    """First line of a local/mounted CSV (universal newlines handle CR-only files)."""
-    with open(path, newline=None, encoding="utf-8-sig") as fh:
-        line = fh.readline().strip()
-    return tuple(c.strip().strip('"').lower() for c in line.split(","))
+def _layer_file(path: Column, names: Sequence[str] | None = None) -> Column:
+    """The layer file a scanned file belongs to: itself, or the folder of part files that holds it.
+
+    With ``names`` it is whichever of the two they have; without, the folder if the file is a part file.
+    """
+    steps = F.split(_decoded(path), "/")
+    own, folder = F.element_at(steps, -1), F.element_at(steps, -2)
+    return F.when(own.isin(list(names)) if names is not None else ~own.rlike("^part-"), own).otherwise(folder)
 
 
-def ingest_catalog(spark: SparkSession, catalog: DataFrame, layer_dir: str, headers: Mapping[str, Sequence[str]] | None = None) -> LayerStore:
-    """Read every catalog layer into the long store.
+def discover_headers(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str] | None = None) -> dict[str, tuple[tuple[str, ...], int]]:
+    """Header (lower case) and number of rows of every layer file among ``paths``, as one Spark job over any store.
 
-    Files are grouped by header shape; each group is one CSV scan whose rows are tagged with their file name and
-    joined (broadcast: the catalog is metadata) to the catalog to get layer name and field mapping. Column names are
-    lower-cased; catalog field names are matched lower-case. ``headers`` may supply a file's header when it cannot be
-    read locally.
+    The files are read as lines (CR, LF and CRLF ends alike; a part of a large file that begins inside it has no first
+    line), each task keeps the first line and the count of its files, so a row per file and task is shuffled and a row
+    per file comes to the driver. An empty file does not appear.
     """
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        _layer_file(F.col("_metadata.file_path"), names).alias("file"),
+        F.struct(_decoded(F.col("_metadata.file_path")), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.col("_metadata.file_path")).alias("begun"),
+        F.col("value"),
+    )
+    found = lines.where(F.trim("value") != "").groupBy("file").agg(
+        F.min_by("value", "at").alias("first"), F.count(F.lit(1)).alias("n"), F.count_distinct("begun").alias("parts")
+    )
+    split = lambda line: tuple(c.strip().strip('"').lower() for c in line.lstrip("\ufeff").split(","))
+    return {r["file"]: (split(r["first"]), r["n"] - r["parts"]) for r in found.collect()}
+
+
+def ingest_catalog(spark: SparkSession, catalog: DataFrame, layer_dir: str, headers: Mapping[str, Sequence[str]] | None = None,
+                   allow_empty: bool = False) -> LayerStore:
+    """Read every catalog layer into the long store, from any store that Spark reads.
+
+    A catalog row names a CSV file of ``layer_dir`` or a folder of part files there. Headers are found by one Spark job
+    (``discover_headers``), unless ``headers`` supplies them. Files are grouped by header shape; each group is one CSV
+    scan whose rows are tagged with their file and joined (broadcast: the catalog is metadata) to the catalog to get
+    layer name and field mapping. Column names and the catalog's field names are matched in lower case.
+
+    A catalog file that is missing, empty or has no rows stops the ingest (unless ``allow_empty``, for files without
+    rows), and so does a field that its header lacks.
+    """
+    root = layer_dir.rstrip("/")
     cat_rows = catalog.collect()  # metadata: one row per layer
+    names = [r["filename"] for r in cat_rows]
+    gone = [n for n in names if not _exists(spark, f"{root}/{n}")]
+    if gone:
+        raise ValueError(f"catalog files not found in {root}: {gone}")
+    known = {n: (tuple(c.lower() for c in h), None) for n, h in (headers or {}).items()}
+    wanted = [n for n in names if n not in known]
+    if wanted:
+        known |= discover_headers(spark, [f"{root}/{n}" for n in wanted], wanted)
+    empty = [n for n in names if n not in known or known[n][1] == 0]
+    if empty and not allow_empty:
+        raise ValueError(f"catalog files without rows: {empty}")
     shapes: dict[tuple[str, ...], list] = defaultdict(list)
     for r in cat_rows:
-        path = os.path.join(layer_dir, r["filename"])
-        h = tuple(c.lower() for c in headers[r["filename"]]) if headers and r["filename"] in headers else _header(path)
-        shapes[h].append(r)
+        if r["filename"] in known:
+            header = known[r["filename"]][0]
+            lacking = [r[f] for f in r.asDict() if f.startswith("fld_") and r[f] is not None and r[f].lower() not in header]
+            if lacking:
+                raise ValueError(f"{r['filename']} has no column {lacking}; its header is {header}")
+            shapes[header].append(r)
     parts = []
     for header, rows in shapes.items():
-        paths = [os.path.join(layer_dir, r["filename"]) for r in rows]
-        raw = read_csv_layer(spark, paths)
-        raw = raw.toDF(*[c.lower() for c in raw.columns]) if len(raw.columns) == len(header) else raw
-        raw = raw.withColumn("__file", F.element_at(F.split(_decoded(F.col("_metadata.file_path")), "/"), -1))
+        files = [r["filename"] for r in rows]
+        raw = read_csv_layer(spark, [f"{root}/{n}" for n in files])
+        raw = raw.toDF(*header) if len(raw.columns) == len(header) else raw
+        raw = raw.withColumn("__file", _layer_file(F.col("_metadata.file_path"), files))
         # fields differ per catalog row even within a shape, so pick each with a CASE over the file name
-        spec = spark.createDataFrame(
-            [(r["filename"], r["layer"]) for r in rows], "__file string, __layer string"
-        )
+        spec = spark.createDataFrame([(r["filename"], r["layer"]) for r in rows], "__file string, __layer string")
         tagged = raw.join(F.broadcast(spec), "__file")
 
-        def pick(field: str) -> Column:
+        def pick(field: str, rows=rows) -> Column:
             expr = None
             for r in rows:
-                name = r[field]
-                if name is None or name.lower() not in header:
-                    continue
-                cond = F.col("__file") == r["filename"]
-                expr = F.when(cond, F.col(f"`{name.lower()}`")) if expr is None else expr.when(cond, F.col(f"`{name.lower()}`"))
+                if r[field] is not None:
+                    cond = F.col("__file") == r["filename"]
+                    value = F.col(f"`{r[field].lower()}`")
+                    expr = F.when(cond, value) if expr is None else expr.when(cond, value)
             return expr if expr is not None else F.lit(None)
 
         parts.append(
