@@ -34,6 +34,9 @@ LANG_DOCS, TRAIN_WORDS, ROUNDS = 600, 20_000, 3
 WORD_BYTES = 48
 #: Probability of a byte that no piece covers, and the count every piece starts with.
 UNKNOWN, PRIOR = 1e-7, 0.02
+#: Probabilities of beginnings are held times LIFT to the power of their bytes, so that none of a word's bytes can bring
+#: them to zero or beyond the largest number: (1e-7 * LIFT)^51 to LIFT^51 for the WORD_BYTES + 3 bytes of a word.
+LIFT = 1e3
 _AT_ONCE = 8 << 20
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -132,7 +135,7 @@ def segments(words: pa.Array, lookup: Lookup) -> Segments:
 
 
 def forward(found: Segments, p: np.ndarray) -> np.ndarray:
-    """Probabilities of all beginnings of the words: (words, ends, languages).
+    """Probabilities of all beginnings of the words, times LIFT to the power of their bytes: (words, ends, languages).
 
     ``p``: (pieces, languages). A byte that no piece covers is passed at the fixed probability.
     """
@@ -140,14 +143,14 @@ def forward(found: Segments, p: np.ndarray) -> np.ndarray:
     a = np.zeros((n, wide + 1, langs))
     a[:, 0] = 1
     for end in range(1, wide + 1):
-        a[:, end] = a[:, end - 1] * UNKNOWN
+        a[:, end] = a[:, end - 1] * (UNKNOWN * LIFT)
         for rows, begin, piece in found.by_end[end]:
-            a[rows, end] += a[rows, begin] * p[piece]
+            a[rows, end] += a[rows, begin] * (p[piece] * LIFT ** (end - begin))
     return a
 
 
 def word_scores(words: pa.Array, lookup: Lookup, p: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language; words of at most WORD_BYTES bytes, so no product vanishes."""
+    """Log-probability of each word in each language."""
     out = np.zeros((len(words), p.shape[1]))
     length = pc.binary_length(words).to_numpy(zero_copy_only=False)
     for low, high in ((1, 4), (5, 8), (9, 12), (13, 16), (17, 24), (25, WORD_BYTES + 8)):
@@ -156,7 +159,7 @@ def word_scores(words: pa.Array, lookup: Lookup, p: np.ndarray) -> np.ndarray:
             part = some[at : at + 20_000]
             found = segments(words.take(pa.array(part)), lookup)
             a = forward(found, p)
-            out[part] = np.log(a[np.arange(len(part)), found.length])
+            out[part] = np.log(a[np.arange(len(part)), found.length]) - np.log(LIFT) * found.length[:, None]
     return out
 
 
@@ -171,13 +174,13 @@ def expected(words: pa.Array, counts: np.ndarray, lookup: Lookup, p: np.ndarray)
         b = np.zeros_like(a)
         b[rows, found.length] = 1
         for end in range(wide, 0, -1):
-            b[:, end - 1] += b[:, end] * UNKNOWN
+            b[:, end - 1] += b[:, end] * (UNKNOWN * LIFT)
             for r, begin, piece in found.by_end[end]:
-                b[r, begin] += b[r, end] * p[piece, 0]
+                b[r, begin] += b[r, end] * (p[piece, 0] * LIFT ** (end - begin))
         whole = n / a[rows, found.length]
         for end in range(1, wide + 1):
             for r, begin, piece in found.by_end[end]:
-                np.add.at(use, piece, a[r, begin] * p[piece, 0] * b[r, end] * whole[r])
+                np.add.at(use, piece, a[r, begin] * (p[piece, 0] * LIFT ** (end - begin)) * b[r, end] * whole[r])
     return use
 
 
