@@ -73,15 +73,13 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def candidates(text: Column) -> dict[str, Column]:
     look = {"near_email": text.rlike("@|[(\\[](?:at|AT)[)\\]]"), "near_number": text.rlike("[0-9][0-9\\x20()./-]{5}"), "near_address": text.rlike("[0-9A-Fa-f][.:]{1,2}[0-9A-Fa-f]")}
-    return {k: S.matches(text, p, look[k]) for k, p in LOOSE.items()}
+    return {k: S.matches(text, p, look[k], around=AROUND) for k, p in LOOSE.items()}
 
 
-def features(text: Column, span: Column, kind: int) -> dict[str, Column]:
+def features(span: Column, kind: int) -> dict[str, Column]:
     """Format and context of a candidate, as numbers."""
-    found = span["found"]
+    found, before, after = span["found"], span["before"], span["after"]
     count = lambda p: F.length(F.regexp_replace(found, f"[^{p}]", ""))
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - AROUND), F.least(F.lit(AROUND), span["start"]))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     out = {
         "kind": F.lit(float(kind)), "length": F.length(found), "digits": count("0-9"), "letters": count("A-Za-z"), "dots": count("."), "dashes": count("\\-"),
@@ -92,15 +90,14 @@ def features(text: Column, span: Column, kind: int) -> dict[str, Column]:
     return {k: v.cast("double") for k, v in out.items()} | {k: yes(before.rlike(p)) for k, p in CONTEXTS.items()}
 
 
-def _featured(text: Column, found: Column, n: int) -> Column:
+def _featured(found: Column, n: int) -> Column:
     fields = lambda s: [s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")]
-    return F.transform(found, lambda s: F.struct(F.lit(n).alias("which"), *fields(s), *[v.alias(k) for k, v in features(text, s, n).items()]))
+    return F.transform(found, lambda s: F.struct(F.lit(n).alias("which"), *fields(s), *[v.alias(k) for k, v in features(s, n).items()]))
 
 
-def _proposed(text: Column) -> Column:
+def _proposed(found: dict[str, Column]) -> Column:
     """All candidates with their features."""
-    with_kind = [_featured(text, found, n) for n, found in enumerate(candidates(text).values())]
-    return reduce(lambda a, b: F.concat(a, b), with_kind)
+    return reduce(lambda a, b: F.concat(a, b), [_featured(spans, n) for n, spans in enumerate(found.values())])
 
 
 def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
@@ -110,9 +107,12 @@ def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
     rows = C.materialize(rows, "pii-texts")  # else the optimizer moves the scan below the join, to all texts
-    rows = rows.select("doc_id", F.concat(*base_spans(F.col("text")).values()).alias("base"), F.explode(_proposed(F.col("text"))).alias("c"))
-    like = F.exists("base", lambda b: F.regexp_replace(b["found"], "[\\x20()]", "") == F.regexp_replace(F.col("c.found"), "[\\x20()]", ""))
-    out = rows.select(F.when(like, 1.0).otherwise(0.0).alias("label"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"), "c.*")
+    plain = lambda found: F.regexp_replace(found, "[\\x20()]", "")
+    found = rows.select("doc_id", F.explode(F.concat(*base_spans(F.col("text")).values())).alias("b"))
+    found = found.select("doc_id", plain(F.col("b.found")).alias("plain"), F.lit(1.0).alias("label")).distinct()
+    rows = rows.select("doc_id", F.explode(_proposed(candidates(F.col("text")))).alias("c"))
+    rows = rows.withColumn("plain", plain(F.col("c.found"))).join(found, ["doc_id", "plain"], "left")
+    out = rows.select(F.coalesce("label", F.lit(0.0)).alias("label"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"), "c.*")
     return C.materialize(out.orderBy(F.xxhash64("found", "start"), "found", "start").limit(SAMPLE_ROWS).drop("start", "end", "found"), "pii-candidates")
 
 
@@ -171,7 +171,8 @@ def scan(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     base = F.concat(*BASE)
     if trees is None:
         return rows.select("doc_id", *BASE, *[F.array().cast(S.SPAN).alias(k) for k in LOOSE])
-    rows = rows.select("doc_id", *BASE, F.filter(_proposed(F.col("text")), lambda c: ~S.overlaps(c, base)).alias("proposed"))
+    rows = rows.select("doc_id", *BASE, *[S.apart(c, base).alias(k) for k, c in candidates(F.col("text")).items()])
+    rows = rows.select("doc_id", *BASE, _proposed({k: F.col(k) for k in LOOSE}).alias("proposed"))
     chosen = rows.select("doc_id", *BASE, F.filter("proposed", trees.selects).alias("chosen"))
     return chosen.select("doc_id", *BASE, *[_of(n).alias(k) for n, k in enumerate(LOOSE)])
 

@@ -2,8 +2,8 @@
 
 The patterns (assignments, access keys, hexadecimal runs) give the base spans. Besides, every long run of key characters
 is scored by two first-order Markov models over single characters, one of random strings and one of ordinary
-identifiers; runs whose log-likelihood ratio exceeds MIN_RATIO become spans of kind ``markov``, unless they touch a base
-span, which then stands.
+identifiers; runs whose log-likelihood ratio exceeds MIN_RATIO become spans of kind ``markov``. Base spans always stand: of
+a run that touches some, the parts outside them are scored, each by itself, if they have MIN_LENGTH characters.
 
 The models are trained from labelled samples: random strings are those that the patterns find in SAMPLE_DOCS documents
 (those with the smallest hash of their ids) and SAMPLE_DOCS random strings in three alphabets; ordinary identifiers are
@@ -98,9 +98,14 @@ def scan(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     text = C.text_or_empty()
     rows = docs.select("doc_id", text.alias("text"), *[c.alias(k) for k, c in base_spans(text).items()])
     runs = S.matches(F.col("text"), RUN, F.col("text").rlike(f"[{_KEY}]{{{MIN_LENGTH}}}"))
-    base = F.concat("assign", "access", "hex")
-    markov = F.filter(runs, lambda s: ~S.overlaps(s, base) & (ratio(s["found"], table) >= MIN_RATIO))
-    return rows.select("doc_id", "assign", "access", "hex", markov.alias("markov"))
+    parts = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), s["start"].alias("of")))
+    for kind in ("assign", "access", "hex"):
+        parts = S.outside(parts, F.col(kind))
+    long = F.filter(parts, lambda s: s["end"] - s["start"] >= MIN_LENGTH)
+    taken = lambda s: F.substring(s["found"], s["start"] - s["of"] + 1, s["end"] - s["start"])
+    spans = F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), taken(s).alias("found"), taken(s).alias("part")))
+    rows = rows.select("doc_id", "assign", "access", "hex", spans.alias("runs"))
+    return rows.select("doc_id", "assign", "access", "hex", F.filter("runs", lambda s: ratio(s["found"], table) >= MIN_RATIO).alias("markov"))
 
 
 def report(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
