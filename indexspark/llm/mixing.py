@@ -3,7 +3,7 @@
 Each source gets a target in words: the sources, in code point order with null last, weigh 5, 2, 1, 5, ... and share a
 budget; a target stops at a multiple of its source's size and the excess is shared anew by weight. A document then gets
 target / source size copies on average: the whole part for certain, the fraction by a Pareto sample of fixed size. Its
-rank is its random odds u/(1-u), u a hash of the id, over its inclusion odds p/(1-p), p the fraction. The lowest ranks
+rank is its random odds u/(1-u), u a hash of id and text, over its inclusion odds p/(1-p), p the fraction. The lowest ranks
 are taken up to the words that are left to the target; a second round fills the gap that the first document beyond it
 leaves with later documents that fit.
 
@@ -11,7 +11,7 @@ No task ever sorts a source. The rank at which a source's quota is reached is fo
 intervals, then one of 4,096 parts of the interval met, then exactly among the few ranks of that part.
 
 Defined cases: a null text has size 0 and is never more than size 0 in the mix; null is a source of its own; documents
-of equal rank (rows repeated with the same id) are taken together or not at all; an empty table gives an empty result.
+of equal rank (rows repeated with id and text) are taken together or not at all; an empty table gives an empty result.
 Only doc_id, text and source are read, whatever other columns there are.
 """
 
@@ -34,8 +34,8 @@ def word_count(text: Column) -> Column:
 
 
 def uniform() -> Column:
-    """A number in (0, 1) from the document's id, the same at each run."""
-    seeded = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A number in (0, 1) from the document's id and text, the same at each run."""
+    seeded = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(C.text_or_empty().cast("binary")))
     return (F.conv(F.substring(F.md5(seeded.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -159,6 +159,6 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with their columns and mix_copies (an older column of that name gives way)."""
     made = plan(C.materialize(sized(docs), "sizes"))
     names = [c for c in docs.columns if c != "mix_copies"]
-    rows = sized(docs, F.struct(*[F.col(c) for c in names]).alias("row"))
+    rows = sized(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     out = copies(rows, made).where("copies > 0")
     return out.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("copies").alias("mix_copies"))
