@@ -101,11 +101,24 @@ def attach(df: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataF
     return marked.where("__hot").drop("__hot").join(hot, key, "left").select(rest.columns).unionAll(rest)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column (in either case) has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def same_row(docs: DataFrame, id_: str, hash_: str) -> Column:
+    """Whether a row of ``docs`` is the one named by an id (null matches null) and a text's hash."""
+    return docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(hash_))
+
+
 def keep_other_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``gone`` (materialised: doc_id, text_hash) names. Null ids match null ids."""
-    gone = small(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
-    match = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
-    return docs.join(gone, match, "left_anti")
+    id_, hash_ = (free_name(docs.columns, n) for n in ("__id", "__hash"))
+    gone = small(gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)))
+    return docs.join(gone, same_row(docs, id_, hash_), "left_anti")
 
 
 def text_hash() -> Column:

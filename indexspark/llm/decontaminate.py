@@ -92,12 +92,12 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFra
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``docs`` with the hit words, and the separators before them, cut out of their texts."""
-    hit = scan(docs, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    id_, hash_, spans_ = (C.free_name(docs.columns, n) for n in ("__id", "__hash", "__spans"))
+    hit = scan(docs, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_))
     hit = C.materialize(hit, "spans")
     gap = WORD.replace("[^", "[").rstrip("+")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{gap}*{WORD}"), F.lit(0))
-    left = F.filter(pieces, lambda _, i: ~F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    left = F.filter(pieces, lambda _, i: ~F.exists(spans_, lambda s: (s["start"] <= i) & (i < s["end"])))
     cut = F.concat(F.array_join(left, ""), F.regexp_extract("text", f"{gap}*$", 0))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
-    joined = docs.join(hit, same, "left")
-    return joined.select(*[F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    joined = docs.join(hit, C.same_row(docs, id_, hash_), "left")
+    return joined.select(*[F.when(F.col(spans_).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])

@@ -56,7 +56,7 @@ def dedup(docs: DataFrame, share: float = C.HEAVY_SHARE) -> DataFrame:
     if again.isEmpty():
         return left
     names = docs.columns
-    same = left["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(left["text"], F.lit(""))) == F.col("__hash"))
-    twice = left.join(C.small(again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))), same)
-    one = twice.groupBy("__id", "__hash").agg(F.max(F.struct(*[F.col(c) for c in names])).alias("__row"))
-    return C.keep_other_rows(left, again).unionAll(one.select("__row.*").select(names))
+    id_, hash_ = (C.free_name(names, n) for n in ("__id", "__hash"))
+    twice = left.join(C.small(again.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))), C.same_row(left, id_, hash_))
+    one = twice.groupBy(id_, hash_).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in names])).alias("row"))
+    return C.keep_other_rows(left, again).unionAll(one.select([F.col("row").getField(c).alias(c) for c in names]))

@@ -35,8 +35,8 @@ b{next} AS (SELECT p, e, coalesce(u.c, b.c) AS c FROM b{n} b LEFT JOIN u{n} u US
 ORACLES = {
     "op3_warc": """
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS digest,
              max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
 """,
@@ -48,7 +48,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     "op7_mixing": r"""
 WITH sizes AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
