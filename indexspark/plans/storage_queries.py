@@ -1,5 +1,6 @@
 """Ingest and storage queries (S1, S2, S7-S11): driver tables written as CSV layers and read back through a catalog, a
-layer snapshot that follows its inputs, scores of several scenarios with replaced slices, and the reports of a run."""
+layer snapshot that follows its inputs, scores of several scenarios with replaced slices, the reports of a run, and goals
+scheduled by what they read."""
 
 from __future__ import annotations
 
@@ -10,11 +11,13 @@ from ..session import scratch_path, stored
 from ..sources import scores as SC
 from ..sources.layers import LayerStore, catalog_frame, ingest_catalog
 from ..sources.tables import Tables
+from . import goals as G
 from . import metadata as M
 from .goal_oracles import REFPOINTS_SQL
-from .goal_queries import HAB_CONTRIB_SQL, REFERENCE_GOALS, store_for
+from .goal_queries import AO_SQL, CW_SQL, HAB_CONTRIB_SQL, REFERENCE_GOALS, SPP_SQL, store_for
 from .registry import register
 from .scenario import run_leaf_goals
+from .schedule import GoalJob, leaf_jobs, run_goals
 from .store_queries import LONG_SQL, PATCH_SQL, _long_store, _patch_frames
 
 # the catalog of the CSV layers: each file with a header of its own, field names in another case than the files'
@@ -108,3 +111,25 @@ def q_stored_reference_points(spark, sf):
 @register("stored_diagnostics", HAB_CONTRIB_SQL)
 def q_stored_diagnostics(spark, sf):
     return SC.read_report(spark, _reports(spark, sf, "cs_hab_contributions"), "cs_hab_contributions", "proxy")
+
+
+# ---------------------------------------------------------------- goals scheduled by what they read
+
+
+def _mean_status(layers, scores, params) -> G.GoalResult:
+    """A user's goal: the mean status of the goals it reads."""
+    status = scores.where("dimension = 'status'").groupBy("region_id").agg(F.avg("score").alias("score"))
+    return G.GoalResult(G.scores_frame(status, "USR", "status"), G.refpoint(layers.df.sparkSession, "USR", "mean of CW, SPP and AO"))
+
+
+@register(
+    "scheduled_goals",
+    f"""WITH s AS (SELECT * FROM ({CW_SQL}) UNION ALL SELECT * FROM ({SPP_SQL}) UNION ALL SELECT * FROM ({AO_SQL})),
+u AS (SELECT region_id, 'USR' AS goal, 'status' AS dimension, avg(score) AS score FROM s WHERE dimension = 'status' GROUP BY 1)
+SELECT 'proxy' AS scenario, goal, dimension, region_id, round(score, 4) AS score FROM (SELECT region_id, goal, dimension, score FROM s UNION ALL SELECT * FROM u)""",
+)
+def q_scheduled_goals(spark, sf):
+    reads = ("CW", "SPP", "AO")
+    jobs = leaf_jobs() | {"USR": GoalJob("USR", _mean_status, reads=reads)}
+    out = run_goals(store_for(spark, sf, reads), scratch_path(spark, "scheduled"), "proxy", M.PROXY_PARAMS, ["USR"], jobs)
+    return out.withColumn("score", F.round("score", 4))

@@ -54,6 +54,12 @@ def write_scores(scores: DataFrame, path: str, scenario: str, goals: Iterable[st
             fs.delete(at(_partition(path, scenario=scenario, goal=goal)), True)
 
 
+def write_goal(scores: DataFrame, path: str, scenario: str, goal: str) -> None:
+    """Replace the slice of one goal. Its folder is the only one written, so goals can be written side by side."""
+    rows = scores.where(F.col("goal") == goal).select(F.col("region_id").cast("int"), "dimension", F.col("score").cast("double"))
+    rows.write.mode("overwrite").parquet(_partition(path, scenario=scenario, goal=goal))
+
+
 def read_scores(spark: SparkSession, path: str, scenario: str | None = None, goals: Iterable[str] | None = None) -> DataFrame:
     """The stored scores, of one scenario or all; only the partitions asked for are read."""
     df = spark.read.schema(SCORES).parquet(path) if _exists(spark, path) else spark.createDataFrame([], SCORES)
