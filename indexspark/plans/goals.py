@@ -367,7 +367,7 @@ def fis(layers: LayerStore, status_year: int) -> GoalResult:
         .withColumn("score", S.piecewise_score(F.col("bmsy") * F.col("penalty"), **score_args))
     )
     unassessed = double_membership_exclude(c, assessed, [("year", "year"), ("stock_id", "stock_id")])
-    b_summary = b.groupBy("fao_id", "year").agg(S.quantile("bmsy", 0.5).alias("Medianb_bmsy"), F.min("bmsy").alias("Minb_bmsy"))
+    b_summary = b.groupBy("fao_id", "year").agg(S.quantile("bmsy", 0.5).alias("Medianb_bmsy"))
     unassessed = unassessed.join(b_summary, ["fao_id", "year"], "left").withColumn(
         "TaxonPenaltyCode", F.substring(S.format_g("TaxonKey"), 1, 1).try_cast("double")
     )
