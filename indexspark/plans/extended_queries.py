@@ -3,8 +3,6 @@ Index, global region) on the proxy matrices, with an SQL oracle that composes th
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..sources.proxy import proxy_store
 from ..sources.tables import Tables
 from . import extension_queries as XQ
@@ -16,15 +14,12 @@ from .scenario import ExtensionInputs, run_scenario
 
 
 def _extension_inputs(spark, store) -> ExtensionInputs:
-    vals = store.select_many(XQ.VALUE_LAYERS).select(F.col("id_num").alias("region_id"), "layer", F.col("val_num").alias("value"))
     return ExtensionInputs(
-        pressures_matrix=spark.createDataFrame(XQ.PRESSURE_MATRIX, "goal string, layer string, weight double"),
-        pressure_categories=spark.createDataFrame(XQ.PRESSURE_CATEGORIES, "layer string, category string, subcategory string"),
-        resilience_matrix=spark.createDataFrame(XQ.RESILIENCE_MATRIX, "goal string, layer string"),
-        resilience_categories=spark.createDataFrame(XQ.RESILIENCE_CATEGORIES, "layer string, category_type string, weight double"),
-        layer_values=vals,
+        **XQ.matrices(spark),
+        layer_values=XQ.layer_values(store),
         areas=store.narrow("rgn_area", id_num="region_id", val_num="area"),
         goals=M.goals_frame(spark),
+        element_weights=XQ.proxy_weights(store),
     )
 
 

@@ -72,13 +72,14 @@ def _elements(matrix: DataFrame) -> DataFrame:
 
 def _over_elements(parts: DataFrame, dimension: str, weights: DataFrame | None) -> DataFrame:
     """Goal values from element values. ``weights(goal, element, region_id, weight)`` says what an element contributes
-    in a region: in a goal it names, elements without a weight there count nothing; elsewhere all count alike."""
+    in a region: in a goal it names, elements without a weight there count nothing; elsewhere all count alike, as does
+    what the matrix says of a goal without naming an element."""
     w = F.lit(1.0)
     if weights is not None:
         keys = ["goal", "element", "region_id"]
         weighted = weights.select("goal").distinct().withColumn("__weighted", F.lit(True))
         parts = parts.join(weights.groupBy(*keys).agg(F.sum("weight").alias("__w")), keys, "left").join(weighted, "goal", "left")
-        w = F.when(F.col("__weighted"), F.coalesce("__w", F.lit(0.0))).otherwise(1.0)
+        w = F.when(F.col("__weighted") & (F.col("element") != ""), F.coalesce("__w", F.lit(0.0))).otherwise(1.0)
     g = parts.groupBy("goal", "region_id").agg(S.weighted_mean("value", w).alias("value"))
     return g.select("region_id", "goal", F.lit(dimension).alias("dimension"), (F.col("value") * 100).alias("score"))
 

@@ -147,8 +147,8 @@ def cs(layers: LayerStore) -> GoalResult:
     return GoalResult(scores, rp, {"cs_hab_contributions": contrib})
 
 
-def cp(layers: LayerStore) -> GoalResult:
-    extent, health, trend = _habitat_layers(layers)
+def protected_extent(extent: DataFrame) -> DataFrame:
+    """Extents as coastal protection counts them: mangroves are those inland and offshore, the plain rows go."""
     parts = ["mangrove_inland1km", "mangrove_offshore"]
     mangrove = (
         extent.where(F.col("habitat").isin(parts))
@@ -156,7 +156,12 @@ def cp(layers: LayerStore) -> GoalResult:
         .agg(S.sum0("km2").alias("km2"))
         .withColumn("habitat", F.lit("mangrove"))
     )
-    extent = extent.where(S.not_in_safe("habitat", ["mangrove", *parts])).unionByName(mangrove)
+    return extent.where(S.not_in_safe("habitat", ["mangrove", *parts])).unionByName(mangrove)
+
+
+def cp(layers: LayerStore) -> GoalResult:
+    extent, health, trend = _habitat_layers(layers)
+    extent = protected_extent(extent)
     d = J.full_join_chain([extent, health, trend], ["rgn_id", "habitat"])
     scores, contrib = _ranked_habitat_scores(d, "CP", CP_RANKS)
     rp = refpoint(_spark(layers), "CP", "Health/condition variable based on current vs. historic extent", "varies for each region/habitat")
