@@ -1,14 +1,18 @@
 """Personal data: high-recall generators, boosted trees over format and context, calibrated thresholds.
 
 Base spans come from fixed patterns and tests (e-mail, IP address, card with Luhn check, phone). Besides, three loose
-generators propose overlapping candidates (anything round an at sign, runs of digits and their separators, dotted or
-coloured groups). Gradient-boosted trees score each candidate by its format and its context; per generator a threshold,
-calibrated on documents that the trees have not seen, selects what is added. Base spans always stay; a candidate that
-touches one is not added.
-
-The trees learn from SAMPLE_DOCS documents (those with the smallest hash of their ids), at most SAMPLE_ROWS candidates,
-labelled by whether they coincide with a base span up to blanks and brackets. The fitted trees are then written as CASE
-expressions, so that all scoring is part of one pass over the texts in Spark expressions.
+generators propose overlapping candidates (names and hosts round an at sign, plain or written out; runs of digits and
+their separators; dotted or coloured groups). Gradient-boosted trees score each candidate by its format and its context;
+per generator a threshold, calibrated on documents that the trees have not seen, selects what is added. Base spans always
+stay; a candidate that touches one is not added.
+
+No labelled personal data is given, so the labels are made from SAMPLE_DOCS documents (those with the smallest hash of
+their ids): each base match is written anew, where it stood and between blanks, as people write it past the patterns (at and dot spelt out,
+national numbers, cards in other separators, addresses in hexadecimal groups), which are the positives, and its digits as
+dates, versions, amounts, ranges, book numbers, times, plain numbers and cards that fail the Luhn test, which are
+negatives. So are the sample's own candidates apart from base spans. At most SAMPLE_ROWS candidates are kept, those with
+the smallest hash. The fitted trees are written as CASE expressions, so that all scoring is part of one pass over the
+texts in Spark expressions.
 
 Defined cases: a null text is empty and has no spans; rows repeated are scanned each; an empty table, or a sample
 without one of the labels, adds nothing to the base; only doc_id and text are read, whatever other columns there are.
@@ -27,7 +31,7 @@ from . import common as C
 from . import spans as S
 
 SAMPLE_DOCS, SAMPLE_ROWS = 6000, 20_000
-TREES, DEPTH, STEP = 10, 3, 0.3
+TREES, DEPTH, STEP, LEAF = 14, 4, 0.3, 20  # a leaf of few rows would be a form that the corpus holds unlabelled
 PRECISION, LEAST_SCORE = 0.95, 0.6
 AROUND = 24
 _LOCAL = "A-Za-z0-9._%+-"
@@ -36,9 +40,10 @@ IP = "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_HOST = "[\\p{L}\\p{N}-]{1,63}+"
 #: Loose generators by name.
 LOOSE = {
-    "near_email": "[^\\s@<>,;]{1,64}+(?:@|\\x20?[(\\[](?:at|AT)[)\\]]\\x20?)[^\\s@<>,;]{1,255}+",
+    "near_email": f"[^\\s@<>,;()\\[\\]]{{1,64}}+(?:@|\\x20?[(\\[](?:at|AT)[)\\]]\\x20?){_HOST}(?:(?:\\.|\\x20?[(\\[](?:dot|DOT)[)\\]]\\x20?){_HOST})*+",
     "near_number": "[+(]?[0-9][0-9\\x20()./-]{5,40}[0-9]",
     "near_address": "[0-9A-Fa-f]{1,4}(?:[.:]{1,2}[0-9A-Fa-f]{1,4}){3,7}+",
 }
@@ -61,13 +66,13 @@ def luhn(found: Column) -> Column:
     return S.total(worth) % 10 == 0
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def base_spans(text: Column, around: int = 0) -> dict[str, Column]:
     n = lambda s: F.length(_digits(s["found"]))
     return {
-        "email": S.matches(text, EMAIL, text.contains("@")),
-        "ip": F.filter(S.matches(text, IP, text.rlike("[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]")), lambda s: s["found"].rlike(f"^{_BYTE}(?:\\.{_BYTE}){{3}}$")),
-        "card": F.filter(S.matches(text, CARD, text.rlike("[0-9](?:[\\x20-]?[0-9]){13}")), lambda s: n(s).between(14, 19) & F.when(n(s).between(14, 19), luhn(s["found"])).otherwise(False)),
-        "phone": F.filter(S.matches(text, PHONE, text.contains("+")), lambda s: n(s).between(10, 15)),
+        "email": S.matches(text, EMAIL, text.contains("@"), around=around),
+        "ip": F.filter(S.matches(text, IP, text.rlike("[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]"), around=around), lambda s: s["found"].rlike(f"^{_BYTE}(?:\\.{_BYTE}){{3}}$")),
+        "card": F.filter(S.matches(text, CARD, text.rlike("[0-9](?:[\\x20-]?[0-9]){13}"), around=around), lambda s: n(s).between(14, 19) & F.when(n(s).between(14, 19), luhn(s["found"])).otherwise(False)),
+        "phone": F.filter(S.matches(text, PHONE, text.contains("+"), around=around), lambda s: n(s).between(10, 15)),
     }
 
 
@@ -85,6 +90,8 @@ def features(span: Column, kind: int) -> dict[str, Column]:
         "kind": F.lit(float(kind)), "length": F.length(found), "digits": count("0-9"), "letters": count("A-Za-z"), "dots": count("."), "dashes": count("\\-"),
         "blanks": count("\\x20"), "brackets": count("()"), "ats": count("@"), "colons": count(":"), "plus": yes(found.startswith("+")),
         "groups": F.size(F.split(found, "[^0-9]+")), "domain": yes(found.rlike("@[A-Za-z0-9-]+\\.[A-Za-z]{2,}$")), "luhn": yes(luhn(found)),
+        "slashes": count("/"), "first_group": F.length(F.regexp_extract(found, "[0-9]+", 0)), "last_group": F.length(F.regexp_extract(found, "([0-9]+)[^0-9]*$", 1)),
+        "spelt_at": yes(found.rlike("[(\\[](?:at|AT)[)\\]]")), "host_letters": F.length(F.regexp_extract(found, "([A-Za-z]*)$", 1)),
         "joined_before": yes(F.substring(before, -1, 1).rlike("[A-Za-z0-9]")), "joined_after": yes(after.rlike("[A-Za-z0-9]")),
     }
     return {k: v.cast("double") for k, v in out.items()} | {k: yes(before.rlike(p)) for k, p in CONTEXTS.items()}
@@ -100,6 +107,69 @@ def _proposed(found: dict[str, Column]) -> Column:
     return reduce(lambda a, b: F.concat(a, b), [_featured(spans, n) for n, spans in enumerate(found.values())])
 
 
+def _email_forms(found: Column) -> tuple[list[Column], list[Column]]:
+    like, unlike = [], []
+    plain = F.regexp_replace(found, "[0-9]", "")
+    short = F.regexp_replace(plain, "^([^.@]+)[^@]*@(?:.*\\.)?([^.@]+\\.[^.@]+)$", "$1@$2")
+    for address in (found, plain, short):  # else digits and long hosts, where all have them, are what it learns
+        name, host = F.substring_index(address, "@", 1), F.substring_index(address, "@", -1)
+        like += [F.concat(name, F.lit(at), host if dot == "." else F.regexp_replace(host, "\\.", dot))
+                 for at, dot in (("(at)", "."), (" [at] ", "."), ("[at]", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "))]
+        unlike += [F.concat(name, F.lit("@"), F.substring_index(host, ".", 1)), F.concat(name, F.lit(" (at) 12")),  # short and long ones
+                   F.concat(name, F.lit("@"), F.translate(host, ".", "-")), F.concat(name, name, F.lit("(at)2024.12.31.1200"))]
+    return like, unlike
+
+
+def _number_forms(d: Column) -> list[Column]:
+    """Numbers of ten digits or more as what is not personal."""
+    at = lambda i, n: F.substring(d, i, n)
+    as_ = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    y, m, day = at(1, 2), as_("0", at(3, 1)), as_("1", at(4, 1))
+    return [
+        as_("20", y, "-", m, "-", day), as_(day, ".", m, ".20", y), as_(m, "/", day, "/20", y), as_("20", y, "-20", at(5, 2)),
+        as_("20", y, "-", m, "-", day, " ", at(5, 2)), as_(at(1, 1), ".", at(2, 2), ".", at(4, 4)), as_(at(1, 2), ".", at(3, 3), ".", at(6, 3)),
+        as_(at(1, 6), ".", at(7, 2)), at(1, 8), at(1, 10), as_("978-", at(1, 1), "-", at(2, 2), "-", at(4, 6), "-", at(10, 1)),
+    ]
+
+
+def _phone_forms(found: Column) -> tuple[list[Column], list[Column]]:
+    d = F.substring(_digits(found), -10, 10)
+    at = lambda i, n: F.substring(d, i, n)
+    national = [F.concat(F.lit(a), at(1, 3), F.lit(b), at(4, 3), F.lit(c), at(7, 4)) for a, b, c in (("(", ") ", "-"), ("", " ", " "), ("", "-", "-"), ("", ".", "."))]
+    area = F.concat(F.lit("(0"), at(1, 2), F.lit(") "), at(3, 4), F.lit("-"), at(7, 4))
+    return [*national, area, F.concat(F.lit("0"), at(1, 3), F.lit("/"), at(4, 7))], _number_forms(d)
+
+
+def _card_forms(found: Column) -> tuple[list[Column], list[Column]]:
+    d = _digits(found)
+    fours = lambda d, by: F.regexp_replace(d, "([0-9]{4})(?=[0-9])", f"$1{by}")
+    other = F.concat(F.regexp_replace(d, "[0-9]$", ""), ((F.substring(d, -1, 1).cast("int") + 1) % 10).cast("string"))
+    return [fours(d, "/"), fours(d, "."), fours(d, " / ")], [fours(other, "/"), fours(other, "."), *_number_forms(d)]
+
+
+def _ip_forms(found: Column) -> tuple[list[Column], list[Column]]:
+    part = [F.element_at(F.split(found, "\\."), i + 1).cast("int") for i in range(4)]
+    pair = [F.lower(F.concat(*[F.lpad(F.hex(p), 2, "0") for p in two])) for two in (part[:2], part[2:])]
+    sixty = [F.lpad((p % 60).cast("string"), 2, "0") for p in part]
+    spelt = [F.concat(F.lit(a), pair[0], F.lit(":"), pair[1]) for a in ("2001:db8::", "fe80::1:", "2001:db8:0:0:", "2001:db8:85a3:8d3:1319:8a2e:")]
+    return spelt, [F.concat_ws(":", F.lit("12"), *sixty[1:]), F.concat_ws(".", (part[0] % 100 + 300).cast("string"), *[p.cast("string") for p in part[1:]])]
+
+
+_REWRITE = {"email": _email_forms, "ip": _ip_forms, "card": _card_forms, "phone": _phone_forms}
+
+
+def _pieces(spans: Column, kind: str) -> Column:
+    """A base match's forms, labelled, each with what stood round the match and between blanks."""
+
+    def one(s: Column) -> Column:
+        like, unlike = _REWRITE[kind](s["found"])
+        forms = [F.struct(before.alias("before"), f.alias("form"), after.alias("after"), F.lit(label).alias("label"))
+                 for before, after in ((s["before"], s["after"]), (F.lit(" "), F.lit(" "))) for label, fs in ((1.0, like), (0.0, unlike)) for f in fs]
+        return F.array(*forms)
+
+    return F.flatten(F.transform(spans, one))
+
+
 def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """which, label, fold and the features of the training candidates."""
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -107,13 +177,18 @@ def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
     rows = C.materialize(rows, "pii-texts")  # else the optimizer moves the scan below the join, to all texts
+    rows = rows.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text"), AROUND).items()])
+    made = rows.select("doc_id", F.explode(F.concat(*[_pieces(F.col(k), k) for k in BASE])).alias("p")).select("doc_id", "p.*")
+    made = C.materialize(made, "pii-forms").withColumn("text", F.concat("before", "form", "after"))
+    made = made.select("doc_id", "label", "form", F.length("before").alias("at"), F.explode(_proposed(candidates(F.col("text")))).alias("c"))
     plain = lambda found: F.regexp_replace(found, "[\\x20()]", "")
-    found = rows.select("doc_id", F.explode(F.concat(*base_spans(F.col("text")).values())).alias("b"))
-    found = found.select("doc_id", plain(F.col("b.found")).alias("plain"), F.lit(1.0).alias("label")).distinct()
-    rows = rows.select("doc_id", F.explode(_proposed(candidates(F.col("text")))).alias("c"))
-    rows = rows.withColumn("plain", plain(F.col("c.found"))).join(found, ["doc_id", "plain"], "left")
-    out = rows.select(F.coalesce("label", F.lit(0.0)).alias("label"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"), "c.*")
-    return C.materialize(out.orderBy(F.xxhash64("found", "start"), "found", "start").limit(SAMPLE_ROWS).drop("start", "end", "found"), "pii-candidates")
+    meets = (F.col("c.start") < F.col("at") + F.length("form")) & (F.col("c.end") > F.col("at"))
+    made = made.where(meets & ((F.col("label") == 0) | (plain(F.col("c.found")) == plain(F.col("form"))))).select("doc_id", "label", "c.*")
+    rows = rows.select("doc_id", *[S.apart(c, F.concat(*BASE)).alias(k) for k, c in candidates(F.col("text")).items()])
+    own = rows.select("doc_id", F.lit(0.0).alias("label"), F.explode(_proposed({k: F.col(k) for k in LOOSE})).alias("c")).select("doc_id", "label", "c.*")
+    out = made.unionByName(own).withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5)
+    out = out.orderBy(F.xxhash64("doc_id", "found", "start"), "doc_id", "found", "start", "label").limit(SAMPLE_ROWS)
+    return C.materialize(out.drop("doc_id", "start", "end", "found"), "pii-candidates")
 
 
 def _tree(node, at: Column, names: list[str]) -> Column:
@@ -149,17 +224,16 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Trees | None:
         return None
     names = [c for c in rows.columns if c not in ("label", "fold", "which")]
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(seen).select("features", "label").coalesce(2)
-    fitted = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, checkpointInterval=-1).fit(ready), names)
+    fitted = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=LEAF, seed=7, checkpointInterval=-1).fit(ready), names)
     fields = F.struct("which", *names)
     tried = rows.where("fold = 0").select("which", "label", fields.alias("at"))
     tenth = F.floor(fitted.score(F.col("at")) * 100).cast("int")
     table = tried.groupBy("which", tenth.alias("step")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 100 rows a generator
     for kind in range(len(LOOSE)):
-        good = n = 0.0
-        for r in sorted((r for r in table if r["which"] == kind), key=lambda r: -r["step"]):
-            good, n = good + r["good"], n + r["n"]
-            if r["step"] / 100 >= LEAST_SCORE and good >= PRECISION * n:
-                fitted.thresholds[kind] = r["step"] / 100
+        for step in range(99, round(LEAST_SCORE * 100) - 1, -1):  # the lowest at which the precision holds
+            above = [r for r in table if r["which"] == kind and r["step"] >= step]
+            if above and sum(r["good"] for r in above) >= PRECISION * sum(r["n"] for r in above):
+                fitted.thresholds[kind] = step / 100
     return fitted
 
 
