@@ -128,7 +128,7 @@ def _number_forms(d: Column) -> list[Column]:
     return [
         as_("20", y, "-", m, "-", day), as_(day, ".", m, ".20", y), as_(m, "/", day, "/20", y), as_("20", y, "-20", at(5, 2)),
         as_("20", y, "-", m, "-", day, " ", at(5, 2)), as_(at(1, 1), ".", at(2, 2), ".", at(4, 4)), as_(at(1, 2), ".", at(3, 3), ".", at(6, 3)),
-        as_(at(1, 6), ".", at(7, 2)), at(1, 8), at(1, 10), as_("978-", at(1, 1), "-", at(2, 2), "-", at(4, 6), "-", at(10, 1)),
+        as_(at(1, 6), ".", at(7, 2)), at(1, 8), at(1, 10), as_(at(1, 10), at(3, 2)), as_("978-", at(1, 1), "-", at(2, 2), "-", at(4, 6), "-", at(10, 1)),
     ]
 
 
@@ -144,7 +144,7 @@ def _card_forms(found: Column) -> tuple[list[Column], list[Column]]:
     d = _digits(found)
     fours = lambda d, by: F.regexp_replace(d, "([0-9]{4})(?=[0-9])", f"$1{by}")
     other = F.concat(F.regexp_replace(d, "[0-9]$", ""), ((F.substring(d, -1, 1).cast("int") + 1) % 10).cast("string"))
-    return [fours(d, "/"), fours(d, "."), fours(d, " / ")], [fours(other, "/"), fours(other, "."), *_number_forms(d)]
+    return [fours(d, "/"), fours(d, "."), fours(d, " / ")], [fours(other, "/"), fours(other, "."), other, *_number_forms(d)]
 
 
 def _ip_forms(found: Column) -> tuple[list[Column], list[Column]]:

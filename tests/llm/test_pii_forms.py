@@ -9,7 +9,7 @@ from indexspark.llm import pii
 
 LIKE = ["someone(at)example.com", "joe [at] corp.org", "ann[at]mail[dot]example[dot]net", "(305) 123-4567", "555 123 4567", "(030) 1234-5678",
         "4111/1111/1111/1111", "2001:db8::c0a8:0101"]
-UNLIKE = ["2024-01-15", "15.01.2024", "2019-2023", "1.20.3004", "123456.78", "12:30:45:00", "ann@host", "978-3-16-148410-0", "4111/1111/1111/1112"]
+UNLIKE = ["2024-01-15", "15.01.2024", "2019-2023", "1.20.3004", "123456.78", "12:30:45:00", "ann@host", "978-3-16-148410-0", "019930026318", "4111/1111/1111/1112"]
 WORDS = "the report says that we can meet again near old house when it rains and all others have gone home by then".split()
 
 
